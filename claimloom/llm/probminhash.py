@@ -8,8 +8,9 @@ similarity where no shingle repeats. Texts that share a band are candidates; lin
 pairs with an exact J_P of at least ``similarity``.
 
 Texts with the same words are one class from the start. In a bucket of candidates all members
-are compared with a leader first; what ends in one component needs no further comparison, and
-members of different components in a bucket are compared in full.
+are compared with a leader first; what ends in one component needs no further comparison.
+Members of buckets with different components are then joined by prefix filtering on their
+rarest shingles, which finds every link left among them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import by_bytes
@@ -30,8 +31,8 @@ from .tokens import coded_words
 
 WORDS = 5
 BANDS, ROWS = 20, 4
-#: Passes that compare bucket members with one leader before the rest is compared in full.
-LEADER_PASSES = 2
+#: Passes that compare bucket members with one leader before the rest is joined by its rarest shingles.
+LEADER_PASSES = 1
 SLICE = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,6 +145,46 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFr
     return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, linked boolean"), "minhash-links")
 
 
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of id, shingle and the shingle's share of its text's weight."""
+    for b in by_bytes(batches, "text", SLICE // 4):
+        h, begins = word_hashes(b.column("text"))
+        parts = [shingles(h[a:z]) for a, z in zip(begins[:-1], begins[1:], strict=True)]
+        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id").take(pa.array(owner)), pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(np.concatenate([p[1] / p[1].sum() for p in parts]))],
+            names=["id", "s", "w"],
+        )
+
+
+def rare_prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of ``members`` (id, component) of different components that can be linked, by prefix filtering.
+
+    Let a and b be the shares of two texts' weights on shingles the other lacks. J_P is at most 1 - a and 1 - b, and
+    at most the harmonic mean of (1 - a) / (1 + a) and (1 - b) / (1 + b). With all shingles in one
+    order, rare ones first, a and b are at least the weights before the first common shingle in either
+    text. So a linked pair has a common shingle before which both texts have so little weight that
+    these bounds allow ``similarity``; all pairs with such a shingle are returned.
+    """
+    t = members.select("id").join(docs.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id")
+    rows = materialize(t.select("id", "text").mapInArrow(_weighted, "id long, s long, w double"), "minhash-shingles")
+    common = rows.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    by_id = Window.partitionBy("id")
+    before = F.sum("w").over(by_id.orderBy("n", "s").rowsBetween(Window.unboundedPreceding, -1))
+    prefix = (
+        rows.join(common, "s").withColumn("before", 1 - F.sum("w").over(by_id) + F.coalesce(before, F.lit(0.0)))
+        .filter(F.col("before") <= 1 - similarity + 1e-9).select("id", "s", "before").join(members, "id")
+    )
+    prefix = materialize(prefix, "minhash-prefixes")
+    mixed = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
+    x = prefix.join(mixed, "s", "left_semi")
+    y = x.select("s", F.col("id").alias("id2"), F.col("component").alias("c2"), F.col("before").alias("before2"))
+    f, g = ((1 + F.col(c)) / (1 - F.col(c)) for c in ("before", "before2"))
+    fits = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("c2")) & (2 / (f + g) >= similarity - 1e-9)
+    pairs = x.withColumnRenamed("s", "s1").join(y, (F.col("s1") == F.col("s")) & fits)
+    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id reachable by links), copy_of (smallest id with the same words), kept.
 
@@ -166,8 +207,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             p = b.join(open_.select("h", F.col("lead.id").alias("l"), F.col("lead.component").alias("lc")), "h").filter("component <> lc").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b"))
         else:
             x = b.join(open_.select("h"), "h", "left_semi")
-            y = x.select("h", F.col("id").alias("id2"), F.col("component").alias("c2"))
-            p = x.join(y, "h").filter("id < id2 and component <> c2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+            p = rare_prefix_pairs(materialize(x.select("id", "component").distinct(), "minhash-open"), base, similarity)
         p = p.distinct()
         p = materialize(p.join(tested.select("a", "b"), ["a", "b"], "left_anti") if tested is not None else p, "minhash-pairs")
         if p.isEmpty():

@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
-One weight per word is shared by all thresholds: P(grade >= k) = sigmoid(w.x - theta_k), with
-rising thetas. The words are those whose document frequency tells the classes apart most.
+One weight per feature (a word, or the first letters of one) is shared by all thresholds: P(grade >= k) = sigmoid(w.x - theta_k), with
+rising thetas. The features are those whose document frequency tells the classes apart most.
 The labels know only toxic or not; a toxic training document is graded 2 if it holds more marker
 words than the median toxic one, else 1.
 """
@@ -24,8 +24,8 @@ from .tokens import coded_words
 
 GRADES = 2
 #: Words kept at most, the least documents that hold one, and the least significance of its class difference.
-FEATURES, LEAST_DOCS, LEAST_Z = 4_096, 4, 4.0
-STEPS, RATE, DECAY = 400, 0.1, 1e-3
+FEATURES, LEAST_DOCS, LEAST_Z = 4_096, 8, 5.0
+STEPS, RATE, DECAY = 400, 0.1, 3e-4
 
 
 @dataclass
@@ -39,26 +39,44 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(strength[:, None] - self.thresholds, -40, 40)))
 
 
+def features(word: str) -> tuple[str, ...]:
+    """The word and its first four and five letters, which its inflections share."""
+    return (word, word[:4] + "*", word[:5] + "*")
+
+
+def coded_features(texts: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """A number for the document and feature of every occurrence, and the features."""
+    codes, words, begins = coded_words(letters_only(texts))
+    names = {f: i for i, f in enumerate(dict.fromkeys(f for w in words for f in features(w)))}
+    of = np.array([[names[f] for f in features(w)] for w in words], dtype=np.int64).reshape(-1, 3)
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    pair = (owner[:, None] * max(1, len(names)) + of[codes]).ravel() if len(codes) else np.zeros(0, np.int64)
+    return pair, list(names)
+
+
 def hits(texts: pa.Array, id_of: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, feature and count of every feature word that a document holds."""
+    """Document, feature and count of every model feature that a document holds."""
     codes, words, begins = coded_words(letters_only(texts))
-    feature = np.array([id_of.get(w, -1) for w in words], dtype=np.int64)
-    at = feature[codes] if len(codes) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[at >= 0]
-    pair, n = np.unique(owner * max(1, len(id_of)) + at[at >= 0], return_counts=True)
-    return pair // max(1, len(id_of)), pair % max(1, len(id_of)), n
+    of = np.array([[id_of.get(f, -1) for f in features(w)] for w in words], dtype=np.int64).reshape(-1, 3)
+    some = (of >= 0).any(axis=1)
+    at = np.flatnonzero(some[codes]) if len(codes) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[at]
+    feature = of[codes[at]] if len(at) else np.zeros((0, 3), np.int64)
+    doc = np.repeat(owner[:, None], 3, axis=1)[feature >= 0]
+    size = max(1, len(id_of))
+    pair, n = np.unique(doc * size + feature[feature >= 0], return_counts=True)
+    return pair // size, pair % size, n
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice's words the number of clean and of toxic documents that hold them."""
+    """Of each slice's features the number of clean and of toxic documents that hold them."""
     for b in by_bytes(batches, "text"):
-        codes, words, begins = coded_words(letters_only(b.column("text")))
-        owner = np.repeat(np.arange(b.num_rows), np.diff(begins))
-        pair = np.unique(owner * max(1, len(words)) + codes)
-        toxic = (b.column("label").to_numpy() > 0)[pair // max(1, len(words))]
-        word = pair % max(1, len(words))
-        n = [np.bincount(word[toxic == t], minlength=len(words)) for t in (False, True)]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n[0]), pa.array(n[1])], names=["word", "n0", "n1"])
+        pair, names = coded_features(b.column("text"))
+        size = max(1, len(names))
+        pair = np.unique(pair)
+        toxic = (b.column("label").to_numpy() > 0)[pair // size]
+        n = [np.bincount((pair % size)[toxic == t], minlength=len(names)) for t in (False, True)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n[0]), pa.array(n[1])], names=["word", "n0", "n1"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, folds: int = 5, held_out: int = 0) -> ToxicityModel | None:
@@ -109,7 +127,7 @@ def train(words: list[str], row: np.ndarray, col: np.ndarray, grade: np.ndarray)
         p = ToxicityModel(words, w, cuts).at_least(s)
         d = (p - target) / len(grade)
         back = d.sum(axis=1)
-        grads = [np.bincount(col, back[row], minlength=len(words)) + DECAY * w / max(1, len(words)), np.array([-d.sum(), -d[:, 1].sum() * np.exp(theta[1])])]
+        grads = [np.bincount(col, back[row], minlength=len(words)) + DECAY * w, np.array([-d.sum(), -d[:, 1].sum() * np.exp(theta[1])])]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
