@@ -1,6 +1,144 @@
-"""All queries of the engine by name, with their SQL."""
+"""All relational queries by name over the driver's tables, with their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from claimloom.functions.urls import fold_space
+from claimloom.operators import claims, runs, web
+from claimloom.sources.tables import append_missing, table
+from claimloom.streaming.runs import outcomes_by_window
+
+
+def _runs(f):
+    return lambda spark, d: f(runs.runs_from_events(table(spark, d, "events")))
+
+
+def _pages(f):
+    return lambda spark, d: f(table(spark, d, "pages"))
+
+
+def _lines(spark, d):
+    return table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("v"))
+
+
+def agreement_groups(spark, d):
+    g = claims.agreement(_lines(spark, d), ["l_partkey", "l_returnflag"], "v", "l_suppkey")
+    return claims.verdict_counts(g)
+
+
+def corroborated_claims(spark, d):
+    return claims.corroborated(_lines(spark, d), ["l_partkey"], "v", "l_suppkey", "l_orderkey").groupBy("n_sources").agg(F.count("*").alias("claims"))
+
+
+def order_flags(spark, d):
+    return claims.flags_by(table(spark, d, "orders"), "o_custkey", "o_orderstatus", ["F", "O", "P"])
+
+
+def mapping_reach(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    pairs = claims.either_key(c, s, [("c_custkey", "s_suppkey"), ("c_acctbal", "s_acctbal")], "c_custkey", "s_suppkey")
+    return pairs.groupBy("s_suppkey").agg(F.count("*").alias("customers"))
+
+
+def customers_without_orders(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_mktsegment")
+
+
+def coverage_by_nation(spark, d):
+    n, r, c, o = (table(spark, d, t) for t in ("nation", "region", "customer", "orders"))
+    per = o.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"))
+    j = c.join(per, c.c_custkey == per.o_custkey, "left").join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    return j.groupBy("r_name", "n_name").agg(F.count("*").alias("customers"), F.count("n_orders").alias("with_orders"), F.coalesce(F.sum("n_orders"), F.lit(0)).alias("orders"), F.round(F.sum("total"), 2).alias("total"))
+
+
+def gap_classes(spark, d):
+    docs, lab = table(spark, d, "documents"), table(spark, d, "labels")
+    kind = F.when(F.col("quality").isNull(), "NEVER_LABELLED").when(F.col("quality") == 0, "REJECTED").when(F.col("toxic") == 1, "UNSAFE").when(F.col("n_chars") < 400, "THIN").otherwise("USABLE")
+    return docs.join(lab, "doc_id", "left").groupBy(kind.alias("gap")).agg(F.count("*").alias("documents"))
+
+
+def insert_delta(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return append_missing(table(spark, d, "labels").select("doc_id"), docs, ["doc_id"]).groupBy("source").agg(F.count("*").alias("missing"))
+
+
+def folded_text(spark, d):
+    t = fold_space(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("n"), F.sha2(t, 256).alias("fingerprint"))
+
+
+def fingerprint_collisions(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.sha2(fold_space(F.col("text")), 256).alias("fp"))
+    return t.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
+
+
+def shape_violations(spark, d):
+    l = table(spark, d, "lineitem")
+    rules = {"negative": F.col("l_extendedprice") < 0, "discount_range": ~F.col("l_discount").between(0, 0.1), "tax_range": ~F.col("l_tax").between(0, 0.08), "no_quantity": F.coalesce(F.col("l_quantity") <= 0, F.lit(True))}
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+    return l.select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("rows"))
+
+
+def window_counts(spark, d):
+    return outcomes_by_window(runs.runs_from_events(table(spark, d, "events")))
+
+
+QUERIES = {
+    "source_health": _runs(runs.source_health), "outcome_summary": _runs(runs.outcome_summary), "latest_run": _runs(runs.latest_run),
+    "outcome_variety": _runs(runs.outcome_variety), "outcome_lists": _runs(runs.outcome_lists), "slowest_runs": _runs(runs.slowest),
+    "stratified_sample": _runs(runs.stratified_sample), "cycle_counts": _runs(runs.cycle_counts), "retry_waits": _runs(runs.retry_waits), "window_counts": window_counts,
+    "page_hosts": _pages(web.page_hosts), "pages_per_domain": _pages(web.pages_per_domain), "page_shape": _pages(web.page_shape), "block_statistics": _pages(web.block_statistics),
+    "agreement_groups": agreement_groups, "corroborated_claims": corroborated_claims, "order_flags": order_flags, "mapping_reach": mapping_reach,
+    "customers_without_orders": customers_without_orders, "coverage_by_nation": coverage_by_nation, "gap_classes": gap_classes, "insert_delta": insert_delta,
+    "folded_text": folded_text, "fingerprint_collisions": fingerprint_collisions, "shape_violations": shape_violations,
+}
+
+_R = """with runs as (select user_id as source_id, event_id as run_id, ts as started_at, value as seconds,
+  case event_type when 'purchase' then 'OK' when 'view' then 'OK' when 'signup' then 'UNCHANGED' when 'error' then 'HTTP_ERROR' when 'click' then 'BLOCKED' end as outcome from events)
+"""
+_HEALTH = """, w as (select *, row_number() over x as recency, sum(case when outcome in ('OK','UNCHANGED') then 1 else 0 end) over (partition by source_id order by started_at desc nulls last, run_id desc rows unbounded preceding) as successes
+  from runs window x as (partition by source_id order by started_at desc nulls last, run_id desc)),
+h as (select source_id, max(outcome) filter (where recency = 1) as last_outcome, count(*) filter (where successes = 0) as failure_streak,
+  coalesce(min(recency) filter (where outcome = 'OK'), count(*) + 1) - 1 as since_new_body, max(started_at) filter (where outcome in ('OK','UNCHANGED')) as last_success, count(*) as runs from w group by source_id)
+"""
+_H = r"lower(split_part(regexp_replace(url, '^[^:]+://([^/?#]*).*$', '\1'), ':', 1))"
+_DOMAIN = f"""case when len(string_split({_H}, '.')) < 2 then {_H}
+  when regexp_matches({_H}, '\\.(co\\.uk|ac\\.uk|edu\\.cn|com\\.cn|edu\\.hk|edu\\.au)$') and len(string_split({_H}, '.')) >= 3 then array_to_string(string_split({_H}, '.')[-3:], '.')
+  else array_to_string(string_split({_H}, '.')[-2:], '.') end"""
+_FOLD = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+
+ORACLE_SQL = {
+    "source_health": _R + _HEALTH + "select *, case when last_success is null then 'NEVER_SUCCEEDED' when failure_streak >= 3 then 'FAILING' when failure_streak > 0 then 'DEGRADED' else 'HEALTHY' end as state from h",
+    "outcome_summary": _R + "select outcome, count(*) as runs, count(distinct source_id) as sources, round(avg(seconds), 4) as mean_s, percentile_disc(0.5) within group (order by seconds) as median_s, min(seconds) as min_s, max(seconds) as max_s from runs group by outcome",
+    "latest_run": _R + "select source_id, run_id, outcome, run_count from (select *, count(*) over (partition by source_id) as run_count, row_number() over (partition by source_id order by started_at desc nulls last, run_id desc) as nth from runs) where nth = 1",
+    "outcome_variety": _R + "select kinds, count(*) as sources from (select source_id, count(distinct outcome) as kinds from runs group by source_id) group by kinds",
+    "outcome_lists": _R + "select source_id, string_agg(distinct outcome, ', ' order by outcome) as outcomes, list_sort(list(seconds))[count(seconds) // 2 + 1] as upper_median_s from runs group by source_id",
+    "slowest_runs": _R + "select run_id, source_id, seconds from runs order by seconds desc nulls last, run_id limit 5",
+    "stratified_sample": _R + """, capped as (select * from (select *, row_number() over (partition by outcome, source_id order by run_id) as nth from runs) where nth <= 2),
+quota as (select outcome, greatest(1, round(60 * count(*) / (select count(*) from runs))) as quota from runs group by outcome)
+select outcome, source_id, run_id from (select *, row_number() over (partition by outcome order by run_id) as place from capped) join quota using (outcome) where place <= quota""",
+    "cycle_counts": _R + "select strftime(started_at + interval 8 hour, '%Y-%m-%dT%H') as cycle, count(*) as runs from runs group by 1",
+    "retry_waits": _R + _HEALTH + "select source_id, failure_streak, cast(least(300, 15 * pow(2, failure_streak - 1)) as int) as wait_s from h where failure_streak > 0",
+    "window_counts": _R + "select date_trunc('hour', started_at) as window_start, outcome, count(*) as runs from runs group by 1, 2",
+    "page_hosts": f"select page_id, {_H} as host, split_part(split_part(url, '://', 2), '/', 1) as authority, {_DOMAIN} as domain from pages",
+    "pages_per_domain": f"select {_DOMAIN} as domain, count(*) as pages, count(distinct {_H}) as hosts from pages group by 1",
+    "page_shape": r"""select page_id, substr(trim(regexp_replace(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'), ' '), 1, 300) as title, sha256(h) as body_sha256,
+  len(regexp_extract_all(h, '<a ')) as links, len(regexp_extract_all(h, '<p>')) as paragraphs, len(regexp_extract_all(h, '<script')) as scripts,
+  case when length(trim(regexp_replace(regexp_replace(h, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', '', 'g'), ' ')) >= 400 then 'STATIC_HTML' when contains(h, '<script') then 'POSSIBLE_BROWSER' else 'THIN' end as technical_class
+  from (select page_id, coalesce(html, '') as h from pages)""",
+    "agreement_groups": """select verdict, count(*) as groups, cast(sum(n) as bigint) as claims from (select count(*) as n, case when count(distinct l_quantity) > 1 then 'CONFLICTS' when count(*) = 1 then 'SINGLE' when count(distinct l_suppkey) > 1 then 'AGREES' else 'POSSIBLE_DUPLICATE' end as verdict
+  from lineitem where l_partkey is not null and l_returnflag is not null group by l_partkey, l_returnflag) group by verdict""",
+    "corroborated_claims": "select n_sources, cast(sum(c) as bigint) as claims from (select count(distinct l_suppkey) as n_sources, count(l_orderkey) as c from lineitem group by l_partkey, l_quantity) where n_sources > 1 group by n_sources",
+    "order_flags": "select o_custkey, max(o_orderstatus = 'F') as has_f, max(o_orderstatus = 'O') as has_o, max(o_orderstatus = 'P') as has_p from orders group by o_custkey",
+    "mapping_reach": "select s_suppkey, count(*) as customers from (select distinct c_custkey, s_suppkey from customer join supplier on c_custkey = s_suppkey or c_acctbal = s_acctbal) group by s_suppkey",
+    "customers_without_orders": "select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "coverage_by_nation": """select r_name, n_name, count(*) as customers, count(n_orders) as with_orders, cast(coalesce(sum(n_orders), 0) as bigint) as orders, round(sum(total), 2) as total
+  from customer left join (select o_custkey, count(*) as n_orders, sum(o_totalprice) as total from orders group by o_custkey) on c_custkey = o_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name, n_name""",
+    "gap_classes": "select case when quality is null then 'NEVER_LABELLED' when quality = 0 then 'REJECTED' when toxic = 1 then 'UNSAFE' when n_chars < 400 then 'THIN' else 'USABLE' end as gap, count(*) as documents from documents left join labels using (doc_id) group by 1",
+    "insert_delta": "select source, count(distinct doc_id) as missing from documents where doc_id not in (select doc_id from labels where doc_id is not null) group by source",
+    "folded_text": f"select doc_id, length({_FOLD}) as n, sha256({_FOLD}) as fingerprint from documents",
+    "fingerprint_collisions": f"select sha256({_FOLD}) as fp, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
+    "shape_violations": "select rule, count(*) as rows from (select unnest(list_filter([case when l_extendedprice < 0 then 'negative' end, case when not l_discount between 0 and 0.1 then 'discount_range' end, case when not l_tax between 0 and 0.08 then 'tax_range' end, case when coalesce(l_quantity <= 0, true) then 'no_quantity' end], lambda x: x is not null)) as rule from lineitem) group by rule",
+}
