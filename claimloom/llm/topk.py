@@ -4,12 +4,14 @@ A block of candidates has one sorted list per component. For a query all lists a
 side by side, best contributions first. A seen candidate's score lies between what was read of
 it plus the worst, or the next, value of the lists it wasn't seen in. Reading stops once the
 sum of the next values is below the k-th best lower bound, so nothing unseen can
-qualify; the final scores of the candidates left are then resolved. The blocks' answers are
-merged by a window.
+qualify; the final scores of the candidates left are then resolved. The k-th best score of a
+block's earlier parts bounds its later ones, and a window merges the blocks' answers.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,51 +20,74 @@ from pyspark.sql import functions as F
 from .store import materialize
 
 #: Candidates, and queries, that meet in one task on average.
-BLOCK, QUERY_BLOCK = 4_096, 256
+BLOCK, QUERY_BLOCK = 16_384, 128
+#: Candidates of a block whose lists are read together.
+PART = 2_048
 #: Share of the lists read between two looks at the bounds.
 STEP = 1 / 16
 
 
 class Lists:
-    """Sorted lists of one block: the candidates' order by each component."""
+    """Sorted lists of one part of a block: candidates and values by each component, worst and best first."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order].astype(np.int64)
-        self.order = np.argsort(self.x, axis=0, kind="stable")
+        rising = np.argsort(self.x, axis=0, kind="stable")
+        self.order = (rising, np.ascontiguousarray(rising[::-1]))
+        self.value = tuple(np.take_along_axis(self.x, o, axis=0).astype(np.float64) for o in self.order)
+
+    def best(self, query_id: int, q: np.ndarray, k: int, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the k best candidates (ties to smaller ids) and how deep the lists were read.
 
-    def best(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best candidates (ties to smaller ids) and how deep the lists were read."""
+        ``known`` is a score that k other candidates reach: candidates below it may be left out.
+        """
         n = len(self.ids)
-        dims = np.flatnonzero(q)
         own = self.ids == query_id
-        if not len(dims):
-            left, depth = np.flatnonzero(~own), 0
-        else:
-            w = q[dims].astype(np.float64)
-            lists = np.where(q[dims] > 0, self.order[::-1, dims], self.order[:, dims])
-            values = np.take_along_axis(self.x[:, dims], lists, axis=0) * w
-            worst = values[-1]
-            sums, seen = np.zeros(n), np.zeros((n, len(dims)), np.float64)
-            step, depth = max(1, int(n * STEP)), 0
-            while True:
-                read = lists[depth : depth + step]
-                seen[read, np.arange(len(dims))] = 1
-                sums += np.bincount(read.ravel(), values[depth : depth + step].ravel(), minlength=n)
+        left, depth = np.flatnonzero(~own), 0
+        w = q.astype(np.float64)
+        up, down = np.flatnonzero(w > 0), np.flatnonzero(w < 0)
+        if len(up) + len(down):
+            w = np.concatenate([w[up], w[down]])
+            read = lambda of, a, z: np.concatenate([of[1][a:z, up], of[0][a:z, down]], axis=1)
+            worst = read(self.value, n - 1, n)[0] * w
+            lower = np.full(n, worst.sum())
+            lower[own] = -np.inf
+            ahead_of = lambda at: (read(self.value, at, at + 1)[0] * w).sum()
+            if known > -np.inf:  # how deep the lists must be read is known beforehand
+                step = max(1, bisect.bisect_left(range(n), True, key=lambda at: bool(ahead_of(at) < known)))
+            else:
+                step = max(1, int(n * STEP))
+            while depth < n:
+                values = read(self.value, depth, depth + step) * w
+                lower += np.bincount(read(self.order, depth, depth + step).ravel(), (values - worst).ravel(), minlength=n)
                 depth += step
                 if depth >= n:
-                    left = np.flatnonzero(~own)
                     break
-                ahead = values[depth]
-                lower = np.where(own, -np.inf, sums + worst.sum() - seen @ worst)
-                kth = np.partition(lower, n - k)[n - k] if n > k else -np.inf
-                if ahead.sum() < kth:
-                    upper = sums + ahead.sum() - seen @ ahead
+                kth = known
+                if known == -np.inf and n > k:
+                    kth = np.partition(lower, n - k)[n - k]
+                if ahead_of(depth) < kth:
+                    ahead = read(self.value, depth, depth + 1)[0] * w
+                    seen = np.zeros((n, len(w)), np.float32)
+                    seen[read(self.order, 0, depth), np.arange(len(w))] = 1
+                    upper = lower + (ahead - worst).sum() - seen.astype(np.float64) @ (ahead - worst)
                     left = np.flatnonzero((upper >= kth) & ~own)
                     break
         score = self.x[left] @ q.astype(np.int64)
         top = np.lexsort((self.ids[left], -score))[:k]
-        return self.ids[left][top], score[top], depth
+        return self.ids[left][top], score[top], min(depth, n)
+
+
+def best_of(parts: list[Lists], query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of all parts; what earlier parts hold bounds how deep later ones are read."""
+    ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in parts:
+        more, theirs, _ = part.best(query_id, q, k, float(scores[-1]) if len(scores) >= k else -np.inf)
+        ids, scores = np.concatenate([ids, more]), np.concatenate([scores, theirs])
+        top = np.lexsort((ids, -scores))[:k]
+        ids, scores = ids[top], scores[top]
+    return ids, scores
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -90,9 +115,10 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            lists = Lists(c["vec_id"].to_numpy(), np.stack(c["x"].to_numpy()))
+            x = np.stack(c["x"].to_numpy())
+            parts = [Lists(c["vec_id"].to_numpy()[a : a + PART], x[a : a + PART]) for a in range(0, len(c), PART)]
             for qid, x in q.drop_duplicates("vec_id")[["vec_id", "x"]].itertuples(index=False):
-                ids, scores, _ = lists.best(qid, np.asarray(x), k)
+                ids, scores = best_of(parts, qid, np.asarray(x), k)
                 out.append(pd.DataFrame({"query_id": np.full(len(ids), qid), "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame(columns=list(columns)).astype(columns)
 
