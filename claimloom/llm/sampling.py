@@ -16,7 +16,7 @@ def place(id_column: Column) -> Column:
     return (F.xxhash64(F.lit("sample"), id_column).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int, held_out: int, strata: bool = True) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int, held_out: int) -> DataFrame:
     """About ``rows`` labelled documents (``rows`` / classes of each class) outside fold ``held_out``.
 
     Chosen by a digest of the id, so reruns agree. A document that is labelled more than once
@@ -29,4 +29,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     for value, n in counts.items():
         share = F.when(F.col("label") == value, F.lit(rows / max(1, len(counts)) / n)).otherwise(share)
     chosen = l.filter(place(F.col("doc_id")) < share)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # about ``rows`` ids and labels, whatever the input's size, so the texts needn't be shuffled
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
