@@ -100,7 +100,8 @@ class Graph:
         wide[np.repeat(np.arange(len(targets)), counts), np.arange(len(back)) - np.repeat(begin, counts)] = back
         for a in range(0, len(targets), 256):
             t = targets[a : a + 256]
-            both = np.concatenate([near[t], wide[a : a + 256]], axis=1)
+            both = np.sort(np.concatenate([near[t], wide[a : a + 256]], axis=1), axis=1)
+            both[:, 1:][both[:, 1:] == both[:, :-1]] = -1  # peers of one batch may name each other
             s = np.where(both >= 0, np.einsum("ncd,nd->nc", self.v[both], self.v[t]), -2)
             near[t] = self.pad(self.choose(both, s, near.shape[1]), near.shape[1])
 
