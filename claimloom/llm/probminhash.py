@@ -9,8 +9,8 @@ pairs with an exact J_P of at least ``similarity``.
 
 Texts with the same words are one class from the start. In a bucket of candidates all members
 are compared with a leader first; what ends in one component needs no further comparison.
-Members of buckets with different components are then joined by prefix filtering on their
-rarest shingles, which finds every link left among them.
+Members of buckets with different components are then compared block by block, which finds
+every link left among them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import by_bytes
@@ -31,8 +31,8 @@ from .tokens import coded_words
 
 WORDS = 5
 BANDS, ROWS = 20, 4
-#: Passes that compare bucket members with one leader before the rest is joined by its rarest shingles.
-LEADER_PASSES = 1
+#: Texts and bytes of text in a block of a bucket, and shingles in a matrix product.
+BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 256, 1 << 20, 8192
 SLICE = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,44 +145,123 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFr
     return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, linked boolean"), "minhash-links")
 
 
-def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of id, shingle and the shingle's share of its text's weight."""
-    for b in by_bytes(batches, "text", SLICE // 4):
-        h, begins = word_hashes(b.column("text"))
-        parts = [shingles(h[a:z]) for a, z in zip(begins[:-1], begins[1:], strict=True)]
-        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id").take(pa.array(owner)), pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(np.concatenate([p[1] / p[1].sum() for p in parts]))],
-            names=["id", "s", "w"],
-        )
+def _common_weights(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs of two blocks the share of either text's weight on shingles of both."""
+    shared = np.intersect1d(np.concatenate([x[0] for x in a]), np.concatenate([x[0] for x in b]))
+    of_a, of_b = np.zeros((len(a), len(b)), np.float32), np.zeros((len(a), len(b)), np.float32)
+    if not len(shared):
+        return of_a, of_b
+    flat = []
+    for side in (a, b):
+        s, w = np.concatenate([x[0] for x in side]), np.concatenate([x[1] / x[1].sum() for x in side])
+        row = np.repeat(np.arange(len(side)), [len(x[0]) for x in side])
+        at = np.minimum(np.searchsorted(shared, s), len(shared) - 1)
+        hit = shared[at] == s
+        flat.append((row[hit], at[hit], w[hit]))
+    for low in range(0, len(shared), COLUMNS):
+        dense = []
+        for (row, at, w), side in zip(flat, (a, b), strict=True):
+            here = (at >= low) & (at < low + COLUMNS)
+            m = np.zeros((len(side), min(COLUMNS, len(shared) - low)), np.float32)
+            m[row[here], at[here] - low] = w[here]
+            dense.append(m)
+        of_a += dense[0] @ (dense[1] > 0).astype(np.float32).T
+        of_b += (dense[0] > 0).astype(np.float32) @ dense[1].T
+    return np.minimum(of_a, 1), np.minimum(of_b, 1)
+
+
+def _block_links(h: int, rows: dict[str, list], similarity: float) -> list[tuple[int, int]]:
+    """Links that join what was apart between two blocks of a bucket (or inside one block)."""
+    ids, comp, block = (np.array(rows[c]) for c in ("id", "component", "block"))
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    apart = comp[left][:, None] != comp[right][None, :]
+    if block.min() == block.max():
+        apart &= ids[left][:, None] < ids[right][None, :]
+    if not apart.any():
+        return []
+    bands = np.stack(rows["bands"])
+    same = bands[left][:, None, :] == bands[right][None, :, :]
+    apart &= bands[left][np.arange(len(left))[:, None], same.argmax(axis=2)] == h  # a pair is compared in the first band it shares
+    left, right, apart = left[apart.any(axis=1)], right[apart.any(axis=0)], apart[apart.any(axis=1)][:, apart.any(axis=0)]
+    if not len(left):
+        return []
+    parts = {}
+    for i in {*left.tolist(), *right.tolist()}:
+        words, _ = word_hashes(pa.array([rows["text"][i]], pa.large_string()))
+        parts[i] = shingles(words)
+    of_a, of_b = _common_weights([parts[i] for i in left], [parts[i] for i in right])
+    with np.errstate(divide="ignore"):
+        most = 2 / ((2 - of_a) / of_a + (2 - of_b) / of_b)
+    x, y = np.nonzero(apart & (most >= similarity - 1e-4))
+    top = {c: c for c in comp.tolist()}
+
+    def root(c: int) -> int:
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    found = []
+    for k in np.argsort(-most[x, y], kind="stable"):
+        i, j = left[x[k]], right[y[k]]
+        u, v = root(int(comp[i])), root(int(comp[j]))
+        if u != v and probability_jaccard(parts[i], parts[j]) >= similarity - 1e-12:
+            top[max(u, v)] = min(u, v)
+            found.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return found
+
+
+def _compare_blocks(similarity: float):
+    columns = ("id", "component", "block", "bands", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, {c: [] for c in columns}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = _block_links(key[0], rows, similarity) if len(rows["id"]) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
-def rare_prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of ``members`` (id, component) of different components that can be linked, by prefix filtering.
+        for b in batches:
+            keys = [b.column(c).to_numpy() for c in ("h", "lo", "hi")]
+            bands = np.asarray(b.column("bands").flatten()).reshape(-1, BANDS)
+            ends = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+            for start, end in zip([0, *ends], [*ends, b.num_rows], strict=True):
+                if start == end:
+                    continue
+                now = tuple(int(k[start]) for k in keys)
+                if now != key:
+                    if key is not None:
+                        yield from flush()
+                    key, rows = now, {c: [] for c in columns}
+                part = b.slice(start, end - start)
+                for c in ("id", "component", "block", "text"):
+                    rows[c] += part.column(c).to_pylist()
+                rows["bands"] += list(bands[start:end])
+        if key is not None:
+            yield from flush()
 
-    Let a and b be the shares of two texts' weights on shingles the other lacks. J_P is at most 1 - a and 1 - b, and
-    at most the harmonic mean of (1 - a) / (1 + a) and (1 - b) / (1 + b). With all shingles in one
-    order, rare ones first, a and b are at least the weights before the first common shingle in either
-    text. So a linked pair has a common shingle before which both texts have so little weight that
-    these bounds allow ``similarity``; all pairs with such a shingle are returned.
+    return run
+
+
+def bucket_links(members: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different components among ``members`` (h, id, component) of the same bucket.
+
+    A bucket is cut into blocks of about ``BLOCK_TEXTS`` texts and ``BLOCK_BYTES`` bytes by a digest of the id; a task compares two
+    blocks at a time. Let a and b be the shares of two texts' weights on shingles the other lacks. J_P is at most the harmonic
+    mean of (1 - a) / (1 + a) and (1 - b) / (1 + b). Matrix products give these bounds for all pairs of two blocks;
+    what they allow is computed exactly. Of links between the same two components one is enough, so
+    fewer rows than texts leave a task.
     """
-    t = members.select("id").join(docs.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id")
-    rows = materialize(t.select("id", "text").mapInArrow(_weighted, "id long, s long, w double"), "minhash-shingles")
-    common = rows.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
-    by_id = Window.partitionBy("id")
-    before = F.sum("w").over(by_id.orderBy("n", "s").rowsBetween(Window.unboundedPreceding, -1))
-    prefix = (
-        rows.join(common, "s").withColumn("before", 1 - F.sum("w").over(by_id) + F.coalesce(before, F.lit(0.0)))
-        .filter(F.col("before") <= 1 - similarity + 1e-9).select("id", "s", "before").join(members, "id")
-    )
-    prefix = materialize(prefix, "minhash-prefixes")
-    mixed = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
-    x = prefix.join(mixed, "s", "left_semi")
-    y = x.select("s", F.col("id").alias("id2"), F.col("component").alias("c2"), F.col("before").alias("before2"))
-    f, g = ((1 + F.col(c)) / (1 - F.col(c)) for c in ("before", "before2"))
-    fits = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("c2")) & (2 / (f + g) >= similarity - 1e-9)
-    pairs = x.withColumnRenamed("s", "s1").join(y, (F.col("s1") == F.col("s")) & fits)
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    ids = members.select("id").distinct()
+    t = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    t = materialize(t.join(classes.select(F.col("rep").alias("id"), "bands"), "id"), "minhash-open-texts")
+    sized = members.join(t.select("id", F.octet_length("text").cast("long").alias("bytes")), "id")
+    blocks = sized.groupBy("h").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component")
+    pairs = placed.join(t, "id").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    return pairs.mapInArrow(_compare_blocks(similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -198,25 +277,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     entries = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.explode("bands").alias("h"))
     shared = entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     buckets = materialize(entries.join(shared, "h"), "minhash-buckets")
-    tested = None
-    comp = buckets.select("id").distinct().select("id", F.col("id").alias("component"))
-    for turn in range(LEADER_PASSES + 1):
-        b = buckets.join(comp, "id")
-        open_ = b.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component"), F.struct(F.xxhash64(F.lit(turn), "id") if turn else F.lit(0), "id")).alias("lead")).filter("lo < hi")
-        if turn < LEADER_PASSES:
-            p = b.join(open_.select("h", F.col("lead.id").alias("l"), F.col("lead.component").alias("lc")), "h").filter("component <> lc").select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b"))
-        else:
-            x = b.join(open_.select("h"), "h", "left_semi")
-            p = rare_prefix_pairs(materialize(x.select("id", "component").distinct(), "minhash-open"), base, similarity)
-        p = p.distinct()
-        p = materialize(p.join(tested.select("a", "b"), ["a", "b"], "left_anti") if tested is not None else p, "minhash-pairs")
-        if p.isEmpty():
-            continue
-        now = linked_pairs(p, base, similarity)
-        tested = now if tested is None else tested.union(now)
-        found = components(tested.filter("linked").select("a", "b"))
-        ids = buckets.select("id").distinct()
-        comp = materialize(ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "minhash-components")
+    ids = materialize(buckets.select("id").distinct(), "minhash-members")
+    lead = buckets.groupBy("h").agg(F.min("id").alias("l"))
+    first = buckets.join(lead, "h").filter("id <> l").select(F.col("l").alias("a"), F.col("id").alias("b")).distinct()
+    links = linked_pairs(first, base, similarity).filter("linked").select("a", "b")
+    named = ids.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    members = materialize(buckets.join(named, "id"), "minhash-components")
+    unlike = members.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
+    more = bucket_links(materialize(members.join(unlike, "h", "left_semi").select("h", "id", "component"), "minhash-open"), classes, base, similarity)
+    links = materialize(links.union(more), "minhash-all-links")
+    comp = components(links)
     named = classes.select("k1", "k2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("class_id"))
     out = s.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select(
