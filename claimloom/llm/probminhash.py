@@ -123,14 +123,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
-        for b in batches:
+        for b in by_bytes(batches, "text_b", SLICE):
             out = []
-            for a, z, ta, tz in zip(*[b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")], strict=True):
+            h, begins = word_hashes(b.column("text_b"))
+            for i, a in enumerate(b.column("a").to_pylist()):
                 if a != last:
-                    h, _ = word_hashes(pa.array([ta]))
-                    last, kept = a, shingles(h)
-                h, _ = word_hashes(pa.array([tz]))
-                out.append(probability_jaccard(kept, shingles(h)) >= similarity - 1e-12)
+                    last, kept = a, shingles(word_hashes(b.column("text_a").slice(i, 1))[0])
+                out.append(probability_jaccard(kept, shingles(h[begins[i] : begins[i + 1]])) >= similarity - 1e-12)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
 
     return run
@@ -170,7 +169,7 @@ def _common_weights(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.nda
     return np.minimum(of_a, 1), np.minimum(of_b, 1)
 
 
-def _block_links(h: int, rows: dict[str, list], similarity: float) -> list[tuple[int, int]]:
+def _block_links(bucket: int, rows: dict[str, list], similarity: float) -> list[tuple[int, int]]:
     """Links that join what was apart between two blocks of a bucket (or inside one block)."""
     ids, comp, block = (np.array(rows[c]) for c in ("id", "component", "block"))
     left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
@@ -181,14 +180,13 @@ def _block_links(h: int, rows: dict[str, list], similarity: float) -> list[tuple
         return []
     bands = np.stack(rows["bands"])
     same = bands[left][:, None, :] == bands[right][None, :, :]
-    apart &= bands[left][np.arange(len(left))[:, None], same.argmax(axis=2)] == h  # a pair is compared in the first band it shares
+    apart &= bands[left][np.arange(len(left))[:, None], same.argmax(axis=2)] == bucket  # a pair is compared in the first band it shares
     left, right, apart = left[apart.any(axis=1)], right[apart.any(axis=0)], apart[apart.any(axis=1)][:, apart.any(axis=0)]
     if not len(left):
         return []
-    parts = {}
-    for i in {*left.tolist(), *right.tolist()}:
-        words, _ = word_hashes(pa.array([rows["text"][i]], pa.large_string()))
-        parts[i] = shingles(words)
+    some = np.union1d(left, right)
+    h, begins = word_hashes(pa.array([rows["text"][i] for i in some], pa.large_string()))
+    parts = {i: shingles(h[a:z]) for i, a, z in zip(some, begins[:-1], begins[1:], strict=True)}
     of_a, of_b = _common_weights([parts[i] for i in left], [parts[i] for i in right])
     with np.errstate(divide="ignore"):
         most = 2 / ((2 - of_a) / of_a + (2 - of_b) / of_b)
