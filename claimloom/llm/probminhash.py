@@ -135,12 +135,9 @@ def _verify(similarity: float):
     return run
 
 
-def linked_pairs(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: whether their texts are similar enough, exactly computed."""
-    pairs = materialize(pairs, "minhash-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    t = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
-    full = pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def linked_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``: whether their ``texts`` (id, text) are similar enough, exactly computed."""
+    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, linked boolean"), "minhash-links")
 
 
@@ -241,8 +238,8 @@ def _compare_blocks(similarity: float):
     return run
 
 
-def bucket_links(members: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between different components among ``members`` (h, id, component) of the same bucket.
+def bucket_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different components among ``members`` (h, id, component) of the same bucket; ``texts`` are id, text and bands.
 
     A bucket is cut into blocks of about ``BLOCK_TEXTS`` texts and ``BLOCK_BYTES`` bytes by a digest of the id; a task compares two
     blocks at a time. Let a and b be the shares of two texts' weights on shingles the other lacks. J_P is at most the harmonic
@@ -250,15 +247,12 @@ def bucket_links(members: DataFrame, classes: DataFrame, docs: DataFrame, simila
     what they allow is computed exactly. Of links between the same two components one is enough, so
     fewer rows than texts leave a task.
     """
-    ids = members.select("id").distinct()
-    t = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    t = materialize(t.join(classes.select(F.col("rep").alias("id"), "bands"), "id"), "minhash-open-texts")
-    sized = members.join(t.select("id", F.octet_length("text").cast("long").alias("bytes")), "id")
+    sized = members.join(texts.select("id", F.octet_length("text").cast("long").alias("bytes")), "id")
     blocks = sized.groupBy("h").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = members.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component")
-    pairs = placed.join(t, "id").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    pairs = placed.join(texts, "id").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     return pairs.mapInArrow(_compare_blocks(similarity), "a long, b long").distinct()
 
 
@@ -267,7 +261,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     Words are lower-cased and separated by white space. Texts that are null or without a
     word link with nothing. ``kept`` marks one row of each class, the one with the smallest id (all rows that
-    repeat that id count as it). Rows without an id keep null ids unless they equal another text.
+    repeat that id count as it). An id of several texts counts with one of them. Rows without an id keep null ids unless they equal another text.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     s = materialize(base.mapInArrow(sketch, "doc_id long, k1 long, k2 long, bands array<long>"), "minhash-sketches")
@@ -276,13 +270,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     shared = entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     buckets = materialize(entries.join(shared, "h"), "minhash-buckets")
     ids = materialize(buckets.select("id").distinct(), "minhash-members")
+    of_ids = classes.select(F.col("rep").alias("id"), "bands").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = base.select(F.col("doc_id").alias("id"), "text").join(of_ids.hint("merge"), "id").dropDuplicates(["id"])  # one shuffle of the texts, alike at every size
+    texts = materialize(texts, "minhash-texts")
     lead = buckets.groupBy("h").agg(F.min("id").alias("l"))
     first = buckets.join(lead, "h").filter("id <> l").select(F.col("l").alias("a"), F.col("id").alias("b")).distinct()
-    links = linked_pairs(first, base, similarity).filter("linked").select("a", "b")
+    links = linked_pairs(first, texts, similarity).filter("linked").select("a", "b")
     named = ids.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     members = materialize(buckets.join(named, "id"), "minhash-components")
     unlike = members.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    more = bucket_links(materialize(members.join(unlike, "h", "left_semi").select("h", "id", "component"), "minhash-open"), classes, base, similarity)
+    more = bucket_links(materialize(members.join(unlike, "h", "left_semi").select("h", "id", "component"), "minhash-open"), texts, similarity)
     links = materialize(links.union(more), "minhash-all-links")
     comp = components(links)
     named = classes.select("k1", "k2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("class_id"))
