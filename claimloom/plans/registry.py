@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.functions.urls import fold_space
-from claimloom.operators import claims, runs, web
+from claimloom.functions.urls import canonical, fold_space
+from claimloom.operators import claims, review, runs, web
 from claimloom.sources.tables import append_missing, table
 from claimloom.streaming.runs import outcomes_by_window
 
@@ -85,6 +85,44 @@ def window_counts(spark, d):
     return outcomes_by_window(runs.runs_from_events(table(spark, d, "events")))
 
 
+def _reviewed(spark, d):
+    """Line items as claims: context, conflict, corroboration, band and scope of each."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", (F.col("l_linenumber") % 4).alias("kind"), (F.col("l_partkey") % 25).alias("context"))
+    key = ["l_suppkey", "kind", "context"]
+    g = l.groupBy(*key).agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.max("l_discount").alias("best"))
+    same = l.groupBy(*key, "l_quantity").agg(F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"))
+    band = lambda c: F.when(c >= 0.07, "HIGH").when(c >= 0.03, "MEDIUM").otherwise("LOW")
+    return l.join(g, key).join(same, [*key, "l_quantity"]).select(
+        "l_orderkey", "l_linenumber", "kind", band(F.col("l_discount")).alias("band"), (F.col("least") < F.col("most")).alias("in_conflict"), (F.col("first") < F.col("last")).alias("corroborated"),
+        (F.col("l_returnflag") == "N").alias("scope_unresolved"), (F.col("best") < 0.03).alias("only"), F.when(F.col("l_returnflag") == "A", "ACCEPTED").otherwise("UNREVIEWED").alias("decision"),
+    )
+
+
+def review_priority(spark, d):
+    facts = {"high_risk_field": F.col("kind") < 2, "has_evidence": F.lit(True)} | {c: F.col(c) for c in ("corroborated", "scope_unresolved", "in_conflict")}
+    q = review.queue(F.col("band"), F.col("kind") == 3, F.col("decision"), F.col("only"))
+    p = review.with_priority(_reviewed(spark, d), "band", facts)
+    return p.groupBy(q.alias("queue"), "score", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("claims"))
+
+
+def publication_blockers(spark, d):
+    source = F.when(F.col("l_orderkey") % 3 == 0, "UNVERIFIED").otherwise("OFFICIAL_VERIFIED")
+    b = review.blockers(F.col("kind") == 3, F.col("decision"), source, F.col("scope_unresolved"), F.col("in_conflict"), F.col("kind") != 2)
+    return _reviewed(spark, d).select("l_orderkey", "l_linenumber", F.array_join(b, ",").alias("blockers")).groupBy("blockers").agg(F.count("*").alias("claims"))
+
+
+def governing_scope(spark, d):
+    o = table(spark, d, "orders").filter("o_orderkey % 4 = 0")
+    j, q = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("J:"), "o_orderstatus")), F.when(F.col("o_totalprice") > 150000, F.lit("Q:1"))
+    s = o.select("o_custkey", "o_orderkey", F.array_compact(F.array(j, q)).alias("criteria"), (F.col("o_orderkey") % 3 == 0).alias("human"), review.scope_state(j, q, F.col("o_orderkey") % 5 != 0).alias("state"))
+    return review.governing(s, "o_custkey", "o_orderkey", "criteria", "human", "state")
+
+
+def canonical_urls(spark, d):
+    c = canonical(F.col("url"))
+    return table(spark, d, "pages").select("page_id", c["rejection"].alias("rejection"), c["canonical"].alias("canonical"), F.sha2(c["canonical"], 256).alias("url_sha256"))
+
+
 QUERIES = {
     "source_health": _runs(runs.source_health), "outcome_summary": _runs(runs.outcome_summary), "latest_run": _runs(runs.latest_run),
     "outcome_variety": _runs(runs.outcome_variety), "outcome_lists": _runs(runs.outcome_lists), "slowest_runs": _runs(runs.slowest),
@@ -93,6 +131,7 @@ QUERIES = {
     "agreement_groups": agreement_groups, "corroborated_claims": corroborated_claims, "order_flags": order_flags, "mapping_reach": mapping_reach,
     "customers_without_orders": customers_without_orders, "coverage_by_nation": coverage_by_nation, "gap_classes": gap_classes, "insert_delta": insert_delta,
     "folded_text": folded_text, "fingerprint_collisions": fingerprint_collisions, "shape_violations": shape_violations,
+    "review_priority": review_priority, "publication_blockers": publication_blockers, "governing_scope": governing_scope, "canonical_urls": canonical_urls,
 }
 
 _R = """with runs as (select user_id as source_id, event_id as run_id, ts as started_at, value as seconds,
@@ -108,8 +147,36 @@ _DOMAIN = f"""case when len(string_split({_H}, '.')) < 2 then {_H}
   when regexp_matches({_H}, '\\.(co\\.uk|ac\\.uk|edu\\.cn|com\\.cn|edu\\.hk|edu\\.au)$') and len(string_split({_H}, '.')) >= 3 then array_to_string(string_split({_H}, '.')[-3:], '.')
   else array_to_string(string_split({_H}, '.')[-2:], '.') end"""
 _FOLD = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+_REVIEWED = """with c as (select l_orderkey, l_linenumber, l_linenumber % 4 as kind, l_returnflag, case when l_discount >= 0.07 then 'HIGH' when l_discount >= 0.03 then 'MEDIUM' else 'LOW' end as band,
+  min(l_quantity) over g < max(l_quantity) over g as in_conflict, max(l_discount) over g < 0.03 as only_weak,
+  min(l_orderkey) over (partition by l_suppkey, l_linenumber % 4, l_partkey % 25, l_quantity) < max(l_orderkey) over (partition by l_suppkey, l_linenumber % 4, l_partkey % 25, l_quantity) as corroborated
+  from lineitem window g as (partition by l_suppkey, l_linenumber % 4, l_partkey % 25))
+"""
 
 ORACLE_SQL = {
+    "review_priority": _REVIEWED + """select case when kind = 3 or l_returnflag = 'A' then 'NOT_QUEUED' when band <> 'LOW' then 'PRIMARY' when only_weak then 'ONLY_CANDIDATE' else 'LOW_CONFIDENCE' end as queue,
+  cast(5 + case when kind < 2 then 40 else 0 end + case band when 'HIGH' then 25 when 'MEDIUM' then 15 else -20 end + case when corroborated then 20 else 0 end
+    - case when l_returnflag = 'N' then 20 else 0 end - case when in_conflict then 15 else 0 end as int) as score,
+  concat_ws(',', case when kind < 2 then 'high_risk_field' end, case band when 'HIGH' then 'confidence_high' when 'MEDIUM' then 'confidence_medium' end, case when corroborated then 'corroborated' end, 'has_evidence',
+    case when l_returnflag = 'N' then 'scope_unresolved' end, case when in_conflict then 'in_conflict' end, case when band = 'LOW' then 'confidence_low' end) as reasons, count(*) as claims from c group by 1, 2, 3""",
+    "publication_blockers": _REVIEWED + """select concat_ws(',', case when kind = 3 then 'SUPERSEDED_RULE_VERSION' end, case when l_returnflag <> 'A' then 'REVIEW_STATE_IS_UNREVIEWED' end, case when l_orderkey % 3 = 0 then 'SOURCE_UNVERIFIED' end,
+  case when l_returnflag = 'N' then 'SCOPE_UNRESOLVED' end, case when in_conflict then 'UNRESOLVED_CONFLICT' end, case when kind = 2 then 'RESPONSIBILITY_DOES_NOT_AUTHORISE_FIELD' end) as blockers, count(*) as claims from c group by 1""",
+    "governing_scope": """with s as (select o_custkey as k, o_orderkey as id, case when o_orderstatus <> 'P' then o_orderstatus end as j, case when o_totalprice > 150000 then 1 end as q, o_orderkey % 3 = 0 as human from orders where o_orderkey % 4 = 0),
+t as (select *, j is null and q is null and id % 5 = 0 as unscoped from s),
+wins as (select a.k, a.id from t a where not exists (select 1 from t b where b.k = a.k and b.id <> a.id and not (
+  (b.j is null or b.j is not distinct from a.j) and (b.q is null or b.q is not distinct from a.q) and (b.j is distinct from a.j or b.q is distinct from a.q or (a.human and not b.human)))))
+select k as o_custkey, count(*) as n_scopes, case when max(unscoped) then null else (select id from wins where wins.k = t.k) end as governing_id from t group by k""",
+    "canonical_urls": r"""with p as (select page_id, trim(url, ' ') as u from pages), q as (select *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) as scheme, regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1) as netloc from p),
+r as (select *, lower(regexp_replace(regexp_replace(netloc, ':[^:\]]*$', ''), '\.$', '')) as host, regexp_extract(netloc, ':([^:\]]*)$', 1) as port from q),
+v as (select *, case when u is null or u = '' then 'EMPTY' when length(u) > 2048 then 'TOO_LONG' when regexp_matches(u, '[\s\x00-\x1f\x7f]') then 'FORBIDDEN_CHARACTER' when scheme not in ('http', 'https') then 'SCHEME'
+  when contains(netloc, '@') then 'CREDENTIALS' when netloc = '' then 'NO_HOST' when netloc[1] = '[' or regexp_matches(host, '^\d+(\.\d+){3}$') then 'IP_LITERAL'
+  when not regexp_matches(host, '^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?(\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)+$') and host not in ('localhost', 'ip6-localhost', 'metadata') then 'BAD_HOST'
+  when regexp_matches(host, '(^|\.)\d+$') then 'NUMERIC_SUFFIX'
+  when host in ('localhost', 'ip6-localhost', 'metadata') or regexp_matches(host, '\.(localhost|local|localdomain|internal|intranet|corp|home|lan|test|example|invalid|onion)$') then 'RESERVED_HOST'
+  when port not in ('', '80', '443', '8080', '8443') then 'PORT' end as rejection from r),
+w as (select *, case when rejection is null then scheme || '://' || host || case when port = '' or (scheme = 'http' and port = '80') or (scheme = 'https' and port = '443') then '' else ':' || port end
+  || case when regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) end || case regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) when '?' then '' else regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) end end as canonical from v)
+select page_id, rejection, canonical, sha256(canonical) as url_sha256 from w""",
     "source_health": _R + _HEALTH + "select *, case when last_success is null then 'NEVER_SUCCEEDED' when failure_streak >= 3 then 'FAILING' when failure_streak > 0 then 'DEGRADED' else 'HEALTHY' end as state from h",
     "outcome_summary": _R + "select outcome, count(*) as runs, count(distinct source_id) as sources, round(avg(seconds), 4) as mean_s, percentile_disc(0.5) within group (order by seconds) as median_s, min(seconds) as min_s, max(seconds) as max_s from runs group by outcome",
     "latest_run": _R + "select source_id, run_id, outcome, run_count from (select *, count(*) over (partition by source_id) as run_count, row_number() over (partition by source_id order by started_at desc nulls last, run_id desc) as nth from runs) where nth = 1",

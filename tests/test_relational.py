@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.plans.registry import ORACLE_SQL, QUERIES
 
@@ -53,3 +54,27 @@ def test_entry_imports_without_llm():
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_canonical_urls(spark):
+    from claimloom.functions.urls import canonical
+
+    cases = {
+        "HTTP://Uni.Example.AC.UK:80": (None, "http://uni.example.ac.uk/"), "https://a.edu:8443/p?q=1#f": (None, "https://a.edu:8443/p?q=1"), "https://localhost-college.ac.uk/": (None, "https://localhost-college.ac.uk/"),
+        "ftp://a.edu/": ("SCHEME", None), "http://u:p@a.edu/": ("CREDENTIALS", None), "http://127.0.0.1/": ("IP_LITERAL", None), "http://[::1]/": ("IP_LITERAL", None), "http://127.1/": ("NUMERIC_SUFFIX", None),
+        "http://localhost/": ("RESERVED_HOST", None), "http://x.internal/": ("RESERVED_HOST", None), "http://a.edu:22/": ("PORT", None), "http://single/": ("BAD_HOST", None), "http://a.edu/a b": ("FORBIDDEN_CHARACTER", None), "": ("EMPTY", None), None: ("EMPTY", None),
+    }
+    c = canonical(F.col("url"))
+    got = spark.createDataFrame([(u,) for u in cases], "url string").select("url", *[v.alias(k) for k, v in c.items()]).collect()
+    assert {r.url: (r.rejection, r.canonical) for r in got} == cases
+
+
+def test_governing_scope_of_ties_and_open_groups(spark):
+    from claimloom.operators.review import governing
+
+    rows = [
+        (1, 10, ["J:CN"], False, "S"), (1, 11, [], False, "UNIVERSAL_EXPLICIT"), (2, 20, ["J:CN"], False, "S"), (2, 21, ["Q:A"], False, "S"),
+        (3, 30, ["J:CN"], False, "S"), (3, 31, ["J:CN"], True, "S"), (4, 40, ["J:CN"], True, "S"), (4, 41, ["J:CN"], True, "S"), (5, 50, ["J:CN"], True, "S"), (5, 51, [], True, "UNSCOPED"),
+    ]
+    g = governing(spark.createDataFrame(rows, "k int, id int, c array<string>, human boolean, state string"), "k", "id", "c", "human", "state")
+    assert {r.k: r.governing_id for r in g.collect()} == {1: 10, 2: None, 3: 31, 4: None, 5: None}
