@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from claimloom.llm import bpe, chat, components, hnsw, langid, mixing, probminhash, quality, topk, toxicity, warc
@@ -201,3 +202,30 @@ def test_classifiers_without_labels(spark):
     docs, labels = labelled(spark, 8)
     assert quality.fit(docs, labels.limit(0)) is None and toxicity.fit(docs, labels.limit(0)) is None
     assert quality.predict(docs, None).count() == toxicity.predict(docs, None).count() == docs.count()
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_block_links_join_what_brute_force_links(blocks):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 60, 120)]
+    texts = []
+    for edits in (0, 0, 1, 1, 2, 2, 3, 4, 6, 9, 14, 20):
+        words = list(base)
+        for at in rng.integers(0, len(words), edits):
+            words[at] = f"x{rng.integers(0, 9)}"
+        texts.append(" ".join(words))
+    texts.append("")
+    n = len(texts)
+    rows = {"id": list(range(n)), "component": list(range(n)), "block": [i % blocks for i in range(n)], "bands": [np.array([7, i]) for i in range(n)], "text": texts}
+    found = probminhash._block_links(7, rows, 0.8)
+    parts = [probminhash.shingles(probminhash.word_hashes(pa.array([t]))[0]) for t in texts]
+    true = {(i, j) for i in range(n) for j in range(i + 1, n) if (blocks == 1 or i % 2 != j % 2) and probminhash.probability_jaccard(parts[i], parts[j]) >= 0.8}
+
+    def classes(edges):
+        top = list(range(n))
+        for a, b in list(edges) * n:
+            top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    assert true and set(found) <= true and classes(found) == classes(true)
+    assert probminhash._block_links(8, rows, 0.8) == []
