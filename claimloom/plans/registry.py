@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions.urls import canonical, fold_space
-from claimloom.operators import claims, review, runs, web
+from claimloom.operators import claims, extract, review, runs, web
 from claimloom.sources.tables import append_missing, table
 from claimloom.streaming.runs import outcomes_by_window
 
@@ -18,6 +18,10 @@ def _pages(f):
     return lambda spark, d: f(table(spark, d, "pages"))
 
 
+def _blocks(f):
+    return _pages(lambda pages: f(web.blocks(pages)))
+
+
 def _lines(spark, d):
     return table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("v"))
 
@@ -132,6 +136,8 @@ QUERIES = {
     "customers_without_orders": customers_without_orders, "coverage_by_nation": coverage_by_nation, "gap_classes": gap_classes, "insert_delta": insert_delta,
     "folded_text": folded_text, "fingerprint_collisions": fingerprint_collisions, "shape_violations": shape_violations,
     "review_priority": review_priority, "publication_blockers": publication_blockers, "governing_scope": governing_scope, "canonical_urls": canonical_urls,
+    "fee_claims": _blocks(extract.fees), "english_score_claims": _blocks(extract.english_scores), "deadline_claims": _blocks(extract.deadlines),
+    "calendar_claims": _blocks(extract.calendar_dates), "programme_claims": _blocks(extract.programmes),
 }
 
 _R = """with runs as (select user_id as source_id, event_id as run_id, ts as started_at, value as seconds,
