@@ -116,7 +116,15 @@ def publication_blockers(spark, d):
 
 
 def governing_scope(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 4 = 0")
+    """A quarter of the orders, as its SQL has it; :func:`governing_scope_whole` takes all."""
+    return _governing(table(spark, d, "orders").filter("o_orderkey % 4 = 0"))
+
+
+def governing_scope_whole(spark, d):
+    return _governing(table(spark, d, "orders"))
+
+
+def _governing(o):
     j, q = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("J:"), "o_orderstatus")), F.when(F.col("o_totalprice") > 150000, F.lit("Q:1"))
     s = o.select("o_custkey", "o_orderkey", F.array_compact(F.array(j, q)).alias("criteria"), (F.col("o_orderkey") % 3 == 0).alias("human"), review.scope_state(j, q, F.col("o_orderkey") % 5 != 0).alias("state"))
     return review.governing(s, "o_custkey", "o_orderkey", "criteria", "human", "state")
@@ -135,7 +143,7 @@ QUERIES = {
     "agreement_groups": agreement_groups, "corroborated_claims": corroborated_claims, "order_flags": order_flags, "mapping_reach": mapping_reach,
     "customers_without_orders": customers_without_orders, "coverage_by_nation": coverage_by_nation, "gap_classes": gap_classes, "insert_delta": insert_delta,
     "folded_text": folded_text, "fingerprint_collisions": fingerprint_collisions, "shape_violations": shape_violations,
-    "review_priority": review_priority, "publication_blockers": publication_blockers, "governing_scope": governing_scope, "canonical_urls": canonical_urls,
+    "review_priority": review_priority, "publication_blockers": publication_blockers, "governing_scope": governing_scope, "governing_scope_whole": governing_scope_whole, "canonical_urls": canonical_urls,
     "fee_claims": _blocks(extract.fees), "english_score_claims": _blocks(extract.english_scores), "deadline_claims": _blocks(extract.deadlines),
     "calendar_claims": _blocks(extract.calendar_dates), "programme_claims": _blocks(extract.programmes),
 }
@@ -172,6 +180,10 @@ t as (select *, j is null and q is null and id % 5 = 0 as unscoped from s),
 wins as (select a.k, a.id from t a where not exists (select 1 from t b where b.k = a.k and b.id <> a.id and not (
   (b.j is null or b.j is not distinct from a.j) and (b.q is null or b.q is not distinct from a.q) and (b.j is distinct from a.j or b.q is distinct from a.q or (a.human and not b.human)))))
 select k as o_custkey, count(*) as n_scopes, case when max(unscoped) then null else (select id from wins where wins.k = t.k) end as governing_id from t group by k""",
+    "governing_scope_whole": """with s as (select o_custkey as k, o_orderkey as id, case when o_orderstatus <> 'P' then o_orderstatus end as j, case when o_totalprice > 150000 then 1 end as q, o_orderkey % 3 = 0 as human from orders),
+g as (select k, count(*) as n_scopes, count(distinct j) + count(distinct q) as criteria, max(j is null and q is null and id % 5 = 0) as unscoped from s group by k),
+w as (select k, count(*) as n_top, min(id) as one, count(*) filter (human) as n_person, min(id) filter (human) as person from s join g using (k) where (j is not null)::int + (q is not null)::int = criteria group by k)
+select k as o_custkey, n_scopes, case when unscoped then null when n_top = 1 then one when n_person = 1 then person end as governing_id from g left join w using (k)""",
     "canonical_urls": r"""with p as (select page_id, trim(url, ' ') as u from pages), q as (select *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) as scheme, regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1) as netloc from p),
 r as (select *, lower(regexp_replace(regexp_replace(netloc, ':[^:\]]*$', ''), '\.$', '')) as host, regexp_extract(netloc, ':([^:\]]*)$', 1) as port from q),
 v as (select *, case when u is null or u = '' then 'EMPTY' when length(u) > 2048 then 'TOO_LONG' when regexp_matches(u, '[\s\x00-\x1f\x7f]') then 'FORBIDDEN_CHARACTER' when scheme not in ('http', 'https') then 'SCHEME'

@@ -78,3 +78,8 @@ def test_governing_scope_of_ties_and_open_groups(spark):
     ]
     g = governing(spark.createDataFrame(rows, "k int, id int, c array<string>, human boolean, state string"), "k", "id", "c", "human", "state")
     assert {r.k: r.governing_id for r in g.collect()} == {1: 10, 2: None, 3: 31, 4: None, 5: None}
+
+
+def test_governing_scope_whole_covers_every_order(spark, duck):
+    got = QUERIES["governing_scope_whole"](spark, SF).agg(F.sum("n_scopes")).head()[0]
+    assert got == duck.execute("select count(*) from orders").fetchone()[0]
