@@ -103,7 +103,8 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = mix(band * GOLDEN + sig[:, i::ROWS])
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(parts) + 1) * BANDS, BANDS), pa.int32()), pa.array(band.ravel().view(np.int64)))
         empty = n == 0
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys[0], mask=empty), pa.array(keys[1], mask=empty), flat], names=["doc_id", "k1", "k2", "bands"])
+        kept = [b.column(c) for c in ("n", "doc_id", "digest")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(keys[0], mask=empty), pa.array(keys[1], mask=empty), flat], names=["n", "doc_id", "digest", "k1", "k2", "bands"])
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -256,35 +257,62 @@ def bucket_links(members: DataFrame, texts: DataFrame, similarity: float) -> Dat
     return pairs.mapInArrow(_compare_blocks(similarity), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id reachable by links), copy_of (smallest id with the same words), kept.
+def classified(base: DataFrame, similarity: float) -> DataFrame:
+    """n, doc_id, class_id, copy_of and kept for every row of ``base`` (n, doc_id, text).
 
-    Words are lower-cased and separated by white space. Texts that are null or without a
-    word link with nothing. ``kept`` marks one row of each class, the one with the smallest id (all rows that
-    repeat that id count as it). An id of several texts counts with one of them. Rows without an id keep null ids unless they equal another text.
+    ``n`` is a stored number, different for each row. The least one of the rows with the same words stands for their text
+    among bands, links and components, so neither a missing id nor an id of several texts matters there.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    s = materialize(base.mapInArrow(sketch, "doc_id long, k1 long, k2 long, bands array<long>"), "minhash-sketches")
-    classes = materialize(s.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "minhash-classes")
-    entries = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.explode("bands").alias("h"))
+    s = base.withColumn("digest", F.xxhash64("text")).select("n", "doc_id", "digest", "text")
+    s = materialize(s.mapInArrow(sketch, "n long, doc_id long, digest long, k1 long, k2 long, bands array<long>"), "minhash-sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")).alias("first")
+    classes = s.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("n").alias("id"), F.min("doc_id").alias("least"), first, F.any_value("bands").alias("bands"))
+    classes = materialize(classes, "minhash-classes")
+    entries = classes.select("id", F.explode("bands").alias("h"))
     shared = entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     buckets = materialize(entries.join(shared, "h"), "minhash-buckets")
     ids = materialize(buckets.select("id").distinct(), "minhash-members")
-    of_ids = classes.select(F.col("rep").alias("id"), "bands").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = base.select(F.col("doc_id").alias("id"), "text").join(of_ids.hint("merge"), "id").dropDuplicates(["id"])  # one shuffle of the texts, alike at every size
+    of_ids = classes.select("id", "bands").join(ids, "id", "left_semi")
+    texts = base.select(F.col("n").alias("id"), "text").join(of_ids.hint("merge"), "id")  # one shuffle of the texts, alike at every size
     texts = materialize(texts, "minhash-texts")
     lead = buckets.groupBy("h").agg(F.min("id").alias("l"))
-    first = buckets.join(lead, "h").filter("id <> l").select(F.col("l").alias("a"), F.col("id").alias("b")).distinct()
-    links = linked_pairs(first, texts, similarity).filter("linked").select("a", "b")
+    pairs = buckets.join(lead, "h").filter("id <> l").select(F.col("l").alias("a"), F.col("id").alias("b")).distinct()
+    links = linked_pairs(pairs, texts, similarity).filter("linked").select("a", "b")
     named = ids.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     members = materialize(buckets.join(named, "id"), "minhash-components")
     unlike = members.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
     more = bucket_links(materialize(members.join(unlike, "h", "left_semi").select("h", "id", "component"), "minhash-open"), texts, similarity)
     links = materialize(links.union(more), "minhash-all-links")
-    comp = components(links)
-    named = classes.select("k1", "k2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("class_id"))
-    out = s.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
+    comp = materialize(components(links), "minhash-classes-linked")
+    best = F.min(F.struct("first.no_id", "first.doc_id", "k1", "k2", "first.digest", "first.n"))
+    groups = classes.join(comp, "id").groupBy("component").agg(F.min("least").alias("class_id"), best["n"].alias("best"))
+    named = classes.select("k1", "k2", "id", "least", F.col("first.n").alias("own")).join(comp, "id", "left").join(groups, "component", "left")
+    named = named.select("k1", "k2", F.col("least").alias("copy_of"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("best", "own").alias("best"))
+    out = s.select("n", "doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_of"),
-        F.col("doc_id").eqNullSafe(F.coalesce("class_id", "doc_id")).alias("kept"),
+        "n", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"),
+        F.coalesce(F.col("best") == F.col("n"), F.lit(True)).alias("kept"),
     )
+
+
+def _rows(rows: DataFrame) -> DataFrame:
+    return rows.select("n", F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id reachable by links), copy_of (smallest id with the same words), kept.
+
+    Words are lower-cased and separated by white space. Texts that are null or without a
+    word link with nothing and are kept. ``kept`` marks exactly one row of each class: the one with the smallest id, rows without
+    an id last, then by the numbers of the words. Links belong to texts, so texts without an id and all texts
+    of a repeated id are compared; class_id and copy_of are null where no row of the class or text has an id.
+    """
+    base = materialize(_rows(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text")), "minhash-rows")
+    return classified(base, similarity).drop("n")
+
+
+def one_of_each_class(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` marks as kept, with all their columns."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*docs.columns).alias("row")), "minhash-rows")
+    kept = classified(_rows(rows.select("n", "row.doc_id", "row.text")), similarity).filter("kept").select("n")
+    return rows.join(kept, "n", "left_semi").select("row.*")

@@ -27,9 +27,11 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id."""
-    kept = probminhash.near_duplicates(docs, 0.8).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each class of near-duplicates: the smallest id, rows without an id last, then by the numbers of the words.
+
+    Every row whose text is unique or without a word stays, with an id or without.
+    """
+    return probminhash.one_of_each_class(docs, 0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Learned models and near-duplicate classes are beyond SQL; tests hold the pipeline against brute force.
+#: Learned models and near-duplicate classes are beyond SQL; a test holds the near-duplicate stage against brute force.
 ORACLE_SQL = None
 
 
