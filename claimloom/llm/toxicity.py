@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
 One weight per feature (a word, or the first letters of one) is shared by all thresholds: P(grade >= k) = sigmoid(w.x - theta_k), with
-rising thetas. The features are those whose document frequency tells the classes apart most.
+rising thetas. The features are those whose document frequency tells the classes apart most, by the pooled
+two-proportion z, which does not punish words that no document of a class holds.
 The labels know only toxic or not; a toxic training document is graded 2 if it holds more marker
 words than the median toxic one, else 1.
 """
@@ -23,7 +24,7 @@ from .store import materialize
 from .tokens import coded_words
 
 GRADES = 2
-#: Words kept at most, the least documents that hold one, and the least significance of its class difference.
+#: Words kept at most, the least documents that hold one, and the significance of its class difference that makes a toxic word a marker.
 FEATURES, LEAST_DOCS, LEAST_Z = 4_096, 8, 5.0
 STEPS, RATE, DECAY = 400, 0.1, 3e-4
 
@@ -88,14 +89,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, folds: int = 5, h
     total = {bool(r["label"]): r["n"] for r in sample.groupBy((F.col("label") > 0).alias("label")).agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return None
-    odds = lambda n, of: F.log((F.col(n) + 0.5) / (F.lit(float(of)) - F.col(n) + 0.5))
-    z = (odds("n1", total[True]) - odds("n0", total[False])) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    of0, of1 = float(total[False]), float(total[True])
+    share = (F.col("n0") + F.col("n1")) / (of0 + of1)
+    error = F.sqrt(share * (1 - share) * (1 / of0 + 1 / of1))
+    z = F.when(error > 0, (F.col("n1") / of1 - F.col("n0") / of0) / error).otherwise(0.0)  # all documents hold the word: no difference
     found = (
         sample.select("text", "label").mapInArrow(_frequencies, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .filter(F.col("n0") + F.col("n1") >= LEAST_DOCS).withColumn("z", z).filter(F.abs("z") >= LEAST_Z)
+        .filter(F.col("n0") + F.col("n1") >= LEAST_DOCS).withColumn("z", z)
         .orderBy(F.abs("z").desc(), "word").limit(FEATURES).toPandas()
     )
-    words, marker = found["word"].tolist(), (found["z"] > 0).to_numpy()
+    words, marker = found["word"].tolist(), (found["z"] >= LEAST_Z).to_numpy()
     id_of = {w: i for i, w in enumerate(words)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

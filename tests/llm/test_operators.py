@@ -198,6 +198,16 @@ def test_classifiers_on_held_out_rows(spark):
     assert all(l[i].lang_pred == "und" and l[i].score == 0 for i in (900, 901, 902))
 
 
+def test_toxicity_learns_words_that_no_clean_document_holds(spark):
+    r = random.Random(12)
+    plain = ["the", "house", "of", "river", "stone", "and", "tree"]
+    rows = [(i, " ".join(r.choices(plain, k=30) + [f"{'abcdefghij'[i // 2 % 10] * 6}"] * (i % 2))) for i in range(400)]  # each word in 20 of 200 toxic documents
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    got = [g for g in toxicity.predict(docs, toxicity.fit(docs, labels)).collect() if g.held_out]
+    assert len(got) > 40 and np.mean([g.predicted == g.doc_id % 2 for g in got]) > 0.95
+
+
 def test_classifiers_without_labels(spark):
     docs, labels = labelled(spark, 8)
     assert quality.fit(docs, labels.limit(0)) is None and toxicity.fit(docs, labels.limit(0)) is None
