@@ -56,6 +56,11 @@ def first_of(text: Column, kinds: list[tuple[str, str]]) -> Column:
     return out
 
 
+def all_of(text: Column, kinds: list[tuple[str, str]]) -> Column:
+    """Names of all patterns that ``text`` holds."""
+    return F.array_compact(F.array(*[F.when(text.rlike(pattern), name) for name, pattern in kinds]))
+
+
 def in_context(blocks: DataFrame) -> DataFrame:
     """Blocks outside page chrome that aren't headings, with the text of the nearest ``heading`` before them."""
     before = Window.partitionBy("page_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
@@ -68,6 +73,7 @@ def fees(blocks: DataFrame) -> DataFrame:
 
     An amount needs a sign or a comma between thousands, and stands alone. Two amounts that are joined
     are a range if they rise and ambiguous if not; both are kept. A sum that is said to vary has no amount.
+    ``student_categories`` are all groups of students that the text names, ``students`` the first of them.
     """
     t, h = F.col("text"), F.coalesce("heading", F.lit(""))
     number = lambda c: F.regexp_replace(c, ",", "").cast("double")
@@ -88,11 +94,11 @@ def fees(blocks: DataFrame) -> DataFrame:
         sign = F.when(t.contains(s), iso).otherwise(sign)
     currency = F.when(code == "RMB", "CNY").when(code != "", code).otherwise(sign)
     said, headed = t.rlike(FEE), h.rlike(FEE_HEADING)
-    b = b.withColumns({"shape": shape, "currency": currency, "unit": first_of(t, UNITS), "students": first_of(t, STUDENTS)})
+    b = b.withColumns({"shape": shape, "currency": currency, "unit": first_of(t, UNITS), "students": first_of(t, STUDENTS), "student_categories": all_of(t, STUDENTS)})
     b = b.filter((said | headed) & ((F.col("first") != "") | (t.rlike(VARIES) & said)))
     s, low, high = F.col("shape"), number(F.when(two, F.col("left")).otherwise(F.col("first"))), number(F.when(two, F.col("right")).otherwise(F.col("first")))
     return b.select(
-        "page_id", "place", "shape", F.when(~s.isin("VARIABLE", "UP_TO"), low).alias("amount_min"), F.when(~s.isin("VARIABLE", "FROM"), high).alias("amount_max"), "currency", "unit", "students",
+        "page_id", "place", "shape", F.when(~s.isin("VARIABLE", "UP_TO"), low).alias("amount_min"), F.when(~s.isin("VARIABLE", "FROM"), high).alias("amount_max"), "currency", "unit", "students", "student_categories",
         F.when((F.col("type") == "td") & (s != "AMBIGUOUS"), "HIGH").when(said & headed, "MEDIUM").otherwise("LOW").alias("band"),
         F.array_compact(F.array(
             F.when(s == "AMBIGUOUS", "AMOUNT_SHAPE_AMBIGUOUS"), F.when(F.col("currency").isNull(), "CURRENCY_ABSENT"),

@@ -30,6 +30,11 @@ def test_fees_of_each_shape(spark):
     assert got[2].unresolved == ["AMOUNT_SHAPE_AMBIGUOUS", "BILLING_UNIT_UNRESOLVED", "STUDENT_CATEGORY_UNRESOLVED"]
 
 
+def test_fees_name_all_groups_of_students(spark):
+    got = extract.fees(page(spark, "Fee £9,000 for home and international students", "Fee £9,000", "Fee £9,000 for non-local students")).orderBy("place").collect()
+    assert [r.student_categories for r in got] == [["INTERNATIONAL", "HOME"], [], ["NON_LOCAL"]]
+
+
 def test_fees_need_an_amount_that_stands_alone_outside_chrome(spark):
     assert extract.fees(page(spark, "Fees: Evanston, IL 60208", "The fee code is 122,0,223", "Costs in 2027")).count() == 0
     assert extract.fees(page(spark, "Fee £9,000", chrome=True)).count() == 0
