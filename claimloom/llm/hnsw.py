@@ -144,26 +144,54 @@ class Graph:
             at = self.beam(q, at, layer, 4)[0]
         return self.beam(q, at, 0, width)
 
+    def audit_sample(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """``AUDITS`` members whose links can't fill the first beam and ``AUDITS`` whose links can, fewer where the shard has fewer.
+
+        Members without a link to another tell nothing and are passed over; more are drawn until both are found or all are drawn.
+        """
+        order = np.random.default_rng(len(self.v)).permutation(len(self.v))
+        sparse, dense = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a in range(0, len(order), 512):
+            part = order[a : a + 512]
+            others = (self.v[part] @ self.v.T >= threshold).sum(axis=1) - 1
+            sparse = np.concatenate([sparse, part[(others > 0) & (others < BEAM)]])
+            dense = np.concatenate([dense, part[others >= BEAM]])
+            if len(sparse) >= AUDITS and len(dense) >= AUDITS:
+                break
+        return sparse[:AUDITS], dense[:AUDITS]
+
     def audited_width(self, threshold: float) -> int:
-        """The first beam, doubled until audits find what a scan finds; the whole shard at last."""
+        """The first beam, doubled until audits find what a scan finds; the whole shard at last.
+
+        Sparse members, dense members and vectors beside members have to reach ``RECALL`` each, as the mean
+        over queries of the share of their links that is found; a member's hit on itself doesn't count.
+        """
         rng = np.random.default_rng(len(self.v))
         member = self.v[rng.choice(len(self.v), min(AUDITS, len(self.v)), replace=False)]
         noise = rng.normal(size=member.shape)
         noise -= (noise * member).sum(axis=1, keepdims=True) * member
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-9)
         c = threshold + (1 - threshold) / 10
-        q = np.concatenate([member, c * member + np.sqrt(1 - c * c) * noise]).astype(np.float32)
-        true = q @ self.v.T >= threshold
+        beside = (c * member + np.sqrt(1 - c * c) * noise).astype(np.float32)
+        audits = [(self.v[m], m[:, None]) for m in self.audit_sample(threshold)] + [(beside, np.full((len(beside), 1), -1))]
         width = BEAM
         while width < len(self.v):
-            ids, sims = self.search(q, width)
-            full = sims[:, -1] >= threshold  # such queries scan the shard
-            found = ((sims >= threshold) & (ids >= 0)).sum(axis=1)
-            if np.where(full, true.sum(axis=1), found).sum() >= RECALL * true.sum():
+            if all(self.recall(q, own, threshold, width) >= RECALL for q, own in audits):
                 return width
             width *= 2
         return len(self.v)
 
+    def recall(self, q: np.ndarray, own: np.ndarray, threshold: float, width: int) -> float:
+        """Mean share of the links of ``q`` that a beam finds, without the node ``own`` of each; 1 if none has a link."""
+        if not len(q):
+            return 1.0
+        true = ((q @ self.v.T >= threshold) & (np.arange(len(self.v)) != own)).sum(axis=1)
+        ids, sims = self.search(q, width)
+        full = sims[:, -1] >= threshold  # such queries scan the shard
+        found = ((sims >= threshold) & (ids >= 0) & (ids != own)).sum(axis=1)
+        some = true > 0
+        return float(np.where(full, 1, np.minimum(found / np.maximum(true, 1), 1))[some].mean()) if some.any() else 1.0
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each id on a link to the smallest id that these links reach."""

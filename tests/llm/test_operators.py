@@ -111,6 +111,27 @@ def test_embedding_links_are_brute_force(spark):
     assert got == {a: (n[a], min(link[a]), min(link[a]) == a) for a in n}
 
 
+def test_audit_widens_beams_that_miss_sparse_links_beside_a_large_group():
+    rng = np.random.default_rng(6)
+    centre, base = rng.normal(size=32), rng.normal(size=(300, 32))
+    x = np.concatenate([centre + 0.1 * rng.normal(size=(300, 32)), base, base + 0.1 * rng.normal(size=base.shape)])
+
+    class Blind(hnsw.Graph):
+        """Scans, but finds beside a sparse member only the member itself until the beam is 64 wide."""
+
+        def search(self, q, width):
+            sims = q @ self.v.T
+            if width < 64:
+                lone = (sims >= 0.93).sum(axis=1) < 32
+                sims[lone[:, None] & (sims < sims.max(axis=1, keepdims=True))] = -2
+            ids = np.argsort(-sims, axis=1)[:, :width]
+            return ids, np.take_along_axis(sims, ids, axis=1)
+
+    graph = Blind.__new__(Blind)
+    graph.v = hnsw.unit(x).astype(np.float32)
+    assert graph.audited_width(0.93) == 64
+
+
 def slow_jp(a, b):
     return sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in {*a, *b}) for d in {*a} & {*b})
 
