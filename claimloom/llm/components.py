@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,8 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.filter("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = small.select("u", F.col("m").alias("v")).union(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = materialize(e.distinct(), "edges")
+        pointed = small.select("u", F.col("m").alias("v")).union(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        before, e = e, materialize(pointed.distinct(), "edges")
+        release(before)
         now = e.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)")).head()
         if now == last:
             break

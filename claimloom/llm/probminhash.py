@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .batches import by_bytes
 from .components import components
-from .store import materialize
+from .store import columns_of, materialize
 from .tokens import coded_words
 
 WORDS = 5
@@ -313,6 +313,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 def one_of_each_class(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` marks as kept, with all their columns."""
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*docs.columns).alias("row")), "minhash-rows")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*columns_of(docs)).alias("row")), "minhash-rows")
     kept = classified(_rows(rows.select("n", "row.doc_id", "row.text")), similarity).filter("kept").select("n")
     return rows.join(kept, "n", "left_semi").select("row.*")
