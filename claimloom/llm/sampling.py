@@ -20,7 +20,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     """About ``rows`` labelled documents (``rows`` / classes of each class) outside fold ``held_out``.
 
     Chosen by a digest of the id, so reruns agree. A document that is labelled more than once
-    counts with its largest label; null labels and ids don't count. Columns: doc_id, text, label.
+    counts with its largest label, an id that stands on several texts with the least of them; null labels and ids
+    don't count. Columns: doc_id, label, text.
     """
     l = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     l = l.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -30,4 +31,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
         share = F.when(F.col("label") == value, F.lit(rows / max(1, len(counts)) / n)).otherwise(share)
     chosen = l.filter(place(F.col("doc_id")) < share)
     # about ``rows`` ids and labels, whatever the input's size, so the texts needn't be shuffled
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
