@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Every symbol has a sparse index vector of +1 and -1 (from a digest). A symbol's context vector
-sums the index vectors of its neighbours; documents pool the vectors of their symbols. A
+sums the index vectors of its neighbours in all documents; documents pool the vectors of their symbols. A
 network of two layers, trained by numpy, gives a probability; a temperature fitted on rows
 that training didn't see calibrates it.
 A word gives two symbols: its letters and its shape (THE!! -> A!, thing. -> a.); a word equal to
@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import by_bytes
+from .batches import CACHE_BYTES, by_bytes, remembered, text_function
 from .sampling import fold, labelled_sample
 from .store import materialize
 from .tokens import coded_words, sums_by_text
@@ -28,8 +28,6 @@ from .tokens import coded_words, sums_by_text
 #: Symbols share this many context vectors of so many numbers; an index vector has this many non-zeros.
 BUCKETS, DIM, NONZEROS, WINDOW = 1 << 15, 32, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.004, 1e-4
-#: Words whose symbols a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
 #: Bytes of text pooled at once, as a slice holds DIM numbers for each word.
 SLICE = 1 << 20
 REPEATED = zlib.crc32(b"\x00repeated") % BUCKETS
@@ -40,9 +38,9 @@ OTHER = re.compile(r"(\d|\W|_)\1+|\d+")
 
 
 def symbols(word: str) -> tuple[int, int]:
-    """Buckets of the word's letters and of its shape."""
+    """Buckets of the word's letters and of its whole shape."""
     letters = "".join(filter(str.isalpha, word)).lower()
-    shape = re.sub(r"[0-9]+", "0", OTHER.sub(r"\1", LOWER.sub("a", UPPER.sub("A", word))))[:12]
+    shape = re.sub(r"[0-9]+", "0", OTHER.sub(r"\1", LOWER.sub("a", UPPER.sub("A", word))))
     return zlib.crc32(letters.encode()) % BUCKETS, zlib.crc32(b"\x01" + shape.encode()) % BUCKETS
 
 
@@ -50,16 +48,20 @@ class Symbols:
     """Words of slices as symbol codes, two for each word."""
 
     def __init__(self):
-        self.of: dict[str, tuple[int, int]] = {}
+        self.of: dict[str, int] = {}
+        self.held = 0
 
     def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         codes, words, begins = coded_words(texts)
-        if len(self.of) > CACHE_WORDS:
-            self.of = {}
-        for w in words:
-            if w not in self.of:
-                self.of[w] = symbols(w)
-        table = np.array([self.of[w] for w in words], dtype=np.int64).reshape(-1, 2)
+        fresh = [w for w in words if w not in self.of]
+        self.held += remembered(fresh, 32)
+        if self.held > CACHE_BYTES:
+            self.of, fresh, self.held = {}, words, remembered(words, 32)
+        for w in fresh:
+            letters, shape = symbols(w)
+            self.of[w] = letters * BUCKETS + shape
+        both = np.array([self.of[w] for w in words], dtype=np.int64)
+        table = np.stack([both // BUCKETS, both % BUCKETS], axis=1)
         out = table[codes] if len(codes) else np.zeros((0, 2), np.int64)
         same = np.zeros(len(codes), bool)
         same[1:] = codes[1:] == codes[:-1]
@@ -69,26 +71,33 @@ class Symbols:
         return out, begins
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the non-zeros of every bucket's index vector."""
+def index_vectors() -> np.ndarray:
+    """Every bucket's index vector: NONZEROS of +1 or -1 at places that may coincide, else zero."""
     rng = np.random.default_rng(20240229)
-    return rng.integers(0, DIM, (BUCKETS, NONZEROS)), rng.choice([-1, 1], (BUCKETS, NONZEROS))
+    place, sign = rng.integers(0, DIM, (BUCKETS, NONZEROS)), rng.choice([-1, 1], (BUCKETS, NONZEROS))
+    out = np.zeros((BUCKETS, DIM), np.int8)
+    np.add.at(out, (np.arange(BUCKETS)[:, None], place), sign.astype(np.int8))
+    return out
 
 
 def contexts(coded: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Sum of the index vectors of all neighbours within the window, letters with letters and shapes with shapes."""
-    place, sign = index_vectors()
-    out = np.zeros(BUCKETS * DIM, np.int64)
+    index = np.concatenate([index_vectors(), np.zeros((1, DIM), np.int8)])  # the last one stands between documents
+    out = np.zeros((BUCKETS, DIM), np.int64)
     for syms, begins in coded:
-        owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-        for step in range(1, WINDOW + 1):
-            near = owner[step:] == owner[:-step]
-            for side in (0, 1):
-                a, b = syms[step:, side][near], syms[:-step, side][near]
-                for me, other in ((a, b), (b, a)):
-                    at = me[:, None] * DIM + place[other]
-                    out += np.bincount(at.ravel(), sign[other].ravel(), minlength=len(out)).astype(np.int64)
-    return out.reshape(BUCKETS, DIM)
+        if not len(syms):
+            continue
+        at = np.arange(len(syms)) + WINDOW * (1 + np.repeat(np.arange(len(begins) - 1), np.diff(begins)))
+        for side in (0, 1):
+            row = np.full(at[-1] + WINDOW + 1, BUCKETS, np.int64)
+            row[at] = syms[:, side]
+            vectors = index[row]
+            near = sum((vectors[at + step] for step in range(-WINDOW, WINDOW + 1) if step), np.zeros((len(at), DIM), np.int8))
+            order = np.argsort(syms[:, side].astype(np.uint16), kind="stable")
+            bucket = syms[order, side]
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            out[bucket[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
+    return out
 
 
 @dataclass
@@ -116,9 +125,7 @@ def pooled(vectors: np.ndarray, syms: np.ndarray, begins: np.ndarray) -> np.ndar
 
 def unit(counts: np.ndarray) -> np.ndarray:
     """Context vectors of length 1, each with a share of the symbol's own index vector."""
-    place, sign = index_vectors()
-    own = np.zeros((BUCKETS, DIM))
-    np.add.at(own, (np.arange(BUCKETS)[:, None], place), sign)
+    own = index_vectors().astype(float)
     size = lambda x: np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     return (counts / size(counts.astype(float)) + own / size(own)).astype(np.float32)
 
@@ -144,33 +151,41 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, ...]
     return tuple(p)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, folds: int = 5, held_out: int = 0) -> QualityModel | None:
-    """Fit on about ``rows`` labelled documents, half of each class, outside fold ``held_out``; None without both classes.
-
-    The bound keeps what the driver gets fixed: ``rows`` pooled vectors and BUCKETS context vectors.
-    """
-    sample = materialize(labelled_sample(docs, labels, "quality", rows, folds, held_out).coalesce(6), "quality-sample")
+def context_counts(docs: DataFrame) -> np.ndarray:
+    """Context sums of all buckets over all of ``docs``: each task adds up its texts, so at most BUCKETS rows leave it."""
+    cols = [f"c{j}" for j in range(DIM)]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Symbols()
         counts = contexts(coder.coded(b.column("text")) for b in by_bytes(batches, "text", SLICE))
         some = np.flatnonzero(counts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(counts[some, j]) for j in range(DIM)]], names=["bucket", *[f"c{j}" for j in range(DIM)]])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(counts[some, j]) for j in range(DIM)]], names=["bucket", *cols])
 
-    cols = [f"c{j}" for j in range(DIM)]
-    sums = sample.select("text").mapInArrow(summed, ", ".join(["bucket long", *[f"{c} long" for c in cols]])).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
+    sums = docs.select("text").mapInArrow(summed, ", ".join(["bucket long", *[f"{c} long" for c in cols]])).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
     counts = np.zeros((BUCKETS, DIM), np.int64)
     counts[sums["bucket"].to_numpy(np.int64)] = sums[cols].to_numpy(np.int64)
-    vectors = unit(counts)
-    got = score_rows(sample, vectors).toPandas().sort_values("doc_id")
-    if got["label"].nunique() < 2:
+    return counts
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, folds: int = 5, held_out: int = 0) -> QualityModel | None:
+    """Word vectors from all texts; the network on about ``rows`` labelled documents, half of each class, outside fold ``held_out``.
+
+    None without both classes. The bound keeps what the driver gets fixed: ``rows`` pooled vectors and BUCKETS context vectors.
+    """
+    sample = materialize(labelled_sample(docs, labels, "quality", rows, folds, held_out).coalesce(6), "quality-sample")
+    classes = sample.agg(F.countDistinct(F.col("label") > 0)).head()[0]
+    if classes < 2:
         return None
+    vectors = unit(context_counts(docs))
+    got = score_rows(sample, vectors).toPandas().sort_values("doc_id")
     x, y = np.stack(got["pooled"].to_numpy()), (got["label"].to_numpy() > 0).astype(float)
     apart = np.arange(len(x)) % 5 == 0  # for the temperature
+    if len(set(y[~apart])) < 2:
+        apart[:] = False
     mean, spread = x[~apart].mean(0), x[~apart].std(0) + 1e-6
     layers = train((x[~apart] - mean) / spread, y[~apart])
     best, least = 1.0, np.inf
-    for t in np.geomspace(0.25, 8, 41):
+    for t in np.geomspace(0.25, 8, 41) if apart.any() else ():
         p = QualityModel(vectors, mean, spread, layers, t).probability(x[apart])
         loss = -np.mean(np.log(np.where(y[apart] > 0, p, 1 - p) + 1e-12))
         if loss < least:
@@ -188,25 +203,35 @@ def score_rows(sample: DataFrame, vectors: np.ndarray) -> DataFrame:
             x = pooled(shared.value, *coder.coded(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "pooled"])
 
-    return sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, pooled array<double>")
+    return sample.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id string, label int, pooled array<double>")
 
 
-def predict(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), folds: int = 5, held_out: int = 0) -> DataFrame:
-    """``keep`` columns, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``, from its whole text alone.
-
-    Texts that are null or have no word score 0. Without a model (no labels of both
-    classes) every other text scores 0.5. Repeated rows are each scored; other columns are left out.
-    """
+def scorer(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3) -> Callable[[Column], Column]:
+    """A function of a text column: struct of ``score`` and ``predicted``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], pa.Array]:
         coder, m = Symbols(), shared.value
-        for b in by_bytes(batches, "__text", SLICE):
-            syms, begins = coder.coded(b.column("__text"))
-            p = m.probability(pooled(m.vectors, syms, begins)) if m else np.full(b.num_rows, 0.5)
+
+        def run(texts: pa.Array) -> pa.Array:
+            syms, begins = coder.coded(texts)
+            p = m.probability(pooled(m.vectors, syms, begins)) if m else np.full(len(texts), 0.5)
             p = np.where(np.diff(begins) > 0, p, 0.0)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("__held"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
+            return pa.StructArray.from_arrays([pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["score", "predicted"])
+
+        return run
 
-    held = (fold(F.col("doc_id"), folds) == held_out).alias("__held")
-    return docs.select(*keep, held, F.col("text").alias("__text")).mapInArrow(run, ", ".join([*fields, "held_out boolean, score double, predicted int"]))
+    return text_function("score double, predicted int", start, SLICE)
+
+
+def predict(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), folds: int = 5, held_out: int = 0) -> DataFrame:
+    """``keep`` columns, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``, from its whole text alone.
+
+    Texts that are null or have no word score 0. Without a model (no labels of both
+    classes) every other text scores 0.5. Repeated rows are each scored; other columns are left out, and
+    columns of ``keep`` that have the name of a result are replaced by it.
+    """
+    results = ("held_out", "score", "predicted")
+    kept = [F.col(f"`{c}`") for c in keep if c not in results]
+    p = scorer(docs, model, threshold)(F.col("text"))
+    return docs.select(*kept, (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), p.alias("__p")).select(*kept, "held_out", "__p.score", "__p.predicted")
