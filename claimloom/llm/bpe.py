@@ -14,14 +14,15 @@ import functools
 import hashlib
 import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .batches import by_bytes, texts
+from .batches import CACHE_BYTES, remembered, text_function, texts
 
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space as Unicode names it.
 PATTERN = (
@@ -29,9 +30,6 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
-#: Chunks a worker remembers between slices; beyond that it starts anew.
-CACHE_CHUNKS = 400_000
-
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -64,8 +62,8 @@ class ByteBpe:
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.words = regex.compile(PATTERN)
-        self.ids_of: dict[str, str] = {}
-        self.raw_of: dict[str, bytes] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.held = 0
 
     def pretokens(self, text: str) -> list[str]:
         """Pre-tokens and special tokens in order; joined they give the text."""
@@ -148,19 +146,22 @@ class ByteBpe:
         odd = {c for c in distinct if not c or c[0].isspace()}
         special = [any(s in t for s in self.special) for t in texts_]
         whole = [s or not odd.isdisjoint(p[1:]) for s, p in zip(special, split, strict=True)]
-        if len(self.ids_of) > CACHE_CHUNKS:
-            self.ids_of, self.raw_of = {}, {}
-        fresh = [c for c in distinct - self.ids_of.keys() if c not in odd]
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        fresh = [c for c in distinct - self.known.keys() if c not in odd]
         cut = [self.words.findall(" " + c) for c in fresh]
         first = [self.pretokens(t if w else p[0]) for t, w, p in zip(texts_, whole, split, strict=True)]
         words = list(set(itertools.chain(*cut, *first)))
-        ids, raw = (dict(zip(words, x, strict=True)) for x in self.encoded(words))
-        self.ids_of.update((c, ",".join([ids[w] for w in ws])) for c, ws in zip(fresh, cut, strict=True))
-        self.raw_of.update((c, b"".join([raw[w] for w in ws])) for c, ws in zip(fresh, cut, strict=True))
+        coded = dict(zip(words, zip(*self.encoded(words), strict=True), strict=True))
+
+        def joined(parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+            return ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+
+        new = [joined([coded[w] for w in ws]) for ws in cut]
+        self.held += remembered(fresh, 150) + sum(len(ids) + len(raw) for ids, raw in new)
+        self.known.update(zip(fresh, new, strict=True))
         for w, p, ws in zip(whole, split, first, strict=True):
-            tail = [] if w else p[1:]
-            listed = [ids[x] for x in ws] + list(map(self.ids_of.__getitem__, tail))
-            yield ",".join(listed), b"".join([raw[x] for x in ws] + list(map(self.raw_of.__getitem__, tail)))
+            yield joined([coded[x] for x in ws] + ([] if w else list(map(self.known.__getitem__, p[1:]))))
 
     def encode(self, text: str) -> list[int]:
         listed, _ = next(self.coded([text]))
@@ -186,29 +187,31 @@ def encode_documents(
 
     Returns ``keep`` columns, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, on request,
     the ``ids`` themselves and the ``decoded`` text. A null text counts as empty (no tokens,
-    digests of the empty string); repeated rows are each encoded; other columns are left out.
+    digests of the empty string); repeated rows are each encoded; other columns are left out, and columns of
+    ``keep`` that have the name of a result are replaced by it.
     ``vocabulary`` is the path of a byte-level BPE file that every executor can open.
     """
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    fields += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
-    fields += ["ids array<int>", "decoded string"] if with_ids else []
+    results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
+    kinds = ["long", "string", "string", "array<int>", "string"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], pa.Array]:
         bpe = load(vocabulary)
-        for part in by_bytes(batches, "__text"):
+
+        def run(column: pa.Array) -> pa.Array:
             counts, id_hash, text_hash, ids, decoded = [], [], [], [], []
-            for listed, raw in bpe.coded(texts(part, "__text")):
+            for listed, raw in bpe.coded(texts(column)):
                 counts.append(listed.count(",") + 1 if listed else 0)
                 id_hash.append(hashlib.sha256(listed.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
                 if with_ids:
                     ids.append([int(i) for i in listed.split(",")] if listed else [])
                     decoded.append(raw.decode("utf-8", "replace"))
-            columns = [part.column(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(id_hash), pa.array(text_hash)]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, ", ".join(fields))
+            columns = [pa.array(counts, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
+            columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []
+            return pa.StructArray.from_arrays(columns, names=results)
+
+        return run
+
+    kept = [F.col(f"`{c}`") for c in keep if c not in results]
+    coded = text_function(", ".join(f"{n} {k}" for n, k in zip(results, kinds, strict=False)), start)(docs[text])
+    return docs.select(*kept, coded.alias("__p")).select(*kept, *[f"__p.{n}" for n in results])
