@@ -1,31 +1,30 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
 One weight per feature (a word, or the first letters of one) is shared by all thresholds: P(grade >= k) = sigmoid(w.x - theta_k), with
-rising thetas. The features are those whose document frequency tells the classes apart most, by the pooled
+rising thetas. Labels are whole numbers, zero or below for clean texts; the different ones above zero are the grades 1, 2, ... in
+their order, so labels of 0 and 1 give one threshold. The features are those whose document frequency tells clean and other texts apart most, by the pooled
 two-proportion z, which does not punish words that no document of a class holds.
-The labels know only toxic or not; a toxic training document is graded 2 if it holds more marker
-words than the median toxic one, else 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import by_bytes
+from .batches import by_bytes, text_function
 from .langid import letters_only
 from .sampling import fold, labelled_sample
 from .store import materialize
 from .tokens import coded_words
 
-GRADES = 2
-#: Words kept at most, the least documents that hold one, and the significance of its class difference that makes a toxic word a marker.
-FEATURES, LEAST_DOCS, LEAST_Z = 4_096, 8, 5.0
+#: Words kept at most and the least documents that hold one.
+FEATURES, LEAST_DOCS = 4_096, 8
 STEPS, RATE, DECAY = 400, 0.1, 3e-4
 
 
@@ -36,7 +35,7 @@ class ToxicityModel:
     thresholds: np.ndarray
 
     def at_least(self, strength: np.ndarray) -> np.ndarray:
-        """P(grade >= k) by document and k = 1 .. GRADES."""
+        """P(grade >= k) by document and k = 1, 2, ... up to the highest grade."""
         return 1 / (1 + np.exp(-np.clip(strength[:, None] - self.thresholds, -40, 40)))
 
 
@@ -47,7 +46,7 @@ def features(word: str) -> tuple[str, ...]:
 
 def coded_features(texts: pa.Array) -> tuple[np.ndarray, list[str]]:
     """A number for the document and feature of every occurrence, and the features."""
-    codes, words, begins = coded_words(letters_only(texts))
+    codes, words, begins = coded_words(letters_only(pc.utf8_lower(texts.fill_null(""))))
     names = {f: i for i, f in enumerate(dict.fromkeys(f for w in words for f in features(w)))}
     of = np.array([[names[f] for f in features(w)] for w in words], dtype=np.int64).reshape(-1, 3)
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
@@ -57,7 +56,7 @@ def coded_features(texts: pa.Array) -> tuple[np.ndarray, list[str]]:
 
 def hits(texts: pa.Array, id_of: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, feature and count of every model feature that a document holds."""
-    codes, words, begins = coded_words(letters_only(texts))
+    codes, words, begins = coded_words(letters_only(pc.utf8_lower(texts.fill_null(""))))
     of = np.array([[id_of.get(f, -1) for f in features(w)] for w in words], dtype=np.int64).reshape(-1, 3)
     some = (of >= 0).any(axis=1)
     at = np.flatnonzero(some[codes]) if len(codes) else np.zeros(0, np.int64)
@@ -80,12 +79,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n[0]), pa.array(n[1])], names=["word", "n0", "n1"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, folds: int = 5, held_out: int = 0) -> ToxicityModel | None:
-    """Fit on about ``rows`` labelled documents, half of each class, outside fold ``held_out``; None without both classes.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_000, folds: int = 5, held_out: int = 0) -> ToxicityModel | None:
+    """Fit on about ``rows`` labelled documents, as many of each label, outside fold ``held_out``; None without clean and other ones.
 
-    The driver gets at most FEATURES words and the feature counts of ``rows`` documents.
+    The driver gets at most FEATURES words and the feature counts of ``rows`` documents; ``label`` is a closed set of grades.
     """
-    sample = materialize(labelled_sample(docs, labels, "toxic", rows, folds, held_out), "toxicity-sample")
+    sample = materialize(labelled_sample(docs, labels, label, rows, folds, held_out), "toxicity-sample")
     total = {bool(r["label"]): r["n"] for r in sample.groupBy((F.col("label") > 0).alias("label")).agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return None
@@ -98,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, folds: int = 5, h
         .filter(F.col("n0") + F.col("n1") >= LEAST_DOCS).withColumn("z", z)
         .orderBy(F.abs("z").desc(), "word").limit(FEATURES).toPandas()
     )
-    words, marker = found["word"].tolist(), (found["z"] >= LEAST_Z).to_numpy()
+    words = found["word"].tolist()
     id_of = {w: i for i, w in enumerate(words)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,62 +106,72 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, folds: int = 5, h
             cut = np.searchsorted(doc, np.arange(1, b.num_rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([x.tolist() for x in np.split(feature, cut)], pa.list_(pa.int32())), pa.array([x.tolist() for x in np.split(n, cut)], pa.list_(pa.int32()))], names=["doc_id", "label", "f", "n"])
 
-    got = sample.mapInArrow(counted, "doc_id long, label int, f array<int>, n array<int>").toPandas().sort_values("doc_id").reset_index(drop=True)
+    got = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "text").mapInArrow(counted, "doc_id string, label int, f array<int>, n array<int>")
+    got = got.toPandas().sort_values("doc_id").reset_index(drop=True)
     row = np.repeat(np.arange(len(got)), got["f"].map(len))
     col = np.concatenate([*got["f"], []]).astype(np.int64)
-    n = np.concatenate([*got["n"], []])
-    grade = (got["label"].to_numpy() > 0).astype(int)
-    markers = np.bincount(row, n * marker[col], minlength=len(got)) if len(words) else np.zeros(len(got))
-    grade[(grade > 0) & (markers > np.median(markers[grade > 0]))] = 2
-    return train(words, row, col, grade)
+    values = got["label"].to_numpy()
+    return train(words, row, col, np.searchsorted(np.unique(values[values > 0]), values, side="right"))
 
 
 def train(words: list[str], row: np.ndarray, col: np.ndarray, grade: np.ndarray) -> ToxicityModel:
-    """Adam on the log loss of all thresholds; thetas are a first one and positive steps."""
-    w, theta = np.zeros(len(words)), np.array([0.0, 0.0])
-    params = [w, theta]
+    """Adam on the log loss of all thresholds; the thetas are a first one and positive steps to the next ones.
+
+    ``row`` and ``col`` name the document and feature of each hit, ``grade`` (0, 1, ...) is by document.
+    """
+    grades = int(grade.max(initial=1))
+    params = [np.zeros(len(words)), np.zeros(grades)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    target = grade[:, None] >= np.arange(1, GRADES + 1)
+    target = grade[:, None] >= np.arange(1, grades + 1)
+
+    def cuts(theta: np.ndarray) -> np.ndarray:
+        return theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
+
     for t in range(1, STEPS + 1):
         w, theta = params
-        cuts = np.array([theta[0], theta[0] + np.exp(theta[1])])
         s = np.bincount(row, w[col], minlength=len(grade))
-        p = ToxicityModel(words, w, cuts).at_least(s)
-        d = (p - target) / len(grade)
+        d = (ToxicityModel(words, w, cuts(theta)).at_least(s) - target) / len(grade)
         back = d.sum(axis=1)
-        grads = [np.bincount(col, back[row], minlength=len(words)) + DECAY * w, np.array([-d.sum(), -d[:, 1].sum() * np.exp(theta[1])])]
+        later = -np.cumsum(d.sum(axis=0)[::-1])[::-1]  # a step moves its own threshold and all above it
+        grads = [np.bincount(col, back[row], minlength=len(words)) + DECAY * w, later * np.concatenate([[1.0], np.exp(theta[1:])])]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             params[i] = params[i] - RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-9)
-    w, theta = params
-    return ToxicityModel(words, w, np.array([theta[0], theta[0] + np.exp(theta[1])]))
+    return ToxicityModel(words, params[0], cuts(params[1]))
 
 
-def predict(docs: DataFrame, model: ToxicityModel | None, keep: tuple[str, ...] = ("doc_id",), folds: int = 5, held_out: int = 0) -> DataFrame:
-    """``keep`` columns, ``held_out``, ``score`` (P(grade >= 1)), ``expected_severity`` (0 to GRADES), ``grade`` and ``predicted``.
-
-    Every row of ``docs`` is graded from its whole text. ``grade`` is the number of thresholds
-    passed with probability 0.5, ``predicted`` is 1 if that is at least 1. Null and empty
-    texts have no feature; without a model (no labels of both classes) all scores are 0.
-    """
+def grader(docs: DataFrame, model: ToxicityModel | None) -> Callable[[Column], Column]:
+    """A function of a text column: struct of ``score``, ``expected_severity``, ``grade`` and ``predicted``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], pa.Array]:
         m = shared.value
         id_of = {w: i for i, w in enumerate(m.words)} if m else {}
-        for b in by_bytes(batches, "__text"):
+
+        def run(texts: pa.Array) -> pa.Array:
+            p = np.zeros((len(texts), 1))
             if m:
-                doc, feature, _ = hits(b.column("__text"), id_of)
-                p = m.at_least(np.bincount(doc, m.weights[feature], minlength=b.num_rows) if len(doc) else np.zeros(b.num_rows))
-            else:
-                p = np.zeros((b.num_rows, GRADES))
+                doc, feature, _ = hits(texts, id_of)
+                p = m.at_least(np.bincount(doc, m.weights[feature], minlength=len(texts)) if len(doc) else np.zeros(len(texts)))
             grade = (p >= 0.5).sum(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in keep], b.column("__held"), pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(grade), pa.array((grade > 0).astype(np.int32))],
-                names=[*keep, "held_out", "score", "expected_severity", "grade", "predicted"],
-            )
+            return pa.StructArray.from_arrays(
+                [pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(grade), pa.array((grade > 0).astype(np.int32))], names=["score", "expected_severity", "grade", "predicted"])
+
+        return run
+
+    return text_function("score double, expected_severity double, grade int, predicted int", start)
 
-    held = (fold(F.col("doc_id"), folds) == held_out).alias("__held")
-    return docs.select(*keep, held, F.col("text").alias("__text")).mapInArrow(run, ", ".join([*fields, "held_out boolean, score double, expected_severity double, grade int, predicted int"]))
+
+def predict(docs: DataFrame, model: ToxicityModel | None, keep: tuple[str, ...] = ("doc_id",), folds: int = 5, held_out: int = 0) -> DataFrame:
+    """``keep`` columns, ``held_out``, ``score`` (P(grade >= 1)), ``expected_severity`` (0 to the highest grade), ``grade`` and ``predicted``.
+
+    Every row of ``docs`` is graded from its whole text. ``grade`` is the number of thresholds
+    passed with probability 0.5, ``predicted`` is 1 if that is at least 1. Null and empty
+    texts have no feature; without a model (no clean and other labels) all scores are 0. Repeated rows are each graded; other columns are
+    left out, and columns of ``keep`` that have the name of a result are replaced by it.
+    """
+    results = ("held_out", "score", "expected_severity", "grade", "predicted")
+    kept = [F.col(f"`{c}`") for c in keep if c not in results]
+    p = grader(docs, model)(F.col("text"))
+    return docs.select(*kept, (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), p.alias("__p")).select(*kept, "held_out", *[f"__p.{r}" for r in results[1:]])
