@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .probminhash import mix
-from .store import materialize
+from .store import materialize, release
 
 #: Neighbours of a node above and on the ground layer, beam while building and first beam of searches.
 M, M0, BUILD_BEAM, BEAM = 12, 24, 48, 32
 #: Vectors of a shard, and of a block of queries, on average at most; shards of a label at least.
-SHARD, BLOCK, LEAST_SHARDS = 8_192, 4_096, 2
+SHARD, BLOCK, LEAST_SHARDS = 16_384, 16_384, 2
 AUDITS, RECALL = 48, 0.97
 #: Links found at once before they are turned to a forest.
 LINKS = 2_000_000
@@ -34,12 +34,12 @@ LINKS = 2_000_000
 class Graph:
     """A layered graph over unit vectors; layer 0 holds all of them."""
 
-    def __init__(self, unit: np.ndarray, ids: np.ndarray):
+    def __init__(self, unit: np.ndarray, seeds: np.ndarray):
         self.v = unit.astype(np.float32)
-        u = ((mix(ids.astype(np.uint64) + np.uint64(77)) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+        u = ((mix(seeds.astype(np.uint64) + np.uint64(77)) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
         level = np.minimum((-np.log(u) / np.log(M)).astype(int), 6)
-        order = np.argsort(mix(ids.astype(np.uint64) + np.uint64(5)), kind="stable")
-        self.near = [np.full((len(ids), M0 if layer == 0 else M), -1, np.int32) for layer in range(level.max(initial=0) + 1)]
+        order = np.argsort(mix(seeds.astype(np.uint64) + np.uint64(5)), kind="stable")
+        self.near = [np.full((len(seeds), M0 if layer == 0 else M), -1, np.int32) for layer in range(level.max(initial=0) + 1)]
         self.entry, self.top = int(order[0]), int(level[order[0]])
         a, size = 1, 1
         while a < len(order):
@@ -264,44 +264,49 @@ def links_of(queries: pd.DataFrame, shard: pd.DataFrame, threshold: float) -> pd
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Rows with a null label, a null or empty vector, a zero vector or null or non-finite components
+    Rows with a null label or id, a null or empty vector, a zero vector or null or non-finite components
     link with nothing; vectors link only with those of equal label and length. Rows that
-    repeat an id are vectors of their own. Other columns are ignored.
+    repeat an id are vectors of their own, each counted and linked by itself; ``component_id`` is the smallest id among all vectors that
+    links reach, and ``kept`` holds for every row of that id. Other columns are ignored.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = v.withColumn("ok", F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & fine, F.lit(False)))
-    key = F.when(F.col("ok"), F.xxhash64("label", "embedding"))
-    v = v.withColumn("h", key)
+    ok = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & fine, F.lit(False))
+    v = v.withColumn("h", F.when(ok, F.xxhash64("label", "embedding")))
+    # equal vectors of a label are one class; its number is what graphs, links and components know it by
     classes = materialize(
-        v.filter("ok").groupBy("h", "label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-        .withColumn("dim", F.size("embedding")), "hnsw-classes")
+        v.filter("h is not null").groupBy("h", "label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+        .withColumn("dim", F.size("embedding")).withColumn("id", F.monotonically_increasing_id()), "hnsw-classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).select(
         "label", "dim", F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / shard)).cast("int").alias("shards"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = classes.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, ["label", "dim"])
-    members = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.col("shards")).cast("int"))
+    members = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "h"), F.col("shards")).cast("int"))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
+        rows = rows.sort_values(["h", "id"])
         exact = unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
-        ids = rows["id"].to_numpy()
-        graph = Graph(exact, ids)
-        packed = pickle.dumps((graph, ids, rows["copies"].to_numpy(), exact, graph.audited_width(threshold)))
+        graph = Graph(exact, rows["h"].to_numpy())
+        packed = pickle.dumps((graph, rows["id"].to_numpy(), rows["copies"].to_numpy(), exact, graph.audited_width(threshold)))
         return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "blocks": [int(rows["blocks"].iloc[0])], "graph": [packed]})
 
     label = vectors.schema["label"].dataType.simpleString()
     graphs = materialize(members.groupBy("label", "dim", "shard").applyInPandas(build, f"label {label}, dim int, shard int, blocks int, graph binary"), "hnsw-graphs")
     each_block = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each_shard = (
-        dealt.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int"))
+        dealt.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "h"), F.col("blocks")).cast("int"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("label", "dim", "shard", "block", "id", "embedding")
     )
     keys = ["label", "dim", "shard", "block"]
     found = each_shard.groupBy(*keys).cogroup(each_block.select(*keys, "graph").groupBy(*keys)).applyInPandas(lambda q, s: links_of(q, s, threshold), "id long, other long, n long")
     found = materialize(found, "hnsw-links")
+    release(graphs)
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
-    comp = components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    named = classes.join(n, "id", "left").join(comp, "id", "left").select("h", "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
+    comp = materialize(components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))), "hnsw-components")
+    least = comp.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = (
+        classes.join(n, "id", "left").join(comp, "id", "left").join(least, "component", "left")
+        .select("h", "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "least").alias("component_id"))
+    )
     out = v.join(named, ["h", "label", "embedding"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -55,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -74,15 +74,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": r"""
 with p as (
-  select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as hexed from pages where page_id is not null
+  select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as hexed from pages
 ), d as (
   select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(0, 5),
     lambda b: (((instr('0123456789abcdef', substr(hexed, 1 + (5 * i + b) // 4, 1)) - 1) >> (3 - (5 * i + b) % 4)) & 1) << (4 - b))) as int), 1)), '') as payload_digest
   from p
-), f as (select *, min(page_id) over (partition by hexed) as first_id from d)
+), f as (select *, row_number() over w as nth, first_value(page_id) over w as first_id from d window w as (partition by hexed order by page_id nulls last, url nulls last))
 select page_id, cast(strlen(html) as bigint) as payload_bytes, payload_digest,
-  case when page_id = first_id then 'response' else 'revisit' end as record_type,
-  case when page_id = first_id then null else first_id end as refers_to,
+  case when nth = 1 then 'response' else 'revisit' end as record_type,
+  case when nth > 1 then first_id end as refers_to,
   replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as target_uri
 from f
 """,
@@ -103,18 +103,19 @@ select k.conv_id, k.n_turns, string_agg('<|' || t.role || '|>' || chr(10) || t.t
 from kept k join t using (conv_id) group by k.conv_id, k.n_turns
 """,
     "op4_embedding_dedup": r"""
-with recursive v as (
-  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+with recursive r as materialized (select row_number() over () as n, vec_id, label, embedding from embeddings),
+v as (
+  select n, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from r
   where label is not null and embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
     and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links as materialized (
-  select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  select a.n as x, b.n as y, b.vec_id as least from v a join v b on a.label = b.label and a.n <> b.n and len(a.e) = len(b.e)
   where list_cosine_similarity(a.e, b.e) >= 0.93
-), reach(x, y) as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x)
-select e.vec_id, (select count(*) from links where x = e.vec_id) as n_links,
-  least(e.vec_id, coalesce((select min(y) from reach where x = e.vec_id), e.vec_id)) as component_id,
-  least(e.vec_id, coalesce((select min(y) from reach where x = e.vec_id), e.vec_id)) = e.vec_id as kept
-from embeddings e
+), reach(x, y) as (select x, y from links union select reach.x, l.y from reach join links l on reach.y = l.x),
+c as (select r.n, least(any_value(r.vec_id), min(o.vec_id)) as component_id from r left join reach on reach.x = r.n left join r o on o.n = reach.y group by r.n),
+k as (select x, count(*) as n_links from links group by x)
+select r.vec_id, coalesce(k.n_links, 0) as n_links, c.component_id, r.vec_id is not distinct from c.component_id as kept
+from r join c using (n) left join k on k.x = r.n
 """,
     "op8_source_mixing": r"""
 with d as (
@@ -144,13 +145,13 @@ select e.doc_id, e.size, e.source_size, e.target,
 from e left join cut on e.source is not distinct from cut.source
 """,
     "op9_exact_topk": r"""
-with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x from embeddings
+with v as materialized (
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x)
-), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+  select q.n, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and q.n <> c.n and len(q.x) = len(c.x)
+), r as (select *, cast(row_number() over (partition by n order by score desc, vec_id) as int) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """,
 }
