@@ -8,6 +8,7 @@ them again, so a lost executor repeats one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimloom.llm import bpe, langid, mixing, probminhash, quality
 from claimloom.llm.queries import table, tokenizer_path
@@ -15,15 +16,15 @@ from claimloom.llm.store import materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
+    """Documents that the quality classifier predicts to be good; texts that are null or without a word go. Columns stay as they are, whatever their names."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.predict(docs, model, keep=tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+    return docs.filter(quality.scorer(docs, model)(F.col("text"))["predicted"] == 1)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised with a probability of at least 0.5."""
+    """Documents whose language is recognised with a probability of at least 0.5; texts without a letter (score 0) go. Columns stay as they are."""
     model = langid.fit(docs, tokenizer_path("piece_bpe_32k.model"))
-    return langid.predict(docs, model, keep=tuple(docs.columns)).filter("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+    return docs.filter(langid.recognizer(docs, model)(F.col("text"))["score"] >= 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +36,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.repeat_taken(mixing.mix(docs)).select(*docs.columns)
+    """Documents as often as the mix takes them: not at all, once or twice; those without a word go. Columns stay as they are."""
+    return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
+    """Token counts and digests of every document of the mix; repeated rows are each encoded, null texts count as empty."""
     return bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -52,7 +53,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Learned models and near-duplicate classes are beyond SQL; a test holds the near-duplicate stage against brute force.
+#: Learned models and near-duplicate classes are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
