@@ -10,7 +10,7 @@ the one before it has a shape of its own.
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import CACHE_BYTES, by_bytes, remembered, text_function
+from .batches import by_bytes, text_function
+from .probminhash import mix
 from .sampling import fold, labelled_sample
 from .store import materialize
 from .tokens import coded_words, sums_by_text
@@ -32,43 +33,62 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.004, 1e-4
 SLICE = 1 << 20
 REPEATED = zlib.crc32(b"\x00repeated") % BUCKETS
 
-UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]+")
-LOWER = re.compile(r"[^\W\d_A]+")
-OTHER = re.compile(r"(\d|\W|_)\1+|\d+")
+#: Base of the digests of sequences of code points.
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+@functools.lru_cache(maxsize=1)
+def _code_points() -> np.ndarray:
+    """Three columns by code point, filled in as code points are met: known or not, its lower-case letter or 0, its sign in a shape."""
+    return np.zeros((3, 0x110000), np.uint32)
+
+
+def _classify(codes: np.ndarray) -> None:
+    table = _code_points()
+    for code in np.unique(codes[table[0, codes] == 0]).tolist():
+        c = chr(code)
+        sign = "A" if c.isupper() or c.istitle() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        table[:, code] = 1, ord(c.lower()[0]) if c.isalpha() else 0, ord(sign)
+
+
+def _digests(codes: np.ndarray, owner: np.ndarray, words: int, seed: int) -> np.ndarray:
+    """A bucket for each word's sequence of codes; ``owner`` (rising) is the word of each."""
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    power = np.cumprod(np.full(int(nth.max(initial=0)) + 1, GOLDEN | np.uint64(1)))
+    total = np.full(words, seed, np.uint64)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    if len(first):
+        total[owner[first]] += np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * power[nth], first)
+    return ((mix(total) >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def symbols_of(words: list[str]) -> np.ndarray:
+    """Buckets of the letters and of the whole shape of every word: runs of one sign count as one there."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    _classify(codes)
+    _, lower, sign = _code_points()
+    letter, shape = lower[codes], sign[codes]
+    some = letter > 0
+    new = np.ones(len(codes), bool)
+    new[1:] = (shape[1:] != shape[:-1]) | (owner[1:] != owner[:-1])
+    return np.stack([_digests(letter[some], owner[some], len(words), 1), _digests(shape[new], owner[new], len(words), 2)], axis=1)
 
 
 def symbols(word: str) -> tuple[int, int]:
-    """Buckets of the word's letters and of its whole shape."""
-    letters = "".join(filter(str.isalpha, word)).lower()
-    shape = re.sub(r"[0-9]+", "0", OTHER.sub(r"\1", LOWER.sub("a", UPPER.sub("A", word))))
-    return zlib.crc32(letters.encode()) % BUCKETS, zlib.crc32(b"\x01" + shape.encode()) % BUCKETS
-
-
-class Symbols:
-    """Words of slices as symbol codes, two for each word."""
-
-    def __init__(self):
-        self.of: dict[str, int] = {}
-        self.held = 0
-
-    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        codes, words, begins = coded_words(texts)
-        fresh = [w for w in words if w not in self.of]
-        self.held += remembered(fresh, 32)
-        if self.held > CACHE_BYTES:
-            self.of, fresh, self.held = {}, words, remembered(words, 32)
-        for w in fresh:
-            letters, shape = symbols(w)
-            self.of[w] = letters * BUCKETS + shape
-        both = np.array([self.of[w] for w in words], dtype=np.int64)
-        table = np.stack([both // BUCKETS, both % BUCKETS], axis=1)
-        out = table[codes] if len(codes) else np.zeros((0, 2), np.int64)
-        same = np.zeros(len(codes), bool)
-        same[1:] = codes[1:] == codes[:-1]
-        inside = begins[:-1][np.diff(begins) > 0]
-        same[inside] = False
-        out[same, 1] = REPEATED
-        return out, begins
+    """Buckets of one word's letters and shape."""
+    return tuple(symbols_of([word])[0].tolist())
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two symbols for each word of a slice of texts, and where each text begins."""
+    codes, words, begins = coded_words(texts)
+    out = symbols_of(words)[codes] if len(codes) else np.zeros((0, 2), np.int64)
+    same = np.zeros(len(codes), bool)
+    same[1:] = codes[1:] == codes[:-1]
+    same[begins[:-1][np.diff(begins) > 0]] = False
+    out[same, 1] = REPEATED
+    return out, begins
 
 
 def index_vectors() -> np.ndarray:
@@ -80,11 +100,11 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def contexts(coded: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def contexts(slices: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Sum of the index vectors of all neighbours within the window, letters with letters and shapes with shapes."""
     index = np.concatenate([index_vectors(), np.zeros((1, DIM), np.int8)])  # the last one stands between documents
     out = np.zeros((BUCKETS, DIM), np.int64)
-    for syms, begins in coded:
+    for syms, begins in slices:
         if not len(syms):
             continue
         at = np.arange(len(syms)) + WINDOW * (1 + np.repeat(np.arange(len(begins) - 1), np.diff(begins)))
@@ -156,8 +176,7 @@ def context_counts(docs: DataFrame) -> np.ndarray:
     cols = [f"c{j}" for j in range(DIM)]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Symbols()
-        counts = contexts(coder.coded(b.column("text")) for b in by_bytes(batches, "text", SLICE))
+        counts = contexts(coded(b.column("text")) for b in by_bytes(batches, "text", SLICE))
         some = np.flatnonzero(counts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(counts[some, j]) for j in range(DIM)]], names=["bucket", *cols])
 
@@ -198,9 +217,8 @@ def score_rows(sample: DataFrame, vectors: np.ndarray) -> DataFrame:
     shared = sample.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Symbols()
         for b in by_bytes(batches, "text", SLICE):
-            x = pooled(shared.value, *coder.coded(b.column("text")))
+            x = pooled(shared.value, *coded(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "pooled"])
 
     return sample.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id string, label int, pooled array<double>")
@@ -211,10 +229,10 @@ def scorer(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start() -> Callable[[pa.Array], pa.Array]:
-        coder, m = Symbols(), shared.value
+        m = shared.value
 
         def run(texts: pa.Array) -> pa.Array:
-            syms, begins = coder.coded(texts)
+            syms, begins = coded(texts)
             p = m.probability(pooled(m.vectors, syms, begins)) if m else np.full(len(texts), 0.5)
             p = np.where(np.diff(begins) > 0, p, 0.0)
             return pa.StructArray.from_arrays([pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["score", "predicted"])
