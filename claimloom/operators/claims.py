@@ -32,9 +32,9 @@ def verdict_counts(groups: DataFrame) -> DataFrame:
 
 
 def corroborated(claims: DataFrame, key: list[str], value: str, source: str, id_: str) -> DataFrame:
-    """Claims whose value another source gives in the same context."""
-    g = claims.groupBy(*key, value).agg(F.countDistinct(source).alias("n"), F.collect_list(id_).alias("ids")).filter("n > 1")
-    return g.select(F.explode("ids").alias(id_), F.col("n").alias("n_sources"))
+    """Claims whose value another source gives in the same context; the counts are joined back, so no group's ids are gathered."""
+    g = claims.groupBy(*key, value).agg(F.countDistinct(source).alias("n_sources")).filter("n_sources > 1")
+    return claims.join(g, [*key, value]).filter(F.col(id_).isNotNull()).select(id_, "n_sources")
 
 
 def best_band(claims: DataFrame, group: list[str], band: str) -> DataFrame:

@@ -64,26 +64,30 @@ def outcome_variety(runs: DataFrame) -> DataFrame:
 
 
 def outcome_lists(runs: DataFrame) -> DataFrame:
-    """Per source its distinct outcomes in order, as text, and its upper-median seconds."""
-    xs = F.sort_array(F.collect_list("seconds"))
-    return runs.groupBy("source_id").agg(
-        F.array_join(F.array_sort(F.collect_set("outcome")), ", ").alias("outcomes"),
-        F.element_at(xs, (F.floor(F.count("seconds") / 2) + 1).cast("int")).alias("upper_median_s"),
-    )
+    """Per source its distinct outcomes in order, as text, and its upper-median seconds (from counts of equal values, so no list of all is made)."""
+    counts = runs.filter("seconds is not null").groupBy("source_id", "seconds").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source_id")
+    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
+    median = counts.filter(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("source_id").agg(F.min("seconds").alias("upper_median_s"))
+    return runs.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("outcome")), ", ").alias("outcomes")).join(median, "source_id", "left")
 
 
 def slowest(runs: DataFrame, n: int = 5) -> DataFrame:
     return runs.orderBy(F.desc_nulls_last("seconds"), "run_id").limit(n).select("run_id", "source_id", "seconds")
 
 
-def stratified_sample(runs: DataFrame, limit: int = 60, per_source: int = 2) -> DataFrame:
-    """By outcome a share of ``limit`` proportional to its size (at least 1), no more than ``per_source`` of a source, by run id."""
-    capped = runs.withColumn("nth", F.row_number().over(Window.partitionBy("outcome", "source_id").orderBy("run_id"))).filter(F.col("nth") <= per_source)
+def stratified_sample(runs: DataFrame, limit: int = 60) -> DataFrame:
+    """By outcome a quota of ``limit`` in proportion to its size (at least 1, halves to the even number), by run id; no more than a sixth of the quota, or 2, of a source.
+
+    Runs are ranked in buckets first and only each bucket's first ``limit`` are ranked together, so no task orders an outcome's history.
+    """
     sizes = runs.groupBy("outcome").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("total"))
-    quota = sizes.crossJoin(F.broadcast(total)).select("outcome", F.greatest(F.lit(1.0), F.round(F.lit(limit) * F.col("n") / F.col("total"))).alias("quota"))
-    picked = capped.withColumn("place", F.row_number().over(Window.partitionBy("outcome").orderBy("run_id"))).join(F.broadcast(quota), "outcome")
-    return picked.filter("place <= quota").select("outcome", "source_id", "run_id")
+    quota = sizes.crossJoin(F.broadcast(total)).select("outcome", F.greatest(F.lit(1.0), F.bround(F.lit(limit) * F.col("n") / F.col("total"))).cast("int").alias("quota"))
+    capped = runs.join(F.broadcast(quota), "outcome").withColumn("nth", F.row_number().over(Window.partitionBy("outcome", "source_id").orderBy("run_id")))
+    capped = capped.filter(F.col("nth") <= F.greatest(F.lit(2), F.floor(F.col("quota") / 6))).withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(64)))
+    first = capped.withColumn("place", F.row_number().over(Window.partitionBy("outcome", "bucket").orderBy("run_id"))).filter("place <= quota")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("outcome").orderBy("run_id"))).filter("place <= quota").select("outcome", "source_id", "run_id")
 
 
 def cycle_counts(runs: DataFrame) -> DataFrame:

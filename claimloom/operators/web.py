@@ -15,6 +15,9 @@ HEADINGS = {f"h{i}": i for i in range(1, 7)}
 BLOCKS = {*HEADINGS, "p", "li", "pre", "blockquote", "td", "th", "dt", "dd"}
 SKIPPED = {"script", "style", "template", "svg", "math"}
 CHROME = {"nav", "header", "footer", "aside"}
+#: Open blocks that the start of another one ends, and those that the end of what they lie in ends.
+ENDED_BY = {t: {"p"} for t in BLOCKS} | {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
+PARENTS = {"ul": {"li", "p"}, "ol": {"li", "p"}, "dl": {"dt", "dd", "p"}, "tr": {"td", "th", "p"}, "table": {"td", "th", "p"}, "div": {"p"}, "section": {"p"}, "article": {"p"}, "main": {"p"}, "body": {"p", "li"}}
 
 
 def page_hosts(pages: DataFrame) -> DataFrame:
@@ -56,7 +59,12 @@ class BlockReader(HTMLParser):
             self.chrome += 1
         elif tag in BLOCKS:
             self.flush()
+            if self.open and self.open[-1][0] in ENDED_BY.get(tag, ()):
+                self.open.pop()
             self.open.append((tag, []))
+        elif tag in PARENTS and self.open and self.open[-1][0] == "p":
+            self.flush()
+            self.open.pop()
         elif tag == "a":
             self.href, self.link_text = dict(attrs).get("href"), []
 
@@ -65,10 +73,10 @@ class BlockReader(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag in CHROME:
             self.flush()
+            self.open = []
             self.chrome = max(0, self.chrome - 1)
-        elif tag in BLOCKS:
-            self.flush()
-            self.open = self.open[:-1]
+        elif tag in BLOCKS or tag in PARENTS:
+            self.close_to(tag)
         elif tag == "a" and self.href is not None:
             self.links.append((" ".join("".join(self.link_text).split()), self.href, len(self.blocks)))
             self.href = None
@@ -85,6 +93,16 @@ class BlockReader(HTMLParser):
             self.flush()
             self.open.pop()
 
+    def close_to(self, tag):
+        """Ends the innermost open ``tag`` with all that is open inside it; the end of a list, table or page part ends all blocks that may stand open in it."""
+        self.flush()
+        names = [t for t, _ in self.open]
+        if tag in names:
+            self.open = self.open[: len(names) - 1 - names[::-1].index(tag)]
+        elif tag in PARENTS:
+            while self.open and self.open[-1][0] in PARENTS[tag]:
+                self.open.pop()
+
     def flush(self):
         if self.open:
             tag, parts = self.open[-1]
@@ -112,9 +130,9 @@ def blocks(pages: DataFrame) -> DataFrame:
 
 
 def block_statistics(pages: DataFrame) -> DataFrame:
-    """Per page: blocks, headings, body characters and chrome blocks."""
-    b = blocks(pages)
-    return b.groupBy("page_id").agg(
+    """Per page, one without blocks included: blocks, headings, body characters and chrome blocks."""
+    counted = blocks(pages).groupBy("page_id").agg(
         F.count("*").alias("blocks"), F.count("level").alias("headings"), F.sum(F.when(~F.col("in_chrome"), F.length("text")).otherwise(0)).alias("body_chars"),
         F.count(F.when(F.col("in_chrome"), 1)).alias("chrome_blocks"),
     )
+    return pages.select("page_id").distinct().join(counted, "page_id", "left").fillna(0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.urls import canonical, fold_space
 from claimloom.operators import claims, extract, review, runs, web
+from claimloom.plans import evidence
 from claimloom.sources.tables import append_missing, table
 from claimloom.streaming.runs import outcomes_by_window
 
@@ -116,11 +117,6 @@ def publication_blockers(spark, d):
 
 
 def governing_scope(spark, d):
-    """A quarter of the orders, as its SQL has it; :func:`governing_scope_whole` takes all."""
-    return _governing(table(spark, d, "orders").filter("o_orderkey % 4 = 0"))
-
-
-def governing_scope_whole(spark, d):
     return _governing(table(spark, d, "orders"))
 
 
@@ -143,7 +139,7 @@ QUERIES = {
     "agreement_groups": agreement_groups, "corroborated_claims": corroborated_claims, "order_flags": order_flags, "mapping_reach": mapping_reach,
     "customers_without_orders": customers_without_orders, "coverage_by_nation": coverage_by_nation, "gap_classes": gap_classes, "insert_delta": insert_delta,
     "folded_text": folded_text, "fingerprint_collisions": fingerprint_collisions, "shape_violations": shape_violations,
-    "review_priority": review_priority, "publication_blockers": publication_blockers, "governing_scope": governing_scope, "governing_scope_whole": governing_scope_whole, "canonical_urls": canonical_urls,
+    "review_priority": review_priority, "publication_blockers": publication_blockers, "governing_scope": governing_scope, "governing_scope_whole": governing_scope, "canonical_urls": canonical_urls,
     "fee_claims": _blocks(extract.fees), "english_score_claims": _blocks(extract.english_scores), "deadline_claims": _blocks(extract.deadlines),
     "calendar_claims": _blocks(extract.calendar_dates), "programme_claims": _blocks(extract.programmes),
 }
@@ -175,11 +171,6 @@ ORACLE_SQL = {
     case when l_returnflag = 'N' then 'scope_unresolved' end, case when in_conflict then 'in_conflict' end, case when band = 'LOW' then 'confidence_low' end) as reasons, count(*) as claims from c group by 1, 2, 3""",
     "publication_blockers": _REVIEWED + """select concat_ws(',', case when kind = 3 then 'SUPERSEDED_RULE_VERSION' end, case when l_returnflag <> 'A' then 'REVIEW_STATE_IS_UNREVIEWED' end, case when l_orderkey % 3 = 0 then 'SOURCE_UNVERIFIED' end,
   case when l_returnflag = 'N' then 'SCOPE_UNRESOLVED' end, case when in_conflict then 'UNRESOLVED_CONFLICT' end, case when kind = 2 then 'RESPONSIBILITY_DOES_NOT_AUTHORISE_FIELD' end) as blockers, count(*) as claims from c group by 1""",
-    "governing_scope": """with s as (select o_custkey as k, o_orderkey as id, case when o_orderstatus <> 'P' then o_orderstatus end as j, case when o_totalprice > 150000 then 1 end as q, o_orderkey % 3 = 0 as human from orders where o_orderkey % 4 = 0),
-t as (select *, j is null and q is null and id % 5 = 0 as unscoped from s),
-wins as (select a.k, a.id from t a where not exists (select 1 from t b where b.k = a.k and b.id <> a.id and not (
-  (b.j is null or b.j is not distinct from a.j) and (b.q is null or b.q is not distinct from a.q) and (b.j is distinct from a.j or b.q is distinct from a.q or (a.human and not b.human)))))
-select k as o_custkey, count(*) as n_scopes, case when max(unscoped) then null else (select id from wins where wins.k = t.k) end as governing_id from t group by k""",
     "governing_scope_whole": """with s as (select o_custkey as k, o_orderkey as id, case when o_orderstatus <> 'P' then o_orderstatus end as j, case when o_totalprice > 150000 then 1 end as q, o_orderkey % 3 = 0 as human from orders),
 g as (select k, count(*) as n_scopes, count(distinct j) + count(distinct q) as criteria, max(j is null and q is null and id % 5 = 0) as unscoped from s group by k),
 w as (select k, count(*) as n_top, min(id) as one, count(*) filter (human) as n_person, min(id) filter (human) as person from s join g using (k) where (j is not null)::int + (q is not null)::int = criteria group by k)
@@ -201,9 +192,9 @@ select page_id, rejection, canonical, sha256(canonical) as url_sha256 from w""",
     "outcome_variety": _R + "select kinds, count(*) as sources from (select source_id, count(distinct outcome) as kinds from runs group by source_id) group by kinds",
     "outcome_lists": _R + "select source_id, string_agg(distinct outcome, ', ' order by outcome) as outcomes, list_sort(list(seconds))[count(seconds) // 2 + 1] as upper_median_s from runs group by source_id",
     "slowest_runs": _R + "select run_id, source_id, seconds from runs order by seconds desc nulls last, run_id limit 5",
-    "stratified_sample": _R + """, capped as (select * from (select *, row_number() over (partition by outcome, source_id order by run_id) as nth from runs) where nth <= 2),
-quota as (select outcome, greatest(1, round(60 * count(*) / (select count(*) from runs))) as quota from runs group by outcome)
-select outcome, source_id, run_id from (select *, row_number() over (partition by outcome order by run_id) as place from capped) join quota using (outcome) where place <= quota""",
+    "stratified_sample": _R + """, quota as (select outcome, greatest(1, cast(round_even(60.0 * count(*) / (select count(*) from runs), 0) as int)) as quota from runs group by outcome),
+capped as (select * from (select *, row_number() over (partition by outcome, source_id order by run_id) as nth from runs) join quota using (outcome) where nth <= greatest(2, quota // 6))
+select outcome, source_id, run_id from (select *, row_number() over (partition by outcome order by run_id) as place from capped) where place <= quota""",
     "cycle_counts": _R + "select strftime(started_at + interval 8 hour, '%Y-%m-%dT%H') as cycle, count(*) as runs from runs group by 1",
     "retry_waits": _R + _HEALTH + "select source_id, failure_streak, cast(least(300, 15 * pow(2, failure_streak - 1)) as int) as wait_s from h where failure_streak > 0",
     "window_counts": _R + "select date_trunc('hour', started_at) as window_start, outcome, count(*) as runs from runs group by 1, 2",
@@ -227,3 +218,7 @@ select outcome, source_id, run_id from (select *, row_number() over (partition b
     "fingerprint_collisions": f"select sha256({_FOLD}) as fp, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
     "shape_violations": "select rule, count(*) as rows from (select unnest(list_filter([case when l_extendedprice < 0 then 'negative' end, case when not l_discount between 0 and 0.1 then 'discount_range' end, case when not l_tax between 0 and 0.08 then 'tax_range' end, case when coalesce(l_quantity <= 0, true) then 'no_quantity' end], lambda x: x is not null)) as rule from lineitem) group by rule",
 }
+ORACLE_SQL["governing_scope"] = ORACLE_SQL["governing_scope_whole"]
+
+QUERIES |= evidence.QUERIES
+ORACLE_SQL |= evidence.ORACLE_SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -10,5 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def append_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose keys ``existing`` lacks, one per key: an idempotent insert's delta."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """Rows of ``new`` whose keys ``existing`` lacks, the least row of each key: an idempotent insert's delta."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row")).select(*keys, "row.*") if rest else new.distinct()
+    return one.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
