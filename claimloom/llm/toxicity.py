@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
 
 
 def train(words: list[str], row: np.ndarray, col: np.ndarray, grade: np.ndarray) -> ToxicityModel:
-    """Adam on the log loss of all thresholds; the thetas are a first one and positive steps to the next ones.
+    """Adam on the log loss of all thresholds, every grade weighing alike; the thetas are a first one and positive steps to the next ones.
 
     ``row`` and ``col`` name the document and feature of each hit, ``grade`` (0, 1, ...) is by document.
     """
@@ -123,6 +123,8 @@ def train(words: list[str], row: np.ndarray, col: np.ndarray, grade: np.ndarray)
     params = [np.zeros(len(words)), np.zeros(grades)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     target = grade[:, None] >= np.arange(1, grades + 1)
+    counts = np.bincount(grade, minlength=grades + 1)
+    weight = (1 / (np.count_nonzero(counts) * np.maximum(counts, 1)))[grade][:, None]
 
     def cuts(theta: np.ndarray) -> np.ndarray:
         return theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
@@ -130,7 +132,7 @@ def train(words: list[str], row: np.ndarray, col: np.ndarray, grade: np.ndarray)
     for t in range(1, STEPS + 1):
         w, theta = params
         s = np.bincount(row, w[col], minlength=len(grade))
-        d = (ToxicityModel(words, w, cuts(theta)).at_least(s) - target) / len(grade)
+        d = (ToxicityModel(words, w, cuts(theta)).at_least(s) - target) * weight
         back = d.sum(axis=1)
         later = -np.cumsum(d.sum(axis=0)[::-1])[::-1]  # a step moves its own threshold and all above it
         grads = [np.bincount(col, back[row], minlength=len(words)) + DECAY * w, later * np.concatenate([[1.0], np.exp(theta[1:])])]
