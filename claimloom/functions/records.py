@@ -57,7 +57,10 @@ def destination(region: Column, territory: Column) -> dict[str, Column]:
 
 
 def ascii_json(value: Column) -> Column:
-    """JSON without blanks whose signs outside of printable ASCII are escaped; names come in the order of the struct."""
+    """JSON without blanks whose signs outside of printable ASCII are escaped; names come in the order of the struct.
+
+    Control characters whose escapes hold letters are written with capitals (``\\u001F``).
+    """
     units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
     text = F.to_json(value)
     return F.when(text.rlike("[^ -~]"), F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike("^[^ -~]$"), units(c)).otherwise(c)), "")).otherwise(text)

@@ -53,7 +53,7 @@ def body_places(spark, d):
 
 
 def registered_sources(spark, d):
-    """Pages as claims on one address each: the page of a language counts for its whole folder, so that many claims meet."""
+    """Pages as claims on an address of their site, so that many claims meet on one source; every tenth page is a source already known."""
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^([^/]+//[^/]+)/", 1).alias("site"))
     c = canonical(F.concat("site", F.when(F.length("site") % 5 == 0, "/f.PDF").when(F.length("site") % 5 == 1, ":9/").otherwise("/")))
     u = F.concat("site", F.when(F.length("site") % 5 == 0, "/f.PDF").when(F.length("site") % 5 == 1, ":9/").otherwise("/"))
