@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .batches import by_bytes
 from .components import components
-from .store import columns_of, materialize
+from .store import columns_of, materialize, row_digest
 from .tokens import coded_words
 
 WORDS = 5
@@ -258,12 +258,12 @@ def bucket_links(members: DataFrame, texts: DataFrame, similarity: float) -> Dat
 
 
 def classified(base: DataFrame, similarity: float) -> DataFrame:
-    """n, doc_id, class_id, copy_of and kept for every row of ``base`` (n, doc_id, text).
+    """n, doc_id, class_id, copy_of and kept for every row of ``base`` (n, doc_id, digest, text).
 
-    ``n`` is a stored number, different for each row. The least one of the rows with the same words stands for their text
+    ``n`` is a stored number, different for each row; ``digest`` decides between rows of one id and one text. The least one of the rows with the same words stands for their text
     among bands, links and components, so neither a missing id nor an id of several texts matters there.
     """
-    s = base.withColumn("digest", F.xxhash64("text")).select("n", "doc_id", "digest", "text")
+    s = base.select("n", "doc_id", "digest", "text")
     s = materialize(s.mapInArrow(sketch, "n long, doc_id long, digest long, k1 long, k2 long, bands array<long>"), "minhash-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")).alias("first")
     classes = s.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("n").alias("id"), F.min("doc_id").alias("least"), first, F.any_value("bands").alias("bands"))
@@ -296,7 +296,7 @@ def classified(base: DataFrame, similarity: float) -> DataFrame:
 
 
 def _rows(rows: DataFrame) -> DataFrame:
-    return rows.select("n", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.select("n", F.col("doc_id").cast("long").alias("doc_id"), "digest", "text")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -307,12 +307,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     an id last, then by the numbers of the words. Links belong to texts, so texts without an id and all texts
     of a repeated id are compared; class_id and copy_of are null where no row of the class or text has an id.
     """
-    base = materialize(_rows(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text")), "minhash-rows")
+    base = materialize(_rows(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", F.xxhash64("text").alias("digest"), "text")), "minhash-rows")
     return classified(base, similarity).drop("n")
 
 
 def one_of_each_class(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` marks as kept, with all their columns."""
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*columns_of(docs)).alias("row")), "minhash-rows")
-    kept = classified(_rows(rows.select("n", "row.doc_id", "row.text")), similarity).filter("kept").select("n")
+    """The rows of ``docs`` that :func:`near_duplicates` marks as kept, with all their columns.
+
+    Of rows that agree in id and words the one with the least digest of all columns stays, whatever their order.
+    """
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("n"), row_digest(docs).alias("digest"), F.struct(*columns_of(docs)).alias("row")), "minhash-rows")
+    kept = classified(_rows(rows.select("n", "digest", "row.doc_id", "row.text")), similarity).filter("kept").select("n")
     return rows.join(kept, "n", "left_semi").select("row.*")

@@ -12,7 +12,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOTS: dict[tuple[str, str | None], str] = {}
 _PATHS: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
@@ -68,3 +69,9 @@ def release(*tables: DataFrame) -> None:
 def columns_of(df: DataFrame) -> list[str]:
     """The names of all columns, quoted, so that any name can be selected."""
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A number made of all columns of a row, so that ties between rows end alike in every run; rows that agree in it agree in all columns (but for collisions)."""
+    types = [field.dataType.simpleString() for field in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in zip(columns_of(df), types, strict=True)])

@@ -49,6 +49,19 @@ def test_near_duplicate_stage_is_brute_force(spark):
     assert Counter((r.doc_id, (r.text or "").lower()) for r in got.collect()) == expected()
 
 
+def test_rows_of_one_id_and_text_end_alike_in_any_order(spark):
+    """Which of them stays, and what the mix takes, doesn't depend on the order in which rows are read."""
+    said = [text(s) for s in range(6)]
+    rows = [(i % 7 if i % 7 else None, said[i % 3 + 3 * (i % 2)], f"s{i % 5}", {"k": i % 4}) for i in range(60)]
+    seen = set()
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>").repartition(seed + 1)
+        got = [corpus_pipeline.drop_near_duplicates(spark, docs, ""), corpus_pipeline.mix_sources(spark, docs, "")]
+        seen.add(tuple(tuple(sorted(repr(r) for r in g.collect())) for g in got))
+    assert len(seen) == 1
+
+
 def test_stages_are_brute_force_and_keep_every_column(spark, tmp_path):
     """All stages on documents with columns of clashing names, null and repeated ids, against their rules applied one by one."""
     from tokenizers import Tokenizer
