@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hnsw, langid, mixing, probminhash, quality, topk, toxicity, warc
+from . import bpe, chat, hnsw, langid, mixing, ngrams, oracles, probminhash, quality, repair, topk, toxicity, trie, warc
 from .store import scratch_path
 
 
@@ -67,11 +67,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(table(spark, sf_dir, "documents"), order=2)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_language_id, op3_chat_collapse, op4_embedding_dedup, op5_quality, op6_minhash_dedup, op7_toxicity, op8_source_mixing, op9_exact_topk, op10_bpe)
+    f.__name__: f for f in (
+        op1_warc, op2_language_id, op3_chat_collapse, op4_embedding_dedup, op5_quality, op6_minhash_dedup, op7_toxicity, op8_source_mixing, op9_exact_topk, op10_bpe, op11_lm_scoring, op12_conversation_trie,
+        op13_conversation_repair,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_lm_scoring": oracles.LM_SCORING,
+    "op12_conversation_trie": oracles.CONVERSATION_TRIE,
+    "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op1_warc": r"""
 with p as (
   select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as hexed from pages
