@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .probminhash import mix
+from .joins import salted_join
 from .store import materialize, release
 
 #: Neighbours of a node above and on the ground layer, beam while building and first beam of searches.
@@ -303,10 +304,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard: int = SH
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = materialize(components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))), "hnsw-components")
     least = comp.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = salted_join(comp, least, ["component"], F.xxhash64("id")).select("id", "component_id")
     named = (
-        classes.join(n, "id", "left").join(comp, "id", "left").join(least, "component", "left")
+        classes.join(n, "id", "left").join(linked, "id", "left")
         .select("h", "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "least").alias("component_id"))
     )
-    out = v.join(named, ["h", "label", "embedding"], "left")
+    of_class = classes.select("h", "label", "embedding", F.col("copies").alias("n"))
+    out = salted_join(v, named, ["h", "label", "embedding"], F.xxhash64("vec_id"), "left", of_class, of_class.agg(F.sum("n")).head()[0] or 0)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

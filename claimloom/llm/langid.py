@@ -256,7 +256,7 @@ class Scorer:
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and its posterior probability (equal priors) of each whole text."""
         codes, words, begins = coded_words(letters_only(texts))
-        some = np.diff(begins) > 0
+        some = np.asarray(pc.match_substring_regex(texts.fill_null(""), r"\pL"))
         if not self.model.langs:
             return ["und"] * len(some), np.zeros(len(some))
         total = sums_by_text(self.scores(words)[codes] if len(codes) else np.zeros((0, len(self.model.langs))), begins)
@@ -285,7 +285,7 @@ def recognizer(docs: DataFrame, model: PieceModel) -> Callable[[Column], Column]
 def predict(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_id",), folds: int = 4, held_out: int = 2) -> DataFrame:
     """``keep`` columns, ``held_out``, ``lang_pred`` and ``score`` for every row of ``docs``, from its whole text alone.
 
-    Texts that are null or hold no letter, and all texts if there was nothing to learn from,
+    Texts that are null or hold no letter (marks alone are none), and all texts if there was nothing to learn from,
     are ``und`` with score 0. Repeated rows are each scored; other columns are left out, and
     columns of ``keep`` that have the name of a result are replaced by it.
     """

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .batches import by_bytes
 from .components import components
+from .joins import salted_join
 from .store import columns_of, materialize, row_digest
 from .tokens import coded_words
 
@@ -138,7 +139,11 @@ def _verify(similarity: float):
 
 def linked_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``pairs`` (a, b) with ``linked``: whether their ``texts`` (id, text) are similar enough, exactly computed."""
-    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = materialize(pairs, "minhash-pairs")
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    # a leader meets all texts of its bucket, in as many tasks as these need
+    full = salted_join(full, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), ["a"], F.xxhash64("b"), sizes=sizes, total=pairs.count())
     return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, linked boolean"), "minhash-links")
 
 
@@ -250,7 +255,7 @@ def bucket_links(members: DataFrame, texts: DataFrame, similarity: float) -> Dat
     """
     sized = members.join(texts.select("id", F.octet_length("text").cast("long").alias("bytes")), "id")
     blocks = sized.groupBy("h").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = members.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = salted_join(members, blocks, ["h"], F.xxhash64("id")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component")
     pairs = placed.join(texts, "id").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
@@ -269,26 +274,27 @@ def classified(base: DataFrame, similarity: float) -> DataFrame:
     classes = s.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("n").alias("id"), F.min("doc_id").alias("least"), first, F.any_value("bands").alias("bands"))
     classes = materialize(classes, "minhash-classes")
     entries = classes.select("id", F.explode("bands").alias("h"))
-    shared = entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    buckets = materialize(entries.join(shared, "h"), "minhash-buckets")
+    sizes = materialize(entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-sizes")
+    of_bucket = {"sizes": sizes, "total": sizes.agg(F.sum("n")).head()[0] or 0}  # a bucket's members lie in many tasks if they are many
+    buckets = materialize(salted_join(entries, sizes.select("h"), ["h"], F.xxhash64("id"), **of_bucket), "minhash-buckets")
     ids = materialize(buckets.select("id").distinct(), "minhash-members")
     of_ids = classes.select("id", "bands").join(ids, "id", "left_semi")
-    texts = base.select(F.col("n").alias("id"), "text").join(of_ids.hint("merge"), "id")  # one shuffle of the texts, alike at every size
-    texts = materialize(texts, "minhash-texts")
+    texts = materialize(base.select(F.col("n").alias("id"), "text").join(of_ids, "id"), "minhash-texts")
     lead = buckets.groupBy("h").agg(F.min("id").alias("l"))
-    pairs = buckets.join(lead, "h").filter("id <> l").select(F.col("l").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = salted_join(buckets, lead, ["h"], F.xxhash64("id"), **of_bucket).filter("id <> l").select(F.col("l").alias("a"), F.col("id").alias("b")).distinct()
     links = linked_pairs(pairs, texts, similarity).filter("linked").select("a", "b")
     named = ids.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     members = materialize(buckets.join(named, "id"), "minhash-components")
     unlike = members.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    more = bucket_links(materialize(members.join(unlike, "h", "left_semi").select("h", "id", "component"), "minhash-open"), texts, similarity)
+    more = bucket_links(materialize(salted_join(members, unlike, ["h"], F.xxhash64("id"), "left_semi", **of_bucket).select("h", "id", "component"), "minhash-open"), texts, similarity)
     links = materialize(links.union(more), "minhash-all-links")
     comp = materialize(components(links), "minhash-classes-linked")
     best = F.min(F.struct("first.no_id", "first.doc_id", "k1", "k2", "first.digest", "first.n"))
     groups = classes.join(comp, "id").groupBy("component").agg(F.min("least").alias("class_id"), best["n"].alias("best"))
-    named = classes.select("k1", "k2", "id", "least", F.col("first.n").alias("own")).join(comp, "id", "left").join(groups, "component", "left")
+    linked = salted_join(comp, groups, ["component"], F.xxhash64("id"))
+    named = classes.select("k1", "k2", "id", "least", F.col("first.n").alias("own")).join(linked, "id", "left")
     named = named.select("k1", "k2", F.col("least").alias("copy_of"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("best", "own").alias("best"))
-    out = s.select("n", "doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
+    out = salted_join(s.select("n", "doc_id", "k1", "k2"), named, ["k1", "k2"], F.xxhash64("n"), "left")
     return out.select(
         "n", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"),
         F.coalesce(F.col("best") == F.col("n"), F.lit(True)).alias("kept"),

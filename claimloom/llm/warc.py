@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import salted_join
 from .store import materialize
 
 CRLF = "\r\n"
@@ -197,8 +198,11 @@ def resolve(captures: DataFrame) -> DataFrame:
         F.when(F.col("response_type") == "response", F.col("response.computed_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.target_uri").alias("target_uri"),
     )
-    whole = c.filter("record_type = 'response'").select(F.col("rid").alias("ref"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("ref_bytes"))
-    return c.join(whole, "ref", "left").select(
-        "page_id", F.when(F.col("record_type") == "revisit", F.col("ref_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
-        "payload_digest", "record_type", "refers_to", "target_uri",
-    )
+    c = materialize(c, "warc-captures")
+    whole = c.filter("record_type = 'response'").select(F.col("rid").alias("ref"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("payload_bytes"))
+    # only revisits look for a response, and those of one response lie in many tasks
+    revisit = F.col("record_type").eqNullSafe("revisit")
+    again = salted_join(c.filter(revisit).drop("bytes"), whole, ["ref"], F.xxhash64("rid"), "left")
+    once = c.filter(~revisit).withColumn("refers_to", F.lit(None).cast("long")).withColumnRenamed("bytes", "payload_bytes")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
+    return once.select(*columns).unionByName(again.select(*columns))
