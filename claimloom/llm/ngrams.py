@@ -11,8 +11,8 @@ and p(w) the additive base. So both kinds of arc need only counts, and m, one fo
 the expected share of unseen continuations equals the share of n-grams seen once.
 
 No task holds the model. Texts are packed once into chunks of a few MB of numbered words. A chunk
-deals its distinct n-grams with their counts, packed and sorted, to buckets by hash; a bucket adds up all
-chunks and answers each with the totals that differ from what the chunk counted itself; a
+deals its distinct n-grams with their counts, packed and sorted, to buckets by ranges of the hash; a bucket adds up all
+chunks and answers each with what the others counted, in the order in which the chunk asked; a
 chunk then builds the part of the automaton that its texts can reach. An n-gram is at most one entry
 per chunk, so a frequent one doesn't fill a bucket. N-grams are told apart by 63-bit hashes.
 """
@@ -58,6 +58,17 @@ def _unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], decompressed_size=n, codec=_CODEC, asbytes=True), dtype=kind)
 
 
+def _packed_sorted(a: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as their steps, bytes of like weight side by side."""
+    steps = np.diff(a, prepend=np.uint64(0))
+    return _packed(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpacked_sorted(b: bytes) -> np.ndarray:
+    planes = _unpacked(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A scrambling of 64-bit numbers in which every bit depends on all."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -220,6 +231,12 @@ def _grams(row: dict, order: int) -> Grams:
     return Grams(codes, hashes, lengths, ~np.asarray(row["held_out"], dtype=bool), order)
 
 
+def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's range begins among sorted hashes, and the end."""
+    high = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(high, np.arange(buckets + 1, dtype=np.uint64))
+
+
 def _dealt(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
     """Every chunk's n-grams and counts, by length and bucket of the hash; sorted and packed."""
 
@@ -231,28 +248,27 @@ def _dealt(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                 for n in range(order):
                     by_hash = np.argsort(g.hashes[n])
                     hashes, counts = g.hashes[n][by_hash], g.counts[n][by_hash]
-                    high = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of the hash, so a bucket's n-grams lie side by side
-                    cuts = np.searchsorted(high, np.arange(buckets + 1, dtype=np.uint64))
+                    cuts = _cuts(hashes, buckets)
                     some = np.flatnonzero(np.diff(cuts))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(some * order + n, pa.int64()), pa.array([row["chunk"]] * len(some), pa.int64()),
-                        pa.array([hashes[cuts[k]:cuts[k + 1]].tobytes() for k in some], pa.binary()),
+                        pa.array([_packed_sorted(hashes[cuts[k]:cuts[k + 1]]) for k in some], pa.binary()),
                         pa.array([_packed(counts[cuts[k]:cuts[k + 1]]) for k in some], pa.binary()),
                     ], names=["bucket", "chunk", "hashes", "counts"])
 
     return chunks.select("chunk", "held_out", "lengths", "codes", "hashes").mapInArrow(deal, "bucket long, chunk long, hashes binary, counts binary")
 
 
-ANSWER = "chunk long, n int, hashes binary, counts binary, tokens long, distinct long, once long, classes array<struct<class:int,histories:long,tokens:long>>"
+ANSWER = "chunk long, n int, bucket long, others binary, tokens long, distinct long, once long, classes array<struct<class:int,histories:long,tokens:long>>"
 
 
 def _added(order: int) -> Callable[[pa.Table], pa.Table]:
     schema = to_arrow_schema(T.StructType.fromDDL(ANSWER))
 
     def add(table: pa.Table) -> pa.Table:
-        n = table.column("bucket")[0].as_py() % order
+        bucket, n = divmod(table.column("bucket")[0].as_py(), order)
         chunks = table.column("chunk").to_numpy()
-        hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+        hashes = [_unpacked_sorted(x) for x in table.column("hashes").to_pylist()]
         counts = [_unpacked(x, np.int64) for x in table.column("counts").to_pylist()]
         sizes = [len(h) for h in hashes]
         every, own = np.concatenate(hashes), np.concatenate(counts)
@@ -264,15 +280,14 @@ def _added(order: int) -> Callable[[pa.Table], pa.Table]:
         classes = np.floor(STEPS * np.log2(histories)).astype(np.int64)
         per, words = np.bincount(classes), np.bincount(classes, weights=histories)
         stats = [{"class": int(c), "histories": int(per[c]), "tokens": int(words[c])} for c in np.flatnonzero(per)]
-        out = [{"chunk": None, "n": n, "hashes": None, "counts": None, "tokens": int(own.sum()), "distinct": int((totals > 0).sum()), "once": int((totals == 1).sum()), "classes": stats}]
+        out = [{"chunk": None, "n": n, "tokens": int(own.sum()), "distinct": int((totals > 0).sum()), "once": int((totals == 1).sum()), "classes": stats}]
         at = 0
         for chunk, size in zip(chunks, sizes, strict=True):
             part = slice(at, at + size)
             at += size
-            total = totals[inverse[part]]
-            other = total != own[part]
-            if other.any():
-                out.append({"chunk": int(chunk), "n": n, "hashes": every[part][other].tobytes(), "counts": _packed(total[other])})
+            others = totals[inverse[part]] - own[part]
+            if others.any():
+                out.append({"chunk": int(chunk), "n": n, "bucket": bucket, "others": _packed(others)})
         return pa.Table.from_pylist(out, schema=schema)
 
     return add
@@ -338,9 +353,10 @@ def score(docs: DataFrame, order: int = 2, held_out: Column | None = None, doc_i
         g = _grams(row, order)
         for n in range(order):
             by_hash = np.argsort(g.hashes[n])
+            cuts = _cuts(g.hashes[n][by_hash], buckets)
             mine = right.filter(pc.equal(right.column("n"), n))
-            for h, c in zip(mine.column("hashes").to_pylist(), mine.column("counts").to_pylist(), strict=True):
-                g.counts[n][by_hash[np.searchsorted(g.hashes[n], np.frombuffer(h, dtype=np.uint64), sorter=by_hash)]] = _unpacked(c, np.int64)
+            for k, others in zip(mine.column("bucket").to_pylist(), mine.column("others").to_pylist(), strict=True):
+                g.counts[n][by_hash[cuts[k]:cuts[k + 1]]] += _unpacked(others, np.int64)
         known = (g.counts[0] > 0)[g.codes]
         sizes = np.diff(g.begins)
         logs = Automaton(g, base, priors).read(g.codes, g.begins)
@@ -351,5 +367,5 @@ def score(docs: DataFrame, order: int = 2, held_out: Column | None = None, doc_i
         pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays(result, names=schema.names)
 
-    mine = answers.filter("chunk is not null").select("chunk", "n", "hashes", "counts")
+    mine = answers.filter("chunk is not null").select("chunk", "n", "bucket", "others")
     return chunks.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(scored, schema)
