@@ -26,14 +26,15 @@ CHROME = {"nav", "header", "footer", "aside"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "col", "embed", "area", "base", "param", "track"}
 #: Open elements that the start of another one ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Texts of a page held at once, in bytes, and the widest span of a cell.
-PAGE_BYTES, WIDEST = 2 << 20, 1000
+#: Texts of a page held at once, in bytes, the widest span of a cell, and the places of a grid whose spans are laid out.
+PAGE_BYTES, WIDEST, GRID_CELLS = 2 << 20, 1000, 200_000
 
 _CELL = "array<array<struct<text string, header boolean, rowspan int, colspan int>>>"
+_GRID = "array<array<struct<text string, header boolean, block int, origin boolean>>>"
 SCHEMA = (
     "page_id long, title string, language string, canonical_url string, meta map<string,string>, "
-    "blocks array<struct<kind string, text string, level int, container string, in_chrome boolean, list int, ordered boolean, table_index int>>, "
-    f"tables array<struct<caption string, header_rows {_CELL}, rows {_CELL}>>, "
+    "blocks array<struct<kind string, text string, level int, container string, in_chrome boolean, list int, ordered boolean, table_index int, above int>>, "
+    f"tables array<struct<caption string, header_rows {_CELL}, rows {_CELL}, head_grid {_GRID}, grid {_GRID}>>, "
     "links array<struct<text string, href string, resolved string, host string, is_pdf boolean, container string, in_chrome boolean, block_index int>>, "
     "json_ld_types array<string>, embedded_json int, scripts int, embeds int, warnings array<string>, error string"
 )
@@ -43,6 +44,31 @@ def _span(value: str | None) -> int:
     return max(1, min(WIDEST, int(value))) if (value or "").isdigit() else 1
 
 
+def laid_out(rows: list[list[dict]]) -> list[list[dict]]:
+    """The places of a table's rows: a cell takes the first free ones of its row and those below that its rowspan covers.
+
+    Rows have as many places as they need. ``origin`` marks a cell's first place; an empty place has no text. A table whose spans cover more than ``GRID_CELLS``
+    places is laid out without spans.
+    """
+    spans = sum(c["colspan"] * min(c["rowspan"], len(rows) - i) for i, r in enumerate(rows) for c in r) <= GRID_CELLS
+    grid, above = [], {}
+    for row in rows:
+        line, column = {k: c for k, (c, _) in above.items()}, 0
+        below = {k: (c, left - 1) for k, (c, left) in above.items() if left > 1}
+        for cell in row:
+            while column in line:
+                column += 1
+            place = {"text": cell["text"], "header": cell["header"], "block": cell["block"], "origin": False}
+            for k in range(column, column + (cell["colspan"] if spans else 1)):
+                if k not in line:
+                    line[k] = place | {"origin": k == column}
+                    if spans and cell["rowspan"] > 1:
+                        below[k] = (place, cell["rowspan"] - 1)
+        grid.append([line.get(k, {"text": "", "header": False, "block": None, "origin": False}) for k in range(max(line, default=-1) + 1)])
+        above = below
+    return grid
+
+
 def json_types(value) -> list[str]:
     """Types of a JSON-LD value, those in lists and ``@graph`` too."""
     if isinstance(value, list):
@@ -60,7 +86,7 @@ class DocumentReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.url, self.stack, self.text = url, [], []
         self.doc = {"title": None, "language": None, "canonical_url": None, "meta": {}, "blocks": [], "tables": [], "links": [], "json_ld_types": [], "embedded_json": 0, "scripts": 0, "embeds": 0, "warnings": [], "error": None}
-        self.lists, self.silent, self.script, self.link, self.rows = 0, None, None, None, []
+        self.lists, self.silent, self.script, self.link, self.rows, self.headings = 0, None, None, None, [], []
 
     def inside(self, tags) -> str | None:
         return next((t for t, *_ in reversed(self.stack) if t in tags), None)
@@ -76,9 +102,16 @@ class DocumentReader(HTMLParser):
         elif tag in ("td", "th") and self.rows and self.cell() is not None:
             cell = self.cell()
             cell["text"] = f"{cell['text']} {text}".strip()
+            cell["block"] = len(self.doc["blocks"]) if cell["block"] is None else cell["block"]
+        level, chrome = HEADINGS.get(tag), self.inside(CHROME) is not None
+        if level and not chrome:
+            self.headings = [h for h in self.headings if h[0] < level]
+        over = self.headings[-1][1] if self.headings and not chrome else None
+        if level and not chrome:
+            self.headings.append((level, len(self.doc["blocks"])))
         kind = "p" if tag == "text" else tag
         at = next((x for x in reversed(self.stack) if x[0] in ("ul", "ol", "dl")), None) if tag in ("li", "dt", "dd") else None
-        self.doc["blocks"].append({"kind": kind, "text": text, "level": HEADINGS.get(tag), "container": self.inside(CONTAINERS), "in_chrome": self.inside(CHROME) is not None, "list": at[1] if at else None, "ordered": at[0] == "ol" if at else None, "table_index": self.rows[-1] if self.rows and tag in ("td", "th") else None})
+        self.doc["blocks"].append({"kind": kind, "text": text, "level": level, "container": self.inside(CONTAINERS), "in_chrome": chrome, "list": at[1] if at else None, "ordered": at[0] == "ol" if at else None, "table_index": self.rows[-1] if self.rows and tag in ("td", "th") else None, "above": over})
 
     def cell(self) -> dict | None:
         rows = self.doc["tables"][self.rows[-1]]["all"]
@@ -128,7 +161,7 @@ class DocumentReader(HTMLParser):
             rows = self.doc["tables"][self.rows[-1]]["all"]
             if not rows:
                 rows.append((False, []))
-            rows[-1][1].append({"text": "", "header": tag == "th", "rowspan": _span(a.get("rowspan")), "colspan": _span(a.get("colspan"))})
+            rows[-1][1].append({"text": "", "header": tag == "th", "block": None, "rowspan": WIDEST if (a.get("rowspan") or "").strip() == "0" else _span(a.get("rowspan")), "colspan": _span(a.get("colspan"))})
         if tag not in VOID and (tag in BLOCKS or tag in PARTS or tag in CONTAINERS):
             self.lists += tag in ("ul", "ol", "dl")
             self.stack.append((tag, self.lists - 1))
@@ -193,6 +226,7 @@ class DocumentReader(HTMLParser):
                 heads = [rows[0][1]]
                 rows = rows[1:]
             t["header_rows"], t["rows"] = heads, [r for head, r in rows if not head]
+            t["head_grid"], t["grid"] = laid_out(t["header_rows"]), laid_out(t["rows"])
         seen, links = set(), []
         for x in self.doc["links"]:
             key = (x["text"], x["href"], x["container"], x["block_index"])
@@ -250,6 +284,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+def block_statistics(docs: DataFrame) -> DataFrame:
+    """Per row of pages: blocks, headings, characters outside chrome, blocks in chrome."""
+    n = lambda test: F.size(F.filter("blocks", test)).cast("long")
+    body = F.aggregate(F.filter("blocks", lambda b: ~b["in_chrome"]), F.lit(0).cast("long"), lambda s, b: s + F.length(b["text"]))
+    return docs.select("page_id", F.size("blocks").cast("long").alias("blocks"), n(lambda b: b["level"].isNotNull()).alias("headings"), body.alias("body_chars"), n(lambda b: b["in_chrome"]).alias("chrome_blocks"))
+
+
 def visible_text(blocks: Column) -> Column:
     """Text of all blocks outside page chrome, one a line."""
     return F.array_join(F.transform(F.filter(blocks, lambda b: ~b["in_chrome"]), lambda b: b["text"]), "\n")
@@ -263,15 +304,45 @@ def link_profiles(docs: DataFrame) -> DataFrame:
     return per.join(b, ["page_id", "block_index"]).select("page_id", "block_index", "links", share.alias("text_fraction"), (F.col("linked") >= F.col("n")).alias("is_link_only"), (share >= 0.8).alias("is_link_dominated"))
 
 
+def heading_path(blocks: Column, block: Column) -> Column:
+    """Texts of the headings that ``block`` stands under, outermost first: each block knows the nearest one, each heading the nearest of a lesser level."""
+    hops, at = [], block["above"]
+    for _ in range(len(HEADINGS)):
+        over = F.get(blocks, at)
+        hops.append(over["text"])
+        at = over["above"]
+    return F.array_compact(F.array(*reversed(hops)))
+
+
 def sections(docs: DataFrame) -> DataFrame:
-    """Each block outside chrome with the headings it stands under, outermost first: the last one of every level above the nearest.
+    """Each block outside chrome with the headings it stands under, outermost first, and itself if it is one.
 
-    A heading closes those of its own and deeper levels; the path is folded along the blocks of one page, inside its row.
+    A heading closes those of its own and deeper levels. Columns: page_id, place (among those blocks), kind, text, heading_path.
     """
-    start = F.array().cast("array<struct<level:int,text:string>>")
+    own = lambda b: F.concat(heading_path(F.col("blocks"), b), F.when(b["level"].isNotNull(), F.array(b["text"])).otherwise(F.array().cast("array<string>")))
     body = F.filter("blocks", lambda b: ~b["in_chrome"])
-    path = lambda i: F.aggregate(F.filter(F.slice(body, 1, i + 1), lambda b: b["level"].isNotNull()), start, lambda p, b: F.concat(F.filter(p, lambda h: h["level"] < b["level"]), F.array(F.struct(b["level"].alias("level"), b["text"].alias("text")))))
-    return docs.select("page_id", F.posexplode(F.transform(body, lambda b, i: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), F.transform(path(i), lambda h: h["text"]).alias("heading_path")))).alias("place", "s")).select("page_id", "place", "s.*")
+    return docs.select("page_id", F.posexplode(F.transform(body, lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), own(b).alias("heading_path")))).alias("place", "s")).select("page_id", "place", "s.*")
+
+
+def statements(docs: DataFrame) -> DataFrame:
+    """What the body of each document says: blocks that are neither chrome nor headings, and table cells with their labels.
+
+    Columns: page_id, place (of the block among all blocks), kind (``td`` for cells), text, heading (the nearest), column_header, row_label. A cell is stated
+    once, whatever it spans; cells of header rows only label others.
+    """
+    block = F.posexplode("blocks").alias("place", "b")
+    at = F.get("blocks", F.col("b.above"))["text"].alias("heading")
+    none = F.lit(None).cast("string")
+    said = docs.select("page_id", "blocks", block).filter("not b.in_chrome and b.level is null and b.kind not in ('td', 'th')")
+    said = said.select("page_id", "place", "b.kind", "b.text", at, none.alias("column_header"), none.alias("row_label"))
+    c = cells(docs).filter("origin and block is not null and not in_chrome")
+    return said.unionByName(c.select("page_id", F.col("block").alias("place"), F.lit("td").alias("kind"), "text", "heading", "column_header", "row_label"))
+
+
+def headings(docs: DataFrame) -> DataFrame:
+    """Headings outside chrome: page_id, place (among all blocks), level, text."""
+    h = docs.select("page_id", F.posexplode("blocks").alias("place", "b")).filter("b.level is not null and not b.in_chrome")
+    return h.select("page_id", "place", "b.level", "b.text")
 
 
 def distinct_bodies(docs: DataFrame) -> DataFrame:
@@ -280,10 +351,24 @@ def distinct_bodies(docs: DataFrame) -> DataFrame:
 
 
 def cells(docs: DataFrame) -> DataFrame:
-    """Every body cell of every table with its column header and row label (spans are laid out, so a cell meets the header above it)."""
-    t = docs.select("page_id", F.posexplode("tables").alias("table_index", "t"))
-    wide = lambda row: F.flatten(F.transform(row, lambda c: F.array_repeat(c["text"], c["colspan"])))
-    head = F.coalesce(wide(F.get(F.col("t.header_rows"), F.size("t.header_rows") - 1)), F.array().cast("array<string>"))
-    rows = t.select("page_id", "table_index", head.alias("head"), F.posexplode("t.rows").alias("row_index", "r")).withColumn("texts", wide(F.col("r")))
-    c = rows.select("page_id", "table_index", "row_index", "head", F.get("texts", F.lit(0)).alias("row_label"), F.posexplode("texts").alias("column_index", "text"))
-    return c.select("page_id", "table_index", "row_index", "column_index", F.get("head", F.col("column_index")).alias("column_header"), F.when(F.col("column_index") > 0, F.col("row_label")).alias("row_label"), "text")
+    """Every place of every table's body with its labels: page_id, table_index, row_index, column_index, text, header, block, origin, in_chrome, caption, heading, column_header, row_label, row_text.
+
+    Spans are laid out, so a place has the text of the cell that covers it (``origin`` at the cell's first place). ``column_header`` joins the different texts
+    of all header rows over the column, from the top. ``row_label`` joins the different texts to the left that label the row: the first one, header
+    cells and those without a digit; null in the first column. ``row_text``: the row's different texts, parted by bars. ``block``: place of the cell's text among all blocks.
+    """
+    t = docs.select("page_id", "blocks", F.posexplode("tables").alias("table_index", "t"))
+    wide = F.array_max(F.transform("t.head_grid", lambda r: F.size(r)))
+    over = lambda j: F.array_join(F.array_distinct(F.filter(F.transform("t.head_grid", lambda r: F.get(r, j)["text"]), lambda x: x != "")), " ")
+    heads = F.when(F.coalesce(wide, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), wide - 1), over))
+    rows = t.select("page_id", "blocks", "table_index", "t.caption", heads.alias("heads"), F.posexplode("t.grid").alias("row_index", "row"))
+    texts = F.array_join(F.array_distinct(F.filter(F.transform("row", lambda c: c["text"]), lambda x: x != "")), " | ")
+    c = rows.withColumn("row_text", texts).select("*", F.posexplode("row").alias("column_index", "c"))
+    left = F.transform(F.slice("row", F.lit(1), F.col("column_index")), lambda x, k: F.when((k == 0) | x["header"] | ~x["text"].rlike(r"\d"), x["text"]))
+    label = F.when(F.col("column_index") > 0, F.array_join(F.array_distinct(F.filter(left, lambda x: x.isNotNull() & (x != ""))), " "))
+    block = F.get("blocks", F.col("c.block"))
+    header = F.get("heads", F.col("column_index"))
+    return c.select(
+        "page_id", "table_index", "row_index", "column_index", "c.text", "c.header", "c.block", "c.origin", F.coalesce(block["in_chrome"], F.lit(False)).alias("in_chrome"), "caption",
+        F.get("blocks", block["above"])["text"].alias("heading"), F.when(header != "", header).alias("column_header"), label.alias("row_label"), "row_text",
+    )

@@ -1,51 +1,60 @@
-"""Claims found in the text blocks of pages by rules: fees, English scores, deadlines, calendar dates, programmes.
+"""Claims found by rules in what pages state: fees, English scores, deadlines, calendar dates, programmes.
 
-Blocks have the columns of :func:`claimloom.operators.web.blocks`. Blocks in page chrome give
-no claims. Fees, dates and programmes are column expressions; scores need the distance
-between names and numbers and use a small function a block, in batches.
+Statements have the columns of :func:`claimloom.operators.documents.statements`: a text with the heading over it and, in a table, the labels of
+its cell. Rules are column expressions over words; scores in sentences need the distance between names and numbers and use a
+small function a text, which gets nothing but the text.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.matches import all_kinds, first_kind, nearest_kind, words_pattern
+
 # Signs and codes of currencies.
 SIGNS = [("£", "GBP"), ("HK$", "HKD"), ("US$", "USD"), ("A$", "AUD"), ("C$", "CAD"), ("S$", "SGD"), ("MOP$", "MOP"), ("NT$", "TWD"), ("RMB", "CNY"), ("¥", "CNY"), ("€", "EUR"), ("$", "USD")]
 CODES = "GBP|USD|EUR|HKD|AUD|CAD|SGD|CNY|RMB|MOP|TWD|NZD|JPY|CHF"
 
-
-def phrases(*parts: str) -> list[str]:
-    """All phrases that take one alternative (between bars) from each part; an empty alternative leaves the part out."""
-    return [" ".join(" ".join(p).split()) for p in itertools.product(*[x.split("|") for x in parts])]
-
-
-#: What units, groups of students, fees and states of applications are called: whole words in a text without case and signs.
-UNITS = [
-    ("PER_YEAR", [*phrases("per|each|a", "|academic", "year"), "annual", "annually", "p a", "pa"]), ("PER_SEMESTER", phrases("per|each", "semester|term")), ("PER_CREDIT", phrases("per|each", "credit|credit hour|unit")),
-    ("TOTAL_PROGRAM", [*phrases("total|whole|entire|full", "programme|program|course|degree"), "in total"]), ("PER_MODULE", phrases("per|each", "module")),
-]
-STUDENTS = [
-    ("INTERNATIONAL", ["international"]), ("OVERSEAS", ["overseas"]), ("HOME", ["home"]), ("DOMESTIC", ["domestic"]), ("EU", ["eu", "european union"]), ("LOCAL", ["local"]), ("NON_LOCAL", ["nonlocal"]),
-]
-#: Words that would be taken for others.
-REWRITTEN = [("home page", "homepage"), ("non local", "nonlocal")]
-FEE = [*phrases("fee|fees|tuition|cost|costs|charge|charges|charged")]
-FEE_HEADING = [*FEE, *phrases("finance|finances|financial|financing|expense|expenses")]
-VARIES = [*phrases("vary|varies|varying"), *phrases("depend|depends|depending", "on"), *phrases("differ|differs", "by"), *phrases("course|programme|program", "specific")]
-STATES = [
-    ("CLOSED", [*phrases("not currently|no longer", "accepting"), *phrases("applications", "are|have", "closed"), "closed for entry", *[f"closed for {y}" for y in range(2000, 2100)]]),
-    ("UNTIL_FILLED", [*phrases("until", "|all", "places|spaces|seats", "|are", "filled|full"), *phrases("while", "places|spaces|seats", "remain|last")]),
-    ("NO_FIXED", [*phrases("no", "|fixed|formal|set|specific", "deadline|closing date"), *phrases("no", "fixed|formal|set|specific", "date")]),
-    ("ROLLING", phrases("rolling", "admission|admissions|basis|deadline|deadlines")),
-]
-DEADLINE = [*phrases("deadline|deadlines|closes|closing|close"), "apply by", "no later than"]
-
+#: What is charged for, who pays, and how applications stand, each with words that say so; of several the first counts.
+UNITS = {
+    "PER_SEMESTER": ["a semester", "per semester", "each semester", "per term", "every term", "termly"],
+    "PER_CREDIT": ["a credit", "per credit", "per credit point", "for every credit"],
+    "PER_MODULE": ["a module", "per module", "for every module"],
+    "TOTAL_PROGRAM": ["altogether", "in total", "for the complete programme", "for the complete course", "all years together"],
+    "PER_YEAR": ["a year", "annual", "annually", "every year", "per annum", "per year", "yearly"],
+}
+STUDENTS = {
+    "INTERNATIONAL": ["international"], "OVERSEAS": ["overseas", "abroad"], "HOME": ["home students", "home fee", "home status", "home and", "home"], "DOMESTIC": ["domestic"],
+    "EU": ["EU", "European Union"], "NON_LOCAL": ["non-local", "non local", "nonlocal"], "LOCAL": ["local"],
+}
+#: Words that speak of money asked, of amounts that can't be told, and of days by which to apply.
+FEE_WORDS = ["fee", "fees", "tuition", "price", "prices", "to be paid", "payable"]
+OPEN_AMOUNT = ["varies", "vary", "depends on", "depend on", "is set individually", "on request"]
+DEADLINE_WORDS = ["apply by", "apply before", "closing date", "closing dates", "deadline", "deadlines", "last day to apply", "must reach us by"]
+APPLICATIONS = {
+    "CLOSED": ["applications are closed", "applications closed", "applications have closed", "applications are no longer taken", "intake is closed"],
+    "UNTIL_FILLED": ["as long as places are left", "until all places are filled", "until places are filled", "until we are full"],
+    "NO_FIXED": ["apply at any time", "there is no deadline", "without a deadline", "no fixed deadline"],
+    "ROLLING": ["rolling"],
+}
+#: Words right before an amount that make it a bound.
+AT_MOST = ["at most", "capped at", "not more than", "up to"]
+AT_LEAST = ["at least", "from", "starting at", "starts at"]
+
+#: What money is for; of wordings at the same place the first kind counts.
+MONEY = {
+    "MEAL_PLAN": ["board", "catering", "dining", "food", "meal plan", "meals"],
+    "HOUSING": ["accommodation", "dormitory", "hall of residence", "housing", "lodging", "rent", "room"],
+    "ESTIMATED_TOTAL_COST": ["all costs", "cost of attendance", "estimated cost", "student budget", "sum of all costs", "total budget", "total cost", "total costs"],
+    "TUITION_FEE": ["course fee", "course fees", "programme fee", "programme fees", "teaching fee", "tuition"],
+    "OTHER_MANDATORY_FEE": ["administration fee", "application fee", "compulsory", "enrolment fee", "health insurance", "mandatory", "registration fee", "student services"],
+    "COST_OF_ATTENDANCE_COMPONENT": ["books", "daily life", "insurance", "living costs", "living expenses", "personal expenses", "supplies", "travel", "transport"],
+}
 
 # Tests of English with the ends of their scales and the least overall score that is a requirement.
 TESTS = {"IELTS": (0, 9, 4), "TOEFL": (0, 120, 30), "PTE": (10, 90, 30), "DUOLINGO": (10, 160, 50), "CAE": (80, 230, 140), "CPE": (80, 230, 140)}
@@ -60,89 +69,70 @@ _MONTH = "(?i:" + "|".join(f"{m}|{m[:3]}" if m != "may" else m for m in MONTHS)
 _DATE = rf"(?<![\w/-])(?:\d{{1,2}}(?:st|nd|rd|th)?\s+{_MONTH}\b(?:\s+\d{{4}})?|{_MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?\b(?!\d)(?:,?\s+\d{{4}})?|{_MONTH}\s+\d{{4}})\b"
 
 
-def plain(text: Column) -> Column:
-    """Lower-case words with one blank before, between and behind them."""
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for said, better in REWRITTEN:
-        out = F.replace(out, F.lit(f" {said} "), F.lit(f" {better} "))
-    return out
-
-
 def says(text: Column, wordings: list[str]) -> Column:
-    """Whether ``text`` (from :func:`plain`) holds one of the wordings as whole words."""
-    out = F.lit(False)
-    for w in wordings:
-        out = out | F.contains(text, F.lit(f" {w} "))
-    return out
+    """Whether ``text`` holds one of the wordings as whole words; a null doesn't."""
+    return F.coalesce(text.rlike(words_pattern(wordings)), F.lit(False))
 
 
-def first_of(text: Column, kinds: list[tuple[str, list[str]]]) -> Column:
-    """Name of the first kind that ``text`` (from :func:`plain`) speaks of, or null."""
-    out = F.lit(None).cast("string")
-    for name, wordings in reversed(kinds):
-        out = F.when(says(text, wordings), name).otherwise(out)
-    return out
-
-
-def all_of(text: Column, kinds: list[tuple[str, list[str]]]) -> Column:
-    """Names of all kinds that ``text`` (from :func:`plain`) speaks of."""
-    return F.array_compact(F.array(*[F.when(says(text, wordings), name) for name, wordings in kinds]))
+def _labels(text: str = "text") -> Column:
+    """A statement's text behind the labels of its cell; "non local" becomes a compound, so that it isn't taken for "local"."""
+    return F.regexp_replace(F.concat_ws(" ", "column_header", "row_label", text), r"(?i)\b(non) (?=local)", "$1-")
 
 
 def first_award(text: Column) -> Column:
     """Name of the first award that ``text`` states, or null."""
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(AWARDS):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
-    return out
+    return F.coalesce(*[F.when(text.rlike(p), name) for name, p in AWARDS])
 
 
-def in_context(blocks: DataFrame) -> DataFrame:
-    """Blocks outside page chrome that aren't headings, with the text of the nearest ``heading`` before them."""
-    before = Window.partitionBy("page_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    body = blocks.filter(~F.col("in_chrome"))
-    return body.withColumn("heading", F.last(F.when(F.col("level").isNotNull(), F.col("text")), ignorenulls=True).over(before)).filter("level is null")
-
-
-def fees(blocks: DataFrame) -> DataFrame:
-    """One row per block that states a fee: amounts, their shape, currency, unit, students, band, and what is open.
+def fees(statements: DataFrame) -> DataFrame:
+    """One row per statement of a fee: amounts, their shape, currency, unit, students, what the money is for, band, and what is open.
 
     An amount needs a sign or a comma between thousands, and stands alone. Two amounts that are joined
     are a range if they rise and ambiguous if not; both are kept. A sum that is said to vary has no amount.
-    ``student_categories`` are all groups of students that the text names, ``students`` the first of them.
+    ``student_categories`` are all groups of students that text or labels name, ``students`` the first of them. A cell without words is understood by its labels.
     """
-    t, h = F.col("text"), F.coalesce("heading", F.lit(""))
     number = lambda c: F.regexp_replace(c, ",", "").cast("double")
     pair = rf"({_MONEY})\s*(?:-|–|—|\bto\b|\band\b)\s*({_MONEY})"
-    b = in_context(blocks).select(
-        "page_id", "place", "type", t, plain(t).alias("plain"), h.alias("heading"), F.regexp_extract(t, _MONEY, 0).alias("raw"), F.regexp_extract(t, _MONEY, 2).alias("first"),
-        F.regexp_extract(t, pair, 3).alias("left"), F.regexp_extract(t, pair, 6).alias("right"),
-    )
+    t, said, h = F.col("text"), F.col("said"), F.coalesce("heading", F.lit(""))
+    b = statements.withColumn("said", _labels()).withColumns({
+        "raw": F.regexp_extract(t, _MONEY, 0), "first": F.regexp_extract(t, _MONEY, 2), "left": F.regexp_extract(t, pair, 3), "right": F.regexp_extract(t, pair, 6),
+    })
     before = F.split_part(t, F.col("raw"), F.lit(1))
+    ends_in = lambda wordings: before.rlike(words_pattern(wordings)[:-len(r"(?!\p{L})")] + r"\s*\S{0,4}\s*$")
     two = F.col("right") != ""
     shape = (
         F.when(F.col("first") == "", "VARIABLE").when(two & (number(F.col("left")) < number(F.col("right"))), "RANGE").when(two, "AMBIGUOUS")
-        .when(before.rlike(r"(?i)\b(up\s+to|no\s+more\s+than|maximum\s+of|max\.?)\s*\S{0,4}\s*$"), "UP_TO").when(before.rlike(r"(?i)\b(from|starting\s+(at|from)|as\s+low\s+as)\s*\S{0,4}\s*$"), "FROM").otherwise("EXACT")
+        .when(ends_in(AT_MOST), "UP_TO").when(ends_in(AT_LEAST), "FROM").otherwise("EXACT")
     )
-    code = F.upper(F.regexp_extract(t, rf"(?i)\b({CODES})\b", 1))
-    sign = F.lit(None).cast("string")
-    for s, iso in reversed(SIGNS):
-        sign = F.when(t.contains(s), iso).otherwise(sign)
+    code = F.upper(F.regexp_extract(said, rf"(?i)\b({CODES})\b", 1))
+    sign = F.coalesce(*[F.when(t.contains(s), iso) for s, iso in SIGNS])
     currency = F.when(code == "RMB", "CNY").when(code != "", code).otherwise(sign)
-    said, headed = says(F.col("plain"), FEE), says(plain(F.col("heading")), FEE_HEADING)
-    b = b.withColumns({"shape": shape, "currency": currency, "unit": first_of(F.col("plain"), UNITS), "students": first_of(F.col("plain"), STUDENTS), "student_categories": all_of(F.col("plain"), STUDENTS)})
-    b = b.filter((said | headed) & ((F.col("first") != "") | (says(F.col("plain"), VARIES) & said)))
+    b = b.withColumns({"shape": shape, "currency": currency, "unit": first_kind(said, UNITS), "student_categories": all_kinds(said, STUDENTS), "fee_said": says(said, FEE_WORDS), "fee_headed": says(h, FEE_WORDS)})
+    b = b.filter((F.col("fee_said") | F.col("fee_headed")) & ((F.col("first") != "") | (says(t, OPEN_AMOUNT) & F.col("fee_said"))))
     s, low, high = F.col("shape"), number(F.when(two, F.col("left")).otherwise(F.col("first"))), number(F.when(two, F.col("right")).otherwise(F.col("first")))
+    students = F.get("student_categories", F.lit(0))
     return b.select(
-        "page_id", "place", "shape", F.when(~s.isin("VARIABLE", "UP_TO"), low).alias("amount_min"), F.when(~s.isin("VARIABLE", "FROM"), high).alias("amount_max"), "currency", "unit", "students", "student_categories",
-        F.when((F.col("type") == "td") & (s != "AMBIGUOUS"), "HIGH").when(said & headed, "MEDIUM").otherwise("LOW").alias("band"),
+        "page_id", "place", "shape", F.when(~s.isin("VARIABLE", "UP_TO"), low).alias("amount_min"), F.when(~s.isin("VARIABLE", "FROM"), high).alias("amount_max"), "currency", "unit", students.alias("students"), "student_categories",
+        money_kind(F.col("column_header"), F.col("row_label"), t, F.col("raw"), F.array(h)).alias("money_kind"),
+        F.when((F.col("kind") == "td") & (s != "AMBIGUOUS"), "HIGH").when(F.col("fee_said") & F.col("fee_headed"), "MEDIUM").otherwise("LOW").alias("band"),
         F.array_compact(F.array(
             F.when(s == "AMBIGUOUS", "AMOUNT_SHAPE_AMBIGUOUS"), F.when(F.col("currency").isNull(), "CURRENCY_ABSENT"),
-            F.when(F.col("unit").isNull(), "BILLING_UNIT_UNRESOLVED"), F.when(F.col("students").isNull(), "STUDENT_CATEGORY_UNRESOLVED"),
+            F.when(F.col("unit").isNull(), "BILLING_UNIT_UNRESOLVED"), F.when(students.isNull(), "STUDENT_CATEGORY_UNRESOLVED"),
         )).alias("unresolved"),
     )
 
 
+def money_kind(column_header: Column, row_label: Column, text: Column, amount: Column, headings: Column) -> Column:
+    """What an amount is for: what its column says, else its row, else the wording nearest to it in ``text``, else the innermost of ``headings`` (outermost first) that says it; else UNKNOWN_FINANCIAL_AMOUNT.
+
+    An amount that isn't in the text stands at its beginning.
+    """
+    at = F.greatest(F.position(F.trim(amount), text) - 1, F.lit(0))
+    inner = F.transform(F.reverse(headings), lambda h: first_kind(h, MONEY))
+    named = F.coalesce(first_kind(column_header, MONEY), first_kind(row_label, MONEY), nearest_kind(text, at, MONEY)["kind"], F.get(F.array_compact(inner), F.lit(0)))
+    return F.coalesce(named, F.lit("UNKNOWN_FINANCIAL_AMOUNT"))
+
+
 _NUMBER = re.compile(r"(?<![\w.,-])\d{1,3}(?:\.\d{1,2})?(?![\w-]|[.,]\d)")
 _NAMES = [(code, re.compile(p, re.I)) for code, p in TEST_NAMES.items()]
 _PARTS = re.compile(r"[,;/\d]|\b(?:or|and|either|alternatively)\b", re.I)
@@ -154,7 +144,7 @@ NEAR, FAR = 24, 80
 
 
 def scores_in(text: str) -> list[tuple[str, str, str | None, str, float, bool]]:
-    """(test, kind, skill, operator, value, bound) of a block's scores; a number without a test near it is none.
+    """(test, kind, skill, operator, value, bound) of a text's scores; a number without a test near it is none.
 
     A number belongs to the test that is bound to it (``NEAR`` characters at most, nothing that parts a
     list between them; a name after it wins a tie), else to the nearest within ``FAR``. The first
@@ -188,21 +178,51 @@ def scores_in(text: str) -> list[tuple[str, str, str | None, str, float, bool]]:
     return out
 
 
-def english_scores(blocks: DataFrame) -> DataFrame:
-    """One row per score of a test of English: test, kind, skill, operator, value, band."""
+_SCORE = "struct<test:string,kind:string,skill:string,operator:string,value:double,bound:boolean>"
+
+
+def _scores(text: Column) -> Column:
+    @F.arrow_udf(f"array<{_SCORE}>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = ("test", "kind", "skill", "operator", "value", "bound")
+        kind = pa.list_(pa.struct([pa.field(n, t) for n, t in zip(names, (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_()), strict=True)]))
+        for t in texts:
+            yield pa.array([[dict(zip(names, s, strict=True)) for s in scores_in(x or "")] for x in t.to_pylist()], kind)
+
+    return run(text)
+
+
+def english_scores(statements: DataFrame) -> DataFrame:
+    """One row per score of a test of English that a sentence states: page_id, place, test, kind, skill, operator, value, band. Cells are read by :func:`score_cells`."""
     names = "|".join(TEST_NAMES.values())
+    some = statements.filter((F.col("kind") != "td") & F.col("text").rlike(f"(?i){names}"))
+    s = some.select("page_id", "place", "heading", "text", F.explode(_scores(F.col("text"))).alias("s")).select("page_id", "place", "heading", "text", "s.*")
+    sure = (F.col("kind") == "OVERALL") & F.lower("text").contains("overall") & F.coalesce(F.col("heading"), F.lit("")).rlike("(?i)english|language|proficiency|ielts|toefl")
+    return s.select("page_id", "place", "test", "kind", "skill", "operator", "value", F.when(F.col("bound") & sure, "HIGH").when(F.col("bound"), "MEDIUM").otherwise("LOW").alias("band"))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(p, n, h or "", t, *s) for p, n, h, t in zip(b["page_id"], b["place"], b["heading"], b["text"], strict=True) for s in scores_in(t)]
-            rows = [
-                (p, n, test, kind, skill, op, value, "HIGH" if bound and kind == "OVERALL" and "overall" in t.lower() and re.search("english|language|proficiency|ielts|toefl", h, re.I) else "MEDIUM" if bound else "LOW")
-                for p, n, h, t, test, kind, skill, op, value, bound in found
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "place", "test", "kind", "skill", "operator", "value", "band"])
+#: Words of a score column's header; a header of both kinds is one of overall scores.
+OVERALL_WORDS = ["composite", "minimum score", "overall", "required score", "score", "total"]
+PART_WORDS = ["band", "bands", "component", "components", "each", "listening", "reading", "section", "sections", "skill", "skills", "speaking", "subscore", "writing"]
 
-    some = in_context(blocks).filter(F.col("text").rlike(f"(?i){names}")).select("page_id", "place", "heading", "text")
-    return some.mapInPandas(run, "page_id long, place int, test string, kind string, skill string, operator string, value double, band string")
+
+def score_cells(cells: DataFrame) -> DataFrame:
+    """One row per score in a table whose header labels the column and whose row, or else caption, names a test: page_id, table_index, row_index, column_index, test, kind, skill, value.
+
+    ``cells``: of :func:`claimloom.operators.documents.cells`. The cell is a number alone and lies on the test's scale; an overall score also
+    reaches the least that is a requirement. A column whose header speaks of parts but not of the overall score has component scores, with the skill that header or row name.
+    """
+    head, value = F.col("column_header"), F.regexp_extract(F.trim("text"), r"^(\d{1,3}(?:\.\d{1,2})?)$", 1).try_cast("double")
+    named = lambda c: F.coalesce(*[F.when(c.rlike(f"(?i){p}"), code) for code, p in TEST_NAMES.items()])
+    whole, part = says(head, ["composite", "overall", "total"]), says(head, PART_WORDS)
+    skill = F.lower(F.regexp_extract(F.concat_ws(" ", head, "row_label"), r"(?i)\b(reading|writing|listening|speaking)\b", 1))
+    c = cells.filter("origin and column_header is not null").withColumns({"value": value, "test": F.coalesce(named(F.col("row_text")), named(F.col("caption")))})
+    c = c.filter(F.col("value").isNotNull() & F.col("test").isNotNull() & (says(head, OVERALL_WORDS) | part))
+    ends = F.create_map(*[x for code, e in TESTS.items() for x in (F.lit(code), F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("least", "most", "floor"), e, strict=True)]))])
+    scale = ends[F.col("test")]
+    kind = F.when(part & ~whole, "COMPONENT").otherwise("OVERALL")
+    c = c.filter(F.col("value").between(scale["least"], scale["most"]) & ((kind == "COMPONENT") | (F.col("value") >= scale["floor"])))
+    return c.select("page_id", "table_index", "row_index", "column_index", "test", kind.alias("kind"), F.when((kind == "COMPONENT") & (skill != ""), skill).alias("skill"), "value")
 
 
 def date_parts(found: Column) -> dict[str, Column]:
@@ -215,23 +235,23 @@ def date_parts(found: Column) -> dict[str, Column]:
     return {"year": year, "month": month, "day": F.when(day.between(1, longest), day)}
 
 
-def calendar_dates(blocks: DataFrame) -> DataFrame:
-    """Every date written in the body: page_id, place, nth (in the block, from 0), date_text, year, month, day."""
-    b = in_context(blocks).select("page_id", "place", F.posexplode(F.regexp_extract_all("text", F.lit(_DATE), F.lit(0))).alias("nth", "date_text"))
+def calendar_dates(statements: DataFrame) -> DataFrame:
+    """Every date written in the body: page_id, place, nth (in the statement, from 0), date_text, year, month, day."""
+    b = statements.select("page_id", "place", F.posexplode(F.regexp_extract_all("text", F.lit(_DATE), F.lit(0))).alias("nth", "date_text"))
     return b.withColumns(date_parts(F.col("date_text")))
 
 
-def deadlines(blocks: DataFrame) -> DataFrame:
-    """One row per block about closing dates: the state it words, else DATE with the first date it writes."""
+def deadlines(statements: DataFrame) -> DataFrame:
+    """One row per statement about closing dates: how it says applications stand, else DATE with the first date it writes."""
     t = F.col("text")
-    about = says(plain(t), DEADLINE) | says(plain(F.coalesce("heading", F.lit(""))), DEADLINE)
-    state = F.coalesce(first_of(plain(t), STATES), F.when(t.rlike(_DATE) & about, "DATE"))
-    b = in_context(blocks).withColumn("state", state).filter("state is not null")
+    about = says(_labels(), DEADLINE_WORDS) | says(F.col("heading"), DEADLINE_WORDS)
+    state = F.coalesce(first_kind(t, APPLICATIONS), F.when(t.rlike(_DATE) & about, "DATE"))
+    b = statements.withColumn("state", state).filter("state is not null")
     b = b.withColumn("date_text", F.when(F.col("state") == "DATE", F.regexp_extract(t, _DATE, 0)))
     return b.withColumns(date_parts(F.col("date_text"))).select("page_id", "place", "state", "date_text", "year", "month", "day")
 
 
-def programmes(blocks: DataFrame) -> DataFrame:
-    """Headings of the body that name an award, once per page and name: page_id, name, award level."""
-    h = blocks.filter(~F.col("in_chrome") & F.col("level").isNotNull() & (F.length("text") <= 200)).withColumn("award", first_award(F.col("text"))).filter("award is not null")
+def programmes(headings: DataFrame) -> DataFrame:
+    """Headings that name an award (of at most 200 characters), once per page and name: page_id, name, award level. ``headings``: of :func:`claimloom.operators.documents.headings`."""
+    h = headings.filter(F.length("text") <= 200).withColumn("award", first_award(F.col("text"))).filter("award is not null")
     return h.groupBy("page_id", F.lower("text").alias("name")).agg(F.min("place").alias("place"), F.min("award").alias("award"))

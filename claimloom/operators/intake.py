@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.extract import plain
+from claimloom.functions.matches import places
 
 # Kind of source by the category of a page.
 SOURCE_TYPES = {
@@ -13,11 +13,12 @@ SOURCE_TYPES = {
     "POSTGRADUATE_ADMISSIONS": "admissions_page", "PHD_ADMISSIONS": "admissions_page", "ENTRY_REQUIREMENTS": "admissions_page", "LANGUAGE_REQUIREMENTS": "admissions_page", "APPLICATION_DEADLINES": "admissions_page",
     "FACULTY_OR_SCHOOL": "faculty_site", "TUITION_FEES": "fee_page", "OFFICIAL_PDF": "official_pdf", "GOVERNMENT": "government_regulator", "AUTHORIZED_RANKING": "authorized_ranking",
 }
-#: Names of rounds, as whole words; of several names at one place the longest counts.
-ROUNDS = [
-    "priority", "regular decision", "early action", "early decision", "restrictive early action", "single choice early action",
-    "main round", "first round", "second round", "third round", "final round",
-]
+#: A round is named by what it is like, one or several words, before what it is; or by its number.
+QUALITIES = ["first", "second", "third", "fourth", "final", "main", "priority", "early", "regular", "late", "restrictive", "single choice", "spring", "autumn"]
+NOUNS = ["round", "decision", "action", "intake"]
+_ROUND = rf"(?i)\b(?:round\s+\d+|(?:(?:{'|'.join(q.replace(' ', '[ -]') for q in QUALITIES)})\s+)+(?:{'|'.join(NOUNS)})|priority)\b"
+#: Two years with a line between them, the second in two or four digits; the year of an entry.
+_YEARS, _ENTRY = r"(?<!\d)(20\d{2}\s?[/–—-]\s?(?:20)?\d{2})(?!\d)", r"(?i)(?<!\d)(20\d{2})\s+(?:entry|start)\b"
 
 
 def registered(claims: DataFrame, known: DataFrame) -> DataFrame:
@@ -56,21 +57,18 @@ def recovered(sources: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def _round_in(text: Column) -> Column:
-    """The round that stands first in ``text`` (from :func:`plain`), numbered ones included; null without one."""
-    named = [F.when(F.locate(f" {r} ", text) > 0, F.struct(F.locate(f" {r} ", text).alias("at"), F.lit(-len(r)).alias("size"), F.lit(r).alias("label"))) for r in ROUNDS]
-    number = F.regexp_extract(text, r" (round \d+) ", 1)
-    numbered = F.when(number != "", F.struct(F.locate(" round ", text).alias("at"), F.lit(0).alias("size"), number.alias("label")))
-    return F.array_min(F.array_compact(F.array(*named, numbered)))["label"]
+    """The round that stands first in ``text``, in lower case with single blanks; null without one."""
+    return F.regexp_replace(F.lower(F.get(places(text, _ROUND), F.lit(0))["match"]), r"[\s-]+", " ")
 
 
 def deadline_context(text: Column, heading: Column) -> dict[str, Column]:
-    """``round_label`` with its ``source`` (text before heading), ``round_number`` if stated, ``academic_year`` and ``entry_year``."""
-    said, above = _round_in(plain(text)), _round_in(plain(F.coalesce(heading, F.lit(""))))
-    label, both = F.coalesce(said, above), F.concat_ws(" ", heading, text)
+    """``round_label`` with its ``source`` (text before heading), ``round_number`` if stated, ``academic_year`` and ``entry_year`` (heading before text)."""
+    said, above = _round_in(text), _round_in(heading)
+    label, both = F.coalesce(said, above), F.concat_ws("\n", heading, text)
     none = lambda c: F.when(c != "", c)
     return {
         "round_label": label, "round_source": F.when(said.isNotNull(), "text").when(above.isNotNull(), "heading"), "round_number": none(F.regexp_extract(label, r"^round (\d+)$", 1)).cast("int"),
-        "academic_year": none(F.regexp_extract(both, r"\b(20\d\d ?[/–—-] ?\d{2,4})\b", 1)), "entry_year": none(F.regexp_extract(F.lower(both), r"\b(20\d\d) entry\b", 1)).cast("int"),
+        "academic_year": none(F.regexp_extract(both, _YEARS, 1)), "entry_year": none(F.regexp_extract(both, _ENTRY, 1)).cast("int"),
     }
 
 

@@ -47,9 +47,10 @@ def coverage(targets: DataFrame, mappings: DataFrame, scopes: DataFrame) -> Data
 
 
 def acquisition_targets(sources: DataFrame, claims: DataFrame) -> DataFrame:
-    """Each source beside its physical claim (no duplicate of another) and the number, categories and references of all its claims."""
+    """Each source with a physical claim (no duplicate of another) beside the least of these, and the number, categories and references of all its claims."""
     per = claims.groupBy("source_id").agg(F.count("*").alias("claim_count"), F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_list("source_ref")).alias("source_refs"))
-    physical = claims.filter("duplicate_of is null").select("source_id", F.col("source_ref").alias("physical_ref"), F.col("category").alias("first_category"))
+    physical = claims.filter("duplicate_of is null").groupBy("source_id").agg(F.min(F.struct("source_ref", "category")).alias("p"))
+    physical = physical.select("source_id", F.col("p.source_ref").alias("physical_ref"), F.col("p.category").alias("first_category"))
     return sources.join(physical, "source_id").join(per, "source_id", "left")
 
 

@@ -1,25 +1,12 @@
-"""Web pages to hosts, technical classes and typed blocks."""
+"""Web pages to hosts and technical classes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.urls import authority, host, registrable, title
 
-HEADINGS = {f"h{i}": i for i in range(1, 7)}
-BLOCKS = {*HEADINGS, "p", "li", "pre", "blockquote", "td", "th", "dt", "dd"}
-SKIPPED = {"script", "style", "template", "svg", "math"}
-CHROME = {"nav", "header", "footer", "aside"}
-#: Open blocks that the start of another one ends, and those that the end of what they lie in ends.
-ENDED_BY = {t: {"p"} for t in BLOCKS} | {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
-PARENTS = {"ul": {"li", "p"}, "ol": {"li", "p"}, "dl": {"dt", "dd", "p"}, "tr": {"td", "th", "p"}, "table": {"td", "th", "p"}, "div": {"p"}, "section": {"p"}, "article": {"p"}, "main": {"p"}, "body": {"p", "li"}}
-
-
 def page_hosts(pages: DataFrame) -> DataFrame:
     h = host(F.col("url"))
     return pages.select("page_id", h.alias("host"), authority(F.col("url")).alias("authority"), registrable(h).alias("domain"))
@@ -38,101 +25,3 @@ def page_shape(pages: DataFrame) -> DataFrame:
         "page_id", title(html).alias("title"), F.sha2(html, 256).alias("body_sha256"), n("<a ").alias("links"), n("<p>").alias("paragraphs"),
         n("<script").alias("scripts"), F.when(visible >= 400, "STATIC_HTML").when(n("<script") > 0, "POSSIBLE_BROWSER").otherwise("THIN").alias("technical_class"),
     )
-
-
-class BlockReader(HTMLParser):
-    """Collects (type, level, text, in_chrome) in document order, and links."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int | None, str, bool]] = []
-        self.links: list[tuple[str, str, int]] = []
-        self.skip = self.chrome = 0
-        self.open: list[tuple[str, list[str]]] = []
-        self.href: str | None = None
-        self.link_text: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skip += 1
-        elif tag in CHROME:
-            self.chrome += 1
-        elif tag in BLOCKS:
-            self.flush()
-            if self.open and self.open[-1][0] in ENDED_BY.get(tag, ()):
-                self.open.pop()
-            self.open.append((tag, []))
-        elif tag in PARENTS and self.open and self.open[-1][0] == "p":
-            self.flush()
-            self.open.pop()
-        elif tag == "a":
-            self.href, self.link_text = dict(attrs).get("href"), []
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag in CHROME:
-            self.flush()
-            self.open = []
-            self.chrome = max(0, self.chrome - 1)
-        elif tag in BLOCKS or tag in PARENTS:
-            self.close_to(tag)
-        elif tag == "a" and self.href is not None:
-            self.links.append((" ".join("".join(self.link_text).split()), self.href, len(self.blocks)))
-            self.href = None
-
-    def handle_data(self, data):
-        if self.skip:
-            return
-        if self.href is not None:
-            self.link_text.append(data)
-        if self.open:
-            self.open[-1][1].append(data)
-        elif data.strip():
-            self.open.append(("text", [data]))
-            self.flush()
-            self.open.pop()
-
-    def close_to(self, tag):
-        """Ends the innermost open ``tag`` with all that is open inside it; the end of a list, table or page part ends all blocks that may stand open in it."""
-        self.flush()
-        names = [t for t, _ in self.open]
-        if tag in names:
-            self.open = self.open[: len(names) - 1 - names[::-1].index(tag)]
-        elif tag in PARENTS:
-            while self.open and self.open[-1][0] in PARENTS[tag]:
-                self.open.pop()
-
-    def flush(self):
-        if self.open:
-            tag, parts = self.open[-1]
-            text = " ".join("".join(parts).split())
-            parts.clear()
-            if text:
-                self.blocks.append((tag, HEADINGS.get(tag), text, self.chrome > 0))
-
-
-def blocks(pages: DataFrame) -> DataFrame:
-    """Typed text blocks of every page with their place, heading level and whether they lie in page chrome."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for page_id, html in zip(b["page_id"], b["html"], strict=True):
-                reader = BlockReader()
-                reader.feed(html or "")
-                reader.close()
-                reader.flush()
-                rows += [(page_id, i, *block) for i, block in enumerate(reader.blocks)]
-            yield pd.DataFrame(rows, columns=["page_id", "place", "type", "level", "text", "in_chrome"]).astype({"level": "Int32"})
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, place int, type string, level int, text string, in_chrome boolean")
-
-
-def block_statistics(pages: DataFrame) -> DataFrame:
-    """Per page, one without blocks included: blocks, headings, body characters and chrome blocks."""
-    counted = blocks(pages).groupBy("page_id").agg(
-        F.count("*").alias("blocks"), F.count("level").alias("headings"), F.sum(F.when(~F.col("in_chrome"), F.length("text")).otherwise(0)).alias("body_chars"),
-        F.count(F.when(F.col("in_chrome"), 1)).alias("chrome_blocks"),
-    )
-    return pages.select("page_id").distinct().join(counted, "page_id", "left").fillna(0)

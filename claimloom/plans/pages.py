@@ -51,8 +51,9 @@ def visible_texts(spark, d):
 
 
 def _said(rows, key, text):
-    """Sentences as blocks of one body paragraph each."""
-    return rows.select(F.col(key).alias("page_id"), F.lit(0).alias("place"), F.lit("p").alias("type"), F.lit(None).cast("int").alias("level"), text.alias("text"), F.lit(False).alias("in_chrome"))
+    """Sentences as statements of one body paragraph each."""
+    none = F.lit(None).cast("string")
+    return rows.select(F.col(key).alias("page_id"), F.lit(0).alias("place"), F.lit("p").alias("kind"), text.alias("text"), none.alias("heading"), none.alias("column_header"), none.alias("row_label"))
 
 
 def fee_sentences(spark, d):
@@ -65,14 +66,61 @@ def fee_sentences(spark, d):
     return extract.fees(_said(table(spark, d, "part"), "p_partkey", text)).select("page_id", "shape", "amount_min", "amount_max", "currency", "unit", "students", F.array_join("unresolved", ",").alias("unresolved"))
 
 
+def _made(rows, key, html):
+    return documents.documents(rows.select(F.col(key).alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html")))
+
+
 def fee_tables(spark, d):
     """Fee tables made from parts, read as pages: a cell is understood with its column header and row label."""
     k = F.col("p_partkey")
     row = F.concat(F.lit("<tr><th>International students<td>"), F.format_number(1000 + k % 90000, 0), F.lit("<td>n/a"))
     html = F.concat(F.lit("<h2>Fees</h2><table><thead><tr><th>Students<th>Tuition fee (GBP) per year<th>Note</thead>"), row, F.lit("</table>"))
-    docs = documents.documents(table(spark, d, "part").select(k.alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html")))
-    c = documents.cells(docs).select("page_id", F.col("column_index").alias("place"), F.lit("td").alias("type"), F.lit(None).cast("int").alias("level"), F.concat_ws(" ", "column_header", "row_label", "text").alias("text"), F.lit(False).alias("in_chrome"))
-    return extract.fees(c).select("page_id", "place", "shape", "amount_min", "currency", "unit", "students", "band")
+    return extract.fees(documents.statements(_made(table(spark, d, "part"), "p_partkey", html))).select("page_id", "shape", "amount_min", "currency", "unit", "students", "money_kind", "band")
+
+
+def _grid_page():
+    """A page whose table has two header rows, a label over two rows and, for every third part, a fee over two columns."""
+    k = F.col("p_partkey")
+    n = lambda c: F.format_number(c, 0)
+    last = F.when(k % 3 == 0, F.concat(F.lit("<td colspan=2>"), n(3000 + k % 7000))).otherwise(F.concat(F.lit("<td>"), n(3000 + k % 7000), F.lit("<td>"), n(4000 + k % 7000)))
+    return F.concat(
+        F.lit("<h1>Money</h1><h2>Tuition</h2><table><thead><tr><th rowspan=2>Award<th rowspan=2>Pace<th colspan=2>Fee per year<tr><th>Home<th>Overseas</thead><tr><td rowspan=2>"), F.col("p_name"),
+        F.lit("<td>Full<td>"), n(1000 + k % 7000), F.lit("<td>"), n(2000 + k % 7000), F.lit("<tr><td>Part"), last, F.lit("</table><h2>Housing</h2><p>Fees: pay £"), n(5000 + k % 900), F.lit(" for rent"),
+    )
+
+
+def table_places(spark, d):
+    """Every place of these tables with its header and label, spans laid out."""
+    c = documents.cells(_made(table(spark, d, "part"), "p_partkey", _grid_page()))
+    return c.select("page_id", "row_index", "column_index", "text", "origin", "column_header", "row_label", "heading")
+
+
+def page_fees(spark, d):
+    """Fees of these pages, cells and sentences, each with what the money is for."""
+    f = extract.fees(documents.statements(_made(table(spark, d, "part"), "p_partkey", _grid_page())))
+    return f.select("page_id", "amount_min", "unit", "students", "money_kind", "band")
+
+
+def score_tables(spark, d):
+    """Scores in tables made from parts: overall and component columns, a row without a test, a value off the scale."""
+    k, x = F.col("p_partkey"), F.format_number(4 + (F.col("p_partkey") % 11) / 2, 1)
+    html = F.concat(
+        F.lit("<h2>English</h2><table><thead><tr><th>Test<th>Overall score<th>Writing<th>Notes</thead><tr><td>IELTS Academic<td>"), x, F.lit("<td>6.0<td>7.0<tr><td>TOEFL iBT<td>"), (20 + k % 120).cast("string"),
+        F.lit("<td>22<td>x<tr><td>Other<td>7.5<td>7.0<td></table>"),
+    )
+    c = documents.cells(_made(table(spark, d, "part"), "p_partkey", html))
+    return extract.score_cells(c).select("page_id", "test", "kind", "skill", "value", "row_index", "column_index")
+
+
+def money_kinds(spark, d):
+    """What an amount is for, by labels, nearest wording and headings, in lines of several amounts without blanks between them."""
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    text = F.when(k % 5 == 0, "Tuition$56,550Fees$5,126Housing$12,922Food$8,268").when(k % 5 == 1, "Pay 8,268 for meals; your room is 12,922").when(k % 5 == 2, "12,922 a year").when(k % 5 == 3, "books 5,126, travel 8,268").otherwise("5,126 in all")
+    amount = F.element_at(F.array(*[F.lit(x) for x in ("56,550", "12,922", "8,268")]), (k % 3 + 1).cast("int"))
+    column, row = F.when(k % 7 == 0, "Registration fee"), F.when(k % 7 == 1, "Total cost of living costs")
+    headings = F.array(F.lit("Costs"), F.when(k % 2 == 0, "Accommodation").otherwise("More"), F.lit("Amounts"))
+    kind = extract.money_kind(column, row, text, amount, headings)
+    return table(spark, d, "lineitem").groupBy((k % 5).alias("wording"), (k % 3).alias("amount"), (k % 7).alias("label"), (k % 2).alias("heading"), kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def deadline_sentences(spark, d):
@@ -87,16 +135,32 @@ def score_sentences(spark, d):
     return extract.english_scores(_said(table(spark, d, "part"), "p_partkey", text)).select("page_id", "test", "kind", "value")
 
 
-QUERIES = {f.__name__: f for f in (page_parts, document_statistics, html_links, link_hosts, html_blocks, link_profiles, heading_paths, document_bodies, visible_texts, fee_sentences, fee_tables, deadline_sentences, score_sentences)}
+QUERIES = {f.__name__: f for f in (page_parts, document_statistics, html_links, link_hosts, html_blocks, link_profiles, heading_paths, document_bodies, visible_texts, fee_sentences, fee_tables, deadline_sentences, score_sentences, table_places, page_fees, score_tables, money_kinds)}
 
 _COUNT = "len(regexp_extract_all(coalesce(html, ''), '{}'))"
+#: Places of the made tables: rows 0 and 1 by columns 0 to 3, ``n`` the fee there.
+_GRID = """with g as (select p_partkey as k, p_name, r, c, format('{:,}', (case when r = 1 and c = 3 and p_partkey % 3 = 0 then 3000 else 1000 * (2 * r + c - 1) end + p_partkey % 7000)::bigint) as n
+  from part, (values (0), (1)) rows(r), (values (0), (1), (2), (3)) columns(c))
+"""
 ORACLE_SQL = {
     "page_parts": f"select page_id, {_COUNT.format('<h[1-6]>')} as headings, {_COUNT.format('<script')} as scripts, {_COUNT.format('<table')} as tables, 'OK' as status from pages",
     "link_hosts": f"select true as in_chrome, cast(sum(n) as bigint) as links, count(*) filter (n > 0) as pages from (select {_COUNT.format('<a ')} as n from pages) having sum(n) > 0",
     "fee_sentences": """with p as (select p_partkey as k, 1000.0 + p_partkey % 90000 as a from part) select k as page_id, ['EXACT', 'RANGE', 'UP_TO', 'AMBIGUOUS', 'VARIABLE'][k % 5 + 1] as shape, case k % 5 when 0 then a when 1 then a when 3 then a + 500 end::double as amount_min,
   case k % 5 when 0 then a when 1 then a + 500 when 2 then a when 3 then a end::double as amount_max, case when k % 5 < 4 then 'GBP' end as currency, ['PER_YEAR', 'PER_SEMESTER', 'TOTAL_PROGRAM', 'PER_MODULE', null][k % 5 + 1] as unit, ['INTERNATIONAL', 'HOME', null, 'EU', null][k % 5 + 1] as students,
   ['', '', 'STUDENT_CATEGORY_UNRESOLVED', 'AMOUNT_SHAPE_AMBIGUOUS', 'CURRENCY_ABSENT,BILLING_UNIT_UNRESOLVED,STUDENT_CATEGORY_UNRESOLVED'][k % 5 + 1] as unresolved from p""",
-    "fee_tables": "select p_partkey as page_id, 1 as place, 'EXACT' as shape, (1000 + p_partkey % 90000)::double as amount_min, 'GBP' as currency, 'PER_YEAR' as unit, 'INTERNATIONAL' as students, 'HIGH' as band from part",
+    "fee_tables": "select p_partkey as page_id, 'EXACT' as shape, (1000 + p_partkey % 90000)::double as amount_min, 'GBP' as currency, 'PER_YEAR' as unit, 'INTERNATIONAL' as students, 'TUITION_FEE' as money_kind, 'HIGH' as band from part",
+    "table_places": _GRID + """select k as page_id, r as row_index, c as column_index, case c when 0 then p_name when 1 then ['Full', 'Part'][r + 1] else n end as text,
+  not (c = 0 and r = 1) and not (c = 3 and r = 1 and k % 3 = 0) as origin, ['Award', 'Pace', 'Fee per year Home', 'Fee per year Overseas'][c + 1] as column_header,
+  case c when 0 then null when 1 then p_name else p_name || ' ' || ['Full', 'Part'][r + 1] end as row_label, 'Tuition' as heading from g""",
+    "page_fees": _GRID + """select k as page_id, replace(n, ',', '')::double as amount_min, 'PER_YEAR' as unit, ['HOME', 'OVERSEAS'][c - 1] as students, 'TUITION_FEE' as money_kind, 'HIGH' as band from g where c > 1 and not (c = 3 and r = 1 and k % 3 = 0)
+union all select p_partkey, 5000.0 + p_partkey % 900, null, null, 'HOUSING', 'LOW' from part""",
+    "score_tables": """with p as (select p_partkey as k, 4 + (p_partkey % 11) / 2.0 as x, 20 + p_partkey % 120 as t from part)
+select k as page_id, 'IELTS' as test, 'OVERALL' as kind, null::varchar as skill, x::double as value, 0 as row_index, 1 as column_index from p union all select k, 'IELTS', 'COMPONENT', 'writing', 6.0, 0, 2 from p
+union all select k, 'TOEFL', 'OVERALL', null, t, 1, 1 from p where t between 30 and 120 union all select k, 'TOEFL', 'COMPONENT', 'writing', 22.0, 1, 2 from p""",
+    "money_kinds": """with l as (select (l_orderkey + l_linenumber) % 5 as w, (l_orderkey + l_linenumber) % 3 as a, (l_orderkey + l_linenumber) % 7 as b, (l_orderkey + l_linenumber) % 2 as h from lineitem)
+select w as wording, a as amount, b as label, h as heading, case when b = 0 then 'OTHER_MANDATORY_FEE' when b = 1 then 'ESTIMATED_TOTAL_COST'
+  when w = 0 then ['TUITION_FEE', 'HOUSING', 'MEAL_PLAN'][a + 1] when w = 1 then ['MEAL_PLAN', 'HOUSING', 'MEAL_PLAN'][a + 1] when w = 3 then 'COST_OF_ATTENDANCE_COMPONENT' when h = 0 then 'HOUSING' else 'UNKNOWN_FINANCIAL_AMOUNT' end as kind, count(*) as n
+from l group by all""",
     "deadline_sentences": "select o_orderkey as page_id, ['ROLLING', 'CLOSED', 'DATE', 'DATE'][o_orderkey % 4 + 1] as state, case when o_orderkey % 4 > 1 then year(o_orderdate) end as year, case when o_orderkey % 4 > 1 then month(o_orderdate) end as month, case when o_orderkey % 4 > 1 then day(o_orderdate) end as day from orders",
     "score_sentences": """select p_partkey as page_id, 'IELTS' as test, 'OVERALL' as kind, 5 + (p_size % 8) / 2.0::double as value from part where p_partkey % 2 = 0 union all select p_partkey, 'IELTS', 'COMPONENT_MINIMUM', 5.5 from part where p_partkey % 2 = 0
 union all select p_partkey, 'TOEFL', 'OVERALL', 80.0 + p_size % 30 from part where p_partkey % 2 = 1""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions.urls import canonical, fold_space
-from claimloom.operators import claims, extract, review, runs, web
+from claimloom.operators import claims, documents, extract, review, runs, web
 from claimloom.plans import evidence, pages, reports, routes
 from claimloom.sources.tables import append_missing, table
 from claimloom.streaming.runs import outcomes_by_window
@@ -19,8 +19,9 @@ def _pages(f):
     return lambda spark, d: f(table(spark, d, "pages"))
 
 
-def _blocks(f):
-    return _pages(lambda pages: f(web.blocks(pages)))
+def _read(f, part):
+    """``f`` of ``part`` of the pages, read as documents."""
+    return _pages(lambda pages: f(part(documents.documents(pages))))
 
 
 def _lines(spark, d):
@@ -135,13 +136,13 @@ QUERIES = {
     "source_health": _runs(runs.source_health), "outcome_summary": _runs(runs.outcome_summary), "latest_run": _runs(runs.latest_run),
     "outcome_variety": _runs(runs.outcome_variety), "outcome_lists": _runs(runs.outcome_lists), "slowest_runs": _runs(runs.slowest),
     "stratified_sample": _runs(runs.stratified_sample), "cycle_counts": _runs(runs.cycle_counts), "retry_waits": _runs(runs.retry_waits), "window_counts": window_counts,
-    "page_hosts": _pages(web.page_hosts), "pages_per_domain": _pages(web.pages_per_domain), "page_shape": _pages(web.page_shape), "block_statistics": _pages(web.block_statistics),
+    "page_hosts": _pages(web.page_hosts), "pages_per_domain": _pages(web.pages_per_domain), "page_shape": _pages(web.page_shape), "block_statistics": _pages(lambda pages: documents.block_statistics(documents.documents(pages))),
     "agreement_groups": agreement_groups, "corroborated_claims": corroborated_claims, "order_flags": order_flags, "mapping_reach": mapping_reach,
     "customers_without_orders": customers_without_orders, "coverage_by_nation": coverage_by_nation, "gap_classes": gap_classes, "insert_delta": insert_delta,
     "folded_text": folded_text, "fingerprint_collisions": fingerprint_collisions, "shape_violations": shape_violations,
     "review_priority": review_priority, "publication_blockers": publication_blockers, "governing_scope": governing_scope, "governing_scope_whole": governing_scope, "canonical_urls": canonical_urls,
-    "fee_claims": _blocks(extract.fees), "english_score_claims": _blocks(extract.english_scores), "deadline_claims": _blocks(extract.deadlines),
-    "calendar_claims": _blocks(extract.calendar_dates), "programme_claims": _blocks(extract.programmes),
+    "fee_claims": _read(extract.fees, documents.statements), "english_score_claims": _read(extract.english_scores, documents.statements), "deadline_claims": _read(extract.deadlines, documents.statements),
+    "calendar_claims": _read(extract.calendar_dates, documents.statements), "programme_claims": _read(extract.programmes, documents.headings),
 }
 
 _R = """with runs as (select user_id as source_id, event_id as run_id, ts as started_at, value as seconds,

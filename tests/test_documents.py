@@ -46,3 +46,48 @@ def test_tables_links_and_counts(docs):
 def test_heading_paths(docs):
     paths = {r.text: r.heading_path for r in d.sections(docs.filter("title is not null")).collect()}
     assert paths["one"] == ["Title"] and paths["inner"] == ["Title", "Fees"] and paths["deep"] == ["Title", "Fees", "Deep"] and paths["9,000"] == ["Title", "Next"]
+
+
+def slow_grid(rows):
+    """Every place tried in turn: a cell goes to the first free place of its row and takes what its spans cover and is free."""
+    taken = {}
+    for i, row in enumerate(rows):
+        for cell in row:
+            j = 0
+            while (i, j) in taken:
+                j += 1
+            free = [b for b in range(j, j + cell["colspan"]) if (i, b) not in taken]
+            for a in range(i, min(len(rows), i + cell["rowspan"])):
+                for b in free:
+                    taken.setdefault((a, b), (cell["text"], a == i and b == j))
+    return [[taken.get((i, j), ("", False)) for j in range(max((b for a, b in taken if a == i), default=-1) + 1)] for i in range(len(rows))]
+
+
+def test_grids_of_random_spans_are_those_of_a_slow_layout():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        rows, n = [], 0
+        for _ in range(rng.randint(0, 5)):
+            row = []
+            for _ in range(rng.randint(0, 4)):
+                n += 1
+                row.append({"text": str(n), "header": False, "block": n, "rowspan": rng.choice([1, 1, 2, 3, 1000]), "colspan": rng.choice([1, 1, 2, 3])})
+            rows.append(row)
+        got = [[(c["text"], c["origin"]) for c in r] for r in d.laid_out(rows)]
+        want = slow_grid(rows)
+        assert [[c for c in r] for r in got] == want, rows
+
+
+def test_spans_that_would_cover_too_much_are_not_laid_out():
+    rows = [[{"text": "x", "header": False, "block": 0, "rowspan": 1000, "colspan": 1000}] for _ in range(1000)]
+    assert [len(r) for r in d.laid_out(rows)] == [1] * 1000
+
+
+def test_headers_of_several_rows_and_labels_over_rows(spark):
+    html = "<table><thead><tr><th rowspan=2>Level<th colspan=2>Fee<tr><th>Home<th>Abroad</thead><tr><td rowspan=0>BSc<td>1<td>2<tr><td colspan=2>3</table>"
+    docs = d.documents(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    got = {(r.row_index, r.column_index): (r.text, r.origin, r.column_header, r.row_label) for r in d.cells(docs).collect()}
+    assert got[0, 1] == ("1", True, "Fee Home", "BSc") and got[1, 0] == ("BSc", False, "Level", None) and got[1, 1] == ("3", True, "Fee Home", "BSc") and got[1, 2] == ("3", False, "Fee Abroad", "BSc")
+    assert [(r.text, r.column_header) for r in d.statements(docs).orderBy("place").collect()] == [("BSc", "Level"), ("1", "Fee Home"), ("2", "Fee Abroad"), ("3", "Fee Home")]

@@ -4,24 +4,46 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
+import random
 
 from pyspark.sql import functions as F
 
 from claimloom.functions import values
-from claimloom.operators import fleet, grouping, registers, web
+from claimloom.operators import documents, fleet, grouping, registers
 from claimloom.streaming import runs as windows
 from claimloom.streaming import state
 
 
-def test_addresses_and_names():
+def test_addresses_of_every_kind(spark):
     kinds = {
-        "8.8.8.8": "GLOBAL", "127.0.0.1": "LOOPBACK", "::1": "LOOPBACK", "::ffff:127.0.0.1": "LOOPBACK", "10.1.2.3": "PRIVATE", "100.64.0.1": "NOT_GLOBAL", "169.254.169.254": "METADATA", "::ffff:169.254.169.254": "METADATA",
-        "169.254.1.1": "LINK_LOCAL", "0.0.0.0": "UNSPECIFIED", "2002:7f00:1::": "LOOPBACK", "224.0.0.1": "GLOBAL", "2001:4860:4860::8888": "GLOBAL", "abc": "INVALID", "": "INVALID", None: None,
+        "8.8.8.8": "GLOBAL", "127.0.0.1": "LOOPBACK", "::1": "LOOPBACK", "::ffff:127.0.0.1": "LOOPBACK", "::FFFF:7f00:1": "LOOPBACK", "10.1.2.3": "PRIVATE", "100.64.0.1": "NOT_GLOBAL", "169.254.169.254": "METADATA", "::ffff:169.254.169.254": "METADATA",
+        "169.254.1.1": "LINK_LOCAL", "0.0.0.0": "UNSPECIFIED", "::": "UNSPECIFIED", "2002:7f00:1::": "LOOPBACK", "224.0.0.1": "MULTICAST", "2001:4860:4860::8888": "GLOBAL", "fd00:ec2::254": "METADATA", "fd00::1": "PRIVATE", "fe80::1%eth0": "LINK_LOCAL",
+        "ff02::1": "MULTICAST", "2001:0:4136:e378:8000:63bf:80ff:fffe": "LOOPBACK", "abc": "INVALID", "": "INVALID", "1.2.3": "INVALID", "1.2.3.256": "INVALID", "01.2.3.4": "INVALID", "1::2::3": "INVALID", "1:2:3:4:5:6:7": "INVALID",
+        "1:2:3:4:5:6:7:8:9": "INVALID", "1:2:3:4:5:6:7::8": "INVALID", "g::": "INVALID", "1.2.3.4\n": "INVALID", ":::": "INVALID", None: None,
     }
-    kinds.pop("224.0.0.1")  # the standard library's view of multicast differs between versions
-    assert {a: values.address_kind(a) for a in kinds} == kinds
-    names = {"  Ａ University​ of “X”. ": 'a university of "x"', "STRASSE": "strasse", "Straße": "strasse", "a – b;": "a - b", " .,": None, None: None}
-    assert {n: values.fold_name(n) for n in names} == names
+    df = spark.createDataFrame([(a,) for a in kinds], "a string")
+    assert {r[0]: r[1] for r in df.select("a", values.address_class(F.col("a"))).collect()} == kinds
+
+
+def test_addresses_agree_with_the_standard_library_where_it_can_tell(spark):
+    rng = random.Random(1)
+    some = [ipaddress.ip_address(rng.getrandbits(32)) for _ in range(400)] + [ipaddress.ip_address(rng.getrandbits(rng.choice([16, 64, 125, 128]))) for _ in range(400)]
+    texts = {x: a for a in some for x in (str(a), a.exploded)}
+    got = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in texts], "a string").select("a", values.address_class(F.col("a"))).collect()}
+    for text, a in texts.items():
+        if a.version == 6 and (a.ipv4_mapped or a.sixtofour or a.teredo):
+            continue
+        if got[text] == "GLOBAL":
+            assert a.is_global, text
+        elif got[text] not in ("MULTICAST", "RESERVED", "METADATA"):
+            assert not a.is_global, text
+
+
+def test_names_without_their_writing(spark):
+    names = {"  Ａ University\u200b of “X”. ": 'a university of "x"', "STRASSE": "strasse", "Straße": "strasse", "a – b;": "a - b", " .,": None, "A\u00a0 B": "a b", "plain  Name.": "plain name", None: None}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r[0]: r[1] for r in df.select("n", values.name_key(F.col("n"))).collect()} == names
 
 
 def test_names_differ_in_writing_only(spark):
@@ -91,12 +113,18 @@ def test_all_verdicts(spark):
 
 
 def test_blocks_end_implicitly_and_pages_without_blocks_stay(spark):
-    pages = spark.createDataFrame([(1, "<ul><li>a<li>b</ul>bare<p>one<p>two<div>three</div>"), (2, None), (3, "<table><tr><td>x<td>y<tr><th>z</table>end")], "page_id long, html string")
-    got = {}
-    for r in web.blocks(pages).orderBy("page_id", "place").collect():
-        got.setdefault(r.page_id, []).append((r.type, r.text))
-    assert got == {1: [("li", "a"), ("li", "b"), ("text", "bare"), ("p", "one"), ("p", "two"), ("text", "three")], 3: [("td", "x"), ("td", "y"), ("th", "z"), ("text", "end")]}
-    assert {r.page_id: r.blocks for r in web.block_statistics(pages).collect()}[2] == 0
+    pages = spark.createDataFrame([(1, "u", "<ul><li>a<li>b</ul>bare<p>one<p>two<div>three</div>"), (2, "u", None), (3, "u", "<table><tr><td>x<td>y<tr><th>z</table>end")], "page_id long, url string, html string")
+    docs = documents.documents(pages)
+    got = {r.page_id: [(b.kind, b.text) for b in r.blocks] for r in docs.collect()}
+    assert got == {1: [("li", "a"), ("li", "b"), ("p", "bare"), ("p", "one"), ("p", "two"), ("p", "three")], 2: [], 3: [("td", "x"), ("td", "y"), ("th", "z"), ("p", "end")]}
+    assert {r.page_id: r.blocks for r in documents.block_statistics(docs).collect()}[2] == 0
+
+
+def test_a_source_with_several_physical_claims_is_one_target(spark):
+    sources = spark.createDataFrame([(1,), (2,), (3,)], "source_id long")
+    claims = spark.createDataFrame([(1, "S3", "FEES", None), (1, "S2", "DATES", None), (1, "S1", "FEES", "S2"), (2, "S9", "FEES", "S8")], "source_id long, source_ref string, category string, duplicate_of string")
+    got = registers.acquisition_targets(sources, claims).collect()
+    assert [(r.source_id, r.physical_ref, r.first_category, r.claim_count, r.categories, r.source_refs) for r in got] == [(1, "S2", "DATES", 3, ["DATES", "FEES"], ["S1", "S2", "S3"])]
 
 
 def test_windowed_counts_as_a_stream_drop_late_rows(spark, tmp_path):

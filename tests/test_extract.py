@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import pytest
 
-from claimloom.operators import extract
+from pyspark.sql import functions as F
 
-SCHEMA = "page_id long, place int, type string, level int, text string, in_chrome boolean"
+from claimloom.functions import matches
+from claimloom.operators import documents, extract
 
+SCHEMA = "page_id long, place int, kind string, text string, heading string, column_header string, row_label string"
 
-def page(spark, *texts, heading="About", chrome=False, kind="p"):
-    rows = [(1, 0, "h1", 1, heading, False)] + [(1, i + 1, kind, None, t, chrome) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, SCHEMA)
+
+def page(spark, *texts, heading="About", kind="p", header=None, label=None):
+    return spark.createDataFrame([(1, i + 1, kind, t, heading, header, label) for i, t in enumerate(texts)], SCHEMA)
+
+
+def read(spark, html):
+    return documents.documents(spark.createDataFrame([(1, "https://a.edu/", html)], "page_id long, url string, html string"))
 
 
 FEES = {
@@ -37,7 +43,7 @@ def test_fees_name_all_groups_of_students(spark):
 
 def test_fees_need_an_amount_that_stands_alone_outside_chrome(spark):
     assert extract.fees(page(spark, "Fees: Evanston, IL 60208", "The fee code is 122,0,223", "Costs in 2027")).count() == 0
-    assert extract.fees(page(spark, "Fee £9,000", chrome=True)).count() == 0
+    assert extract.fees(documents.statements(read(spark, "<nav><p>Fee £9,000</nav><footer><table><tr><th>Fee<tr><td>£9,000</table></footer>"))).count() == 0
     assert [r.band for r in extract.fees(page(spark, "Fee £9,000", heading="Fees")).collect()] == ["MEDIUM"]
     assert [r.band for r in extract.fees(page(spark, "£9,000", heading="Fees", kind="td")).collect()] == ["HIGH"]
 
@@ -73,11 +79,55 @@ def test_calendar_dates(spark):
 
 
 def test_programmes_once_per_name(spark):
-    rows = [(1, 0, "h2", 2, "MSc Data Science", False), (1, 1, "h3", 3, "msc data science", False), (1, 2, "h3", 3, "MSc Data Science", False), (1, 3, "h2", 2, "News", False), (1, 4, "h2", 2, "PhD Law", True)]
-    got = extract.programmes(spark.createDataFrame(rows, SCHEMA)).collect()
+    html = "<h2>MSc Data Science</h2><h3>msc data science</h3><h3>MSc Data Science</h3><h2>News</h2><nav><h2>PhD Law</h2></nav>"
+    got = extract.programmes(documents.headings(read(spark, html))).collect()
     assert [(r.name, r.award, r.place) for r in got] == [("msc data science", "MASTER", 0)]
 
 
-def test_empty_blocks(spark):
+def test_no_statements(spark):
     none = spark.createDataFrame([], SCHEMA)
-    assert [f(none).count() for f in (extract.fees, extract.english_scores, extract.deadlines, extract.calendar_dates, extract.programmes)] == [0] * 5
+    assert [f(none).count() for f in (extract.fees, extract.english_scores, extract.deadlines, extract.calendar_dates)] == [0] * 4
+    nulls = spark.createDataFrame([(1, 0, "p", None, None, None, None)], SCHEMA)
+    assert [f(nulls).count() for f in (extract.fees, extract.english_scores, extract.deadlines, extract.calendar_dates)] == [0] * 4
+
+
+def test_a_malformed_page_is_a_row_with_an_error_and_states_nothing(spark):
+    docs = read(spark, "<![foo<p>Fee £9,000")
+    assert docs.head().error.startswith("AssertionError") and documents.statements(docs).count() == 0
+
+
+def test_fees_of_cells_under_spans(spark):
+    html = "<h2>Fees</h2><table><tr><th>Level<th>Student<th>Fee a year<tr><td rowspan=2>BSc<td>Home<td>£9,000<tr><td>Overseas<td>£20,000</table>"
+    got = {r.amount_min: (r.students, r.unit, r.band) for r in extract.fees(documents.statements(read(spark, html))).collect()}
+    assert got == {9000.0: ("HOME", "PER_YEAR", "HIGH"), 20000.0: ("OVERSEAS", "PER_YEAR", "HIGH")}
+
+
+MONEY = [
+    ("Tuition", "Rent", "£1,000 for food", "£1,000", ["Housing"], "TUITION_FEE"), (None, "Rent", "£1,000 for food", "£1,000", [], "HOUSING"), ("Amount", "2027", "£1,000 for food, £2,000 for books", "2,000", [], "MEAL_PLAN"),
+    (None, None, "x £1,000", "£1,000", ["Total cost", "Housing", "Other"], "HOUSING"), (None, None, "£1,000", "£1,000", [], "UNKNOWN_FINANCIAL_AMOUNT"), (None, None, None, None, None, "UNKNOWN_FINANCIAL_AMOUNT"),
+    (None, None, "housing and food", "£1", [], "HOUSING"), (None, None, "Application fee is £50", "£50", ["Tuition"], "OTHER_MANDATORY_FEE"), ("personal expenses", None, "1", "1", [], "COST_OF_ATTENDANCE_COMPONENT"),
+]
+
+
+def test_what_money_is_for(spark):
+    df = spark.createDataFrame(MONEY, "c string, r string, t string, a string, h array<string>, expected string")
+    for r in df.withColumn("got", extract.money_kind(F.col("c"), F.col("r"), F.col("t"), F.col("a"), F.col("h"))).collect():
+        assert r.got == r.expected, r
+
+
+def test_places_of_matches_are_those_of_a_scan(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab é\n.") for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, "", "ab" * 500]
+    for pattern in ("ab+", "a|b", r"(?<!a)b", "é."):
+        got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", matches.places(F.col("t"), pattern).alias("p")).collect()
+        for r in got:
+            assert [(m.start, m.end, m.match) for m in r.p] == [(m.start(), m.end(), m.group()) for m in re.finditer(pattern, texts[r.i] or "")], (pattern, texts[r.i])
+
+
+def test_score_cells_need_a_labelled_column_and_a_test(spark):
+    html = "<table><caption>PTE scores</caption><tr><th>Level<th>Overall band score<th>Each component<th>Fee<tr><td>Master<td>65<td>58<td>70<tr><td>Bachelor<td>9<td>91<td>1</table><table><tr><td>IELTS<td>7.0</table>"
+    got = extract.score_cells(documents.cells(read(spark, html))).collect()
+    assert [(r.table_index, r.row_index, r.test, r.kind, r.value) for r in sorted(got)] == [(0, 0, "PTE", "OVERALL", 65.0), (0, 0, "PTE", "COMPONENT", 58.0)]

@@ -43,11 +43,13 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_block_statistics_counts_body_and_chrome(spark):
-    from claimloom.operators.web import blocks
+    from claimloom.operators import documents
 
     html = "<nav><ul><li>Menu</li></ul></nav><h1>Title</h1><script>x<p>no</p></script><p>One <b>two</b></p>"
-    got = blocks(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("place").collect()
-    assert [(r.type, r.level, r.text, r.in_chrome) for r in got] == [("li", None, "Menu", True), ("h1", 1, "Title", False), ("p", None, "One two", False)]
+    docs = documents.documents(spark.createDataFrame([(1, "u", html), (2, None, None)], "page_id long, url string, html string"))
+    got = docs.filter("page_id = 1").head().blocks
+    assert [(b.kind, b.level, b.text, b.in_chrome) for b in got] == [("li", None, "Menu", True), ("h1", 1, "Title", False), ("p", None, "One two", False)]
+    assert {tuple(r) for r in documents.block_statistics(docs).collect()} == {(1, 3, 1, 12, 1), (2, 0, 0, 0, 0)}
 
 
 def test_entry_imports_without_llm(tmp_path):
