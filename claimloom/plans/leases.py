@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom.operators import eligibility
 from claimloom.sources.scratch import scratch
 from claimloom.sources.tables import table
 from claimloom.streaming import leases, recording
@@ -65,7 +66,26 @@ def recorded_fetches(spark, d):
     return runs.groupBy("status").agg(F.count("*").alias("runs"), F.count("unchanged_content_hash").alias("named"), F.count("seen").alias("snapshots"), F.count("first").alias("contents"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (lease_log, fetch_reactions, source_standings, host_pauses, recorded_fetches)}
+def eligibility_after_changes(spark, d):
+    """Facts that stay supported when mappings are withdrawn, a domain loses its trust, sources move and evidence comes and goes, kept up to date change by change."""
+    n, p, o = table(spark, d, "nation"), table(spark, d, "part"), table(spark, d, "orders")
+    kinds = F.array(*[F.lit(x) for x in ("OFFICIAL", "AUTHORIZED_RANKING", "GOVERNMENT", "TARGET_SCOPE_ONLY")])
+    sources = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"), F.concat(F.lit("u"), (F.col("s_suppkey") % 3).cast("string")).alias("url_hash"), F.element_at(kinds, (F.col("s_suppkey") % 4 + 1).cast("int")).alias("eligibility"))
+    k = F.col("p_partkey")
+    mappings = p.select(
+        (k % 100 + 1).alias("source_id"), F.concat(F.lit("u"), ((k % 100 + 1) % 3).cast("string")).alias("url_hash"), F.element_at(kinds, ((k % 100 + 1) % 4 + 1).cast("int")).alias("eligibility"), F.concat(F.lit("d"), (k % 25).cast("string")).alias("domain"), (F.col("p_size") % 10 > 0).alias("is_active"),
+    )
+    domains = n.select(F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("domain"), F.when(F.col("n_nationkey") % 6 == 0, "CANDIDATE").otherwise("VERIFIED_OFFICIAL").alias("status"), F.lit(True).alias("domain_active"))
+    evidence = o.select((F.col("o_custkey") % 500).alias("fact_id"), (F.col("o_orderkey") % 100 + 1).alias("source_id"), (F.col("o_orderkey") % 3 == 0).alias("is_ranking"))
+    e = eligibility.Eligibility(spark, scratch(spark, "eligibility"), {"sources": sources, "mappings": mappings, "domains": domains, "evidence": evidence}, 16)
+    signed = lambda rows, w: rows.withColumn("w", F.lit(w).cast("long"))
+    gone, late = F.col("source_id") % 4 == 2, F.col("fact_id") % 7 == 0
+    e.apply({"mappings": signed(mappings.filter(gone & (F.col("domain") != "d3")), -1), "domains": signed(domains.filter("domain = 'd3'"), -1).unionByName(signed(domains.filter("domain = 'd3'").withColumn("status", F.lit("REJECTED")), 1))})
+    e.apply({"evidence": signed(evidence.filter(late), -1), "sources": signed(sources.filter("source_id % 10 = 1"), -1).unionByName(signed(sources.filter("source_id % 10 = 1").withColumn("url_hash", F.lit("elsewhere")), 1))})
+    return e.store.table("supported").select("fact_id", "n")
+
+
+QUERIES = {f.__name__: f for f in (eligibility_after_changes, lease_log, fetch_reactions, source_standings, host_pauses, recorded_fetches)}
 
 _OUT = f"""o as (select user_id as source_id, event_id as run_id, epoch_us(ts) // 1000 as "at", 1 + event_id % 4 as attempt_no, {_STATUSES!r}[event_id % 11 + 1] as status, [404, 500, 410, 503][event_id % 4 + 1] as http_status,
   case when event_id % 3 = 0 then floor(value * 20) end as asked from events),
@@ -79,6 +99,10 @@ r as (select *, case when status = 'RATE_LIMITED' then pause_s end as host_pause
 """
 
 ORACLE_SQL = {
+    "eligibility_after_changes": """with s as (select s_suppkey as source_id, case when s_suppkey % 10 = 1 then 'elsewhere' else 'u' || (s_suppkey % 3) end as url_hash, ['OFFICIAL', 'AUTHORIZED_RANKING', 'GOVERNMENT', 'TARGET_SCOPE_ONLY'][s_suppkey % 4 + 1] as class from supplier),
+m as (select p_partkey % 100 + 1 as source_id, 'u' || ((p_partkey % 100 + 1) % 3) as url_hash, ['OFFICIAL', 'AUTHORIZED_RANKING', 'GOVERNMENT', 'TARGET_SCOPE_ONLY'][(p_partkey % 100 + 1) % 4 + 1] as class, p_partkey % 25 as domain from part where p_size % 10 > 0),
+e as (select distinct s.source_id, s.class from s join m using (source_id, url_hash, class) join nation on n_nationkey = domain where n_nationkey % 6 <> 0 and n_nationkey <> 3 and not (source_id % 4 = 2) and s.class <> 'TARGET_SCOPE_ONLY')
+select o_custkey % 500 as fact_id, count(*) as n from orders join e on e.source_id = o_orderkey % 100 + 1 where (e.class = 'AUTHORIZED_RANKING') = (o_orderkey % 3 = 0) and o_custkey % 500 % 7 <> 0 group by 1""",
     "lease_log": """with recursive e as materialized (
   select user_id as source_id, 'third ' || cast((day(ts) - 1) // 10 as varchar) as cycle, epoch_us(ts) // 1000 as "at", event_id, 'worker ' || (event_id % 2) as worker, case when event_id % 5 = 0 then event_id % 3 end as generation, 3600 * (1 + event_id % 48) as seconds,
     case event_type when 'signup' then 'QUEUE' when 'view' then 'CLAIM' when 'click' then 'HEARTBEAT' when 'purchase' then 'FINALIZE' else case when event_id % 3 = 0 then 'RELEASE' else 'FINALIZE' end end as kind,
