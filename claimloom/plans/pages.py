@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.operators import documents, extract
+from claimloom.operators import documents, extract, scopes
 from claimloom.sources.tables import table
 
 
@@ -135,7 +135,32 @@ def score_sentences(spark, d):
     return extract.english_scores(_said(table(spark, d, "part"), "p_partkey", text)).select("page_id", "test", "kind", "value")
 
 
-QUERIES = {f.__name__: f for f in (page_parts, document_statistics, html_links, link_hosts, html_blocks, link_profiles, heading_paths, document_bodies, visible_texts, fee_sentences, fee_tables, deadline_sentences, score_sentences, table_places, page_fees, score_tables, money_kinds)}
+_SCOPED = ["{a} applicants", "Applicants from {n}", "students who are based in the {n}", "Results obtained in {n}", "If you are from {n}", "the {n} Leaving Certificate", "{a} medicine", "a campus in {n}"]
+_NEGATED = ["", "non-", "other than ", "all "]
+_PLACE_WORDS = [("China", "Chinese", "CN"), ("Hong Kong", "Hong Kong", "HK"), ("India", "Indian", "IN"), ("Singapore", "Singaporean", "SG"), ("Malaysia", "Malaysian", "MY"), ("United States", "American", "US"), ("EU", "EU", "EU")]
+
+
+def jurisdiction_scopes(spark, d):
+    """Places in sentences made from order lines: every construction, with and without a negation, for every place, and sentences that only name one."""
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % len(xs) + 1).cast("int"))
+    place = F.col("l_partkey")
+    text = F.replace(F.replace(pick(_SCOPED, k), F.lit("{a}"), pick([a for _, a, _ in _PLACE_WORDS], place)), F.lit("{n}"), pick([n for n, _, _ in _PLACE_WORDS], place))
+    j = scopes.jurisdictions(F.concat(F.lit("We note: "), pick(_NEGATED, F.col("l_suppkey")), text, F.lit(", please.")))
+    found = table(spark, d, "lineitem").select(F.explode(j).alias("j"))
+    return found.groupBy("j.code", "j.construction").agg(F.count("*").alias("n"))
+
+
+def admission_requirements(spark, d):
+    """Requirements of pages made from parts: whom they are about, systems, level and discipline, from the statement or its heading."""
+    k = F.col("p_partkey")
+    said = F.when(k % 5 == 0, "Applicants from India must have 80%").when(k % 5 == 1, "A levels at grade A are required in computing").when(k % 5 == 2, "You need a bachelor's degree").when(k % 5 == 3, "Applicants from China are welcome").otherwise("Chinese students need the gaokao, not US students")
+    html = F.concat(F.lit("<h1>"), F.when(k % 2 == 0, "MSc Engineering").otherwise("About"), F.lit("</h1><p>"), said, F.lit("</p><nav><p>You must have A levels</p></nav>"))
+    r = scopes.admission_requirements(documents.statements(_made(table(spark, d, "part"), "p_partkey", html)))
+    return r.select("page_id", F.array_join(F.transform("jurisdictions", lambda x: x["code"]), ",").alias("codes"), F.array_join("systems", ",").alias("systems"), "level", "discipline", "scope")
+
+
+QUERIES = {f.__name__: f for f in (jurisdiction_scopes, admission_requirements, page_parts, document_statistics, html_links, link_hosts, html_blocks, link_profiles, heading_paths, document_bodies, visible_texts, fee_sentences, fee_tables, deadline_sentences, score_sentences, table_places, page_fees, score_tables, money_kinds)}
 
 _COUNT = "len(regexp_extract_all(coalesce(html, ''), '{}'))"
 #: Places of the made tables: rows 0 and 1 by columns 0 to 3, ``n`` the fee there.
@@ -143,6 +168,12 @@ _GRID = """with g as (select p_partkey as k, p_name, r, c, format('{:,}', (case
   from part, (values (0), (1)) rows(r), (values (0), (1), (2), (3)) columns(c))
 """
 ORACLE_SQL = {
+    "jurisdiction_scopes": """with l as (select (l_orderkey * 8 + l_linenumber) % 8 as c, l_partkey % 7 as p, l_suppkey % 4 as n from lineitem)
+select ['CN', 'HK', 'IN', 'SG', 'MY', 'US', 'EU'][p + 1] as code, ['DEMONYM', 'APPLICANT_ORIGIN', 'APPLICANT_ORIGIN', 'QUALIFICATION_ORIGIN', 'CONDITIONAL_ORIGIN', 'NATIONAL_QUALIFICATION'][c + 1] as construction, count(*) as n
+from l where c < 6 and (n in (0, 3) or c = 5) group by all""",
+    "admission_requirements": """select p_partkey as page_id, ['IN', '', '', '', 'CN'][p_partkey % 5 + 1] as codes, ['', 'A-level', '', '', 'Gaokao'][p_partkey % 5 + 1] as systems,
+  case when p_partkey % 5 = 2 then 'BACHELOR' when p_partkey % 2 = 0 then 'MASTER' end as level, case when p_partkey % 5 = 1 then 'COMPUTER_AND_DATA' when p_partkey % 2 = 0 then 'ENGINEERING' end as discipline,
+  ['JURISDICTION', 'QUALIFICATION_SYSTEM', 'UNSTATED', '', 'JURISDICTION'][p_partkey % 5 + 1] as scope from part where p_partkey % 5 <> 3""",
     "page_parts": f"select page_id, {_COUNT.format('<h[1-6]>')} as headings, {_COUNT.format('<script')} as scripts, {_COUNT.format('<table')} as tables, 'OK' as status from pages",
     "link_hosts": f"select true as in_chrome, cast(sum(n) as bigint) as links, count(*) filter (n > 0) as pages from (select {_COUNT.format('<a ')} as n from pages) having sum(n) > 0",
     "fee_sentences": """with p as (select p_partkey as k, 1000.0 + p_partkey % 90000 as a from part) select k as page_id, ['EXACT', 'RANGE', 'UP_TO', 'AMBIGUOUS', 'VARIABLE'][k % 5 + 1] as shape, case k % 5 when 0 then a when 1 then a when 3 then a + 500 end::double as amount_min,
