@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimloom.functions.matches import let
+
 # Query parameters whose values are credentials, and what is written in their stead.
 SECRET = ("access_token", "auth", "authorization", "code", "id_token", "jsessionid", "key", "password", "refresh_token", "session", "sessionid", "sid", "sig", "signature", "token")
 MASK = "%5Bredacted%5D"
@@ -59,11 +61,11 @@ def destination(region: Column, territory: Column) -> dict[str, Column]:
 def ascii_json(value: Column) -> Column:
     """JSON without blanks whose signs outside of printable ASCII are escaped; names come in the order of the struct.
 
-    Control characters whose escapes hold letters are written with capitals (``\\u001F``).
+    Control characters whose escapes hold letters are written with capitals (``\\u001F``). Only the different signs that a text has outside ASCII are replaced, each in one go.
     """
     units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
-    text = F.to_json(value)
-    return F.when(text.rlike("[^ -~]"), F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike("^[^ -~]$"), units(c)).otherwise(c)), "")).otherwise(text)
+    escaped = lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit("[^ -~]"), F.lit(0))), t, lambda s, c: F.replace(s, c, units(c)))
+    return let(F.to_json(value), lambda t: F.when(t.rlike("[^ -~]"), escaped(t)).otherwise(t))
 
 
 def claim_fingerprint(extraction: Column, kind: Column, locator: dict[str, Column], extractor: Column, version: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.percentiles import percentile_disc
+
 #: Fixed value: which event types stand for which outcomes in the fixture.
 OUTCOMES = {"purchase": "OK", "view": "OK", "signup": "UNCHANGED", "error": "HTTP_ERROR", "click": "BLOCKED"}
 
@@ -44,10 +46,11 @@ def source_health(runs: DataFrame) -> DataFrame:
 
 def outcome_summary(runs: DataFrame) -> DataFrame:
     """Counts, distinct sources, mean and discrete median seconds per outcome, most frequent first."""
-    return runs.groupBy("outcome").agg(
-        F.count("*").alias("runs"), F.countDistinct("source_id").alias("sources"), F.round(F.avg("seconds"), 4).alias("mean_s"),
-        F.expr("percentile_disc(0.5) within group (order by seconds)").alias("median_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"),
-    ).orderBy(F.desc("runs"), "outcome")
+    sums = runs.groupBy("outcome").agg(
+        F.count("*").alias("runs"), F.countDistinct("source_id").alias("sources"), F.round(F.avg("seconds"), 4).alias("mean_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"),
+    )
+    median = percentile_disc(runs, "outcome", "seconds", 0.5).select(F.col("outcome").alias("o"), F.col("seconds").alias("median_s"))
+    return sums.join(median, sums["outcome"].eqNullSafe(F.col("o"))).drop("o").orderBy(F.desc("runs"), "outcome")
 
 
 def latest_run(runs: DataFrame) -> DataFrame:

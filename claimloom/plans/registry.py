@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.urls import canonical, fold_space
 from claimloom.operators import claims, documents, extract, review, runs, web
-from claimloom.plans import evidence, leases, pages, reports, routes
+from claimloom.plans import evidence, intake, leases, pages, reports, routes
 from claimloom.sources.tables import append_missing, table
 from claimloom.streaming.runs import outcomes_by_window
 
@@ -221,5 +221,5 @@ select outcome, source_id, run_id from (select *, row_number() over (partition b
 }
 ORACLE_SQL["governing_scope"] = ORACLE_SQL["governing_scope_whole"]
 
-QUERIES |= evidence.QUERIES | pages.QUERIES | reports.QUERIES | routes.QUERIES | leases.QUERIES
-ORACLE_SQL |= evidence.ORACLE_SQL | pages.ORACLE_SQL | reports.ORACLE_SQL | routes.ORACLE_SQL | leases.ORACLE_SQL
+QUERIES |= evidence.QUERIES | pages.QUERIES | reports.QUERIES | routes.QUERIES | leases.QUERIES | intake.QUERIES
+ORACLE_SQL |= evidence.ORACLE_SQL | pages.ORACLE_SQL | reports.ORACLE_SQL | routes.ORACLE_SQL | leases.ORACLE_SQL | intake.ORACLE_SQL
