@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.operators import matching, numbering, percentiles
+from claimloom.operators import charsets, matching, numbering, percentiles, precedence
 from claimloom.sources.tables import table
 
 
@@ -50,10 +50,43 @@ def price_percentiles(spark, d):
     return percentiles.percentile_disc(l, "l_returnflag", "l_extendedprice", 0.9, accuracy=50, ranked=500)
 
 
-QUERIES = {f.__name__: f for f in (official_sources, id_resolutions, host_evidence, price_percentiles)}
+def decoded_pages(spark, d):
+    """Pages encoded in five ways, declared by header, by meta element, wrongly or not at all, decoded to one text."""
+    p, n = table(spark, d, "pages"), F.col("page_id")
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), "[^ -~\n]", "ä"), "(?i)<meta[^>]*>", "")
+    meta = lambda name: F.concat(F.lit(f"<meta charset='{name}'>"), plain)
+    text = F.when(n % 6 == 2, meta("latin1")).when(n % 6 == 4, F.concat(meta("none"), F.lit("ä"))).otherwise(F.concat(plain, F.lit("ä")))
+    text = F.when(n % 6 == 2, F.concat(text, F.lit("ä"))).otherwise(text)
+    latin, utf8 = F.encode(text, "ISO-8859-1"), F.encode(text, "UTF-8")
+    payload = F.when(n % 6 == 1, latin).when(n % 6 == 2, latin).when(n % 6 == 3, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when(n % 6 == 5, latin).otherwise(utf8)
+    header = F.when(n % 6 == 0, "text/html; charset=utf-8").when(n % 6 == 1, "text/html; charset=ISO-8859-1").when(n % 6 == 2, "text/html; charset=utf-8").otherwise("text/html")
+    r = charsets.decoded(p.select("page_id", text.alias("meant"), payload.alias("payload"), header.alias("content_type")))
+    same = F.regexp_replace("text", "^\ufeff", "") == F.col("meant")
+    return r.groupBy((n % 6).alias("way"), "used", "fallback_used", F.array_join("attempts", ", ").alias("attempts"), "lossy", same.alias("same")).agg(F.count("*").alias("pages"))
+
+
+def scope_precedence(spark, d):
+    """Which of two sets of criteria of a context governs, for orders of a customer segment: sets that occur, their claims, and every pair of sets of one context."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    bits = lambda *tests: F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in zip("abcd", tests, strict=True)]))
+    criteria = bits(F.col("o_orderstatus") == "F", F.col("o_totalprice") > 200_000, F.col("o_custkey") % 3 == 0, k % 5 == 0)
+    claims = o.select((F.col("o_custkey") % 40).alias("context"), k.alias("claim_id"), criteria.alias("criteria"), (k % 7 > 0).alias("publishable"), (k % 4 == 0).alias("human"))
+    sets = precedence.scope_sets(claims)
+    return precedence.verdicts(sets).groupBy("context", "verdict").agg(F.count("*").alias("pairs"), F.sum(F.col("left_claims") * F.col("right_claims")).alias("claim_pairs"))
+
+
+QUERIES = {f.__name__: f for f in (decoded_pages, scope_precedence, official_sources, id_resolutions, host_evidence, price_percentiles)}
 
 _ID = "substr(md5(cast({0} as varchar)), 1, 8) || '-' || substr(md5(cast({0} as varchar)), 9, 4) || '-' || substr(md5(cast({0} as varchar)), 13, 4) || '-' || substr(md5(cast({0} as varchar)), 17, 4) || '-' || substr(md5(cast({0} as varchar)), 21)"
 ORACLE_SQL = {
+    "decoded_pages": """select page_id % 6 as way, ['utf-8', 'iso8859-1', 'iso8859-1', 'utf-16-le', 'utf-8', 'cp1252'][page_id % 6 + 1] as used, page_id % 6 > 3 as fallback_used,
+  ['', '', 'http:utf-8 (UnicodeDecodeError)', '', 'document:none (unknown codec)', 'fallback:utf-8 (UnicodeDecodeError)'][page_id % 6 + 1] as attempts, false as lossy, true as same, count(*) as pages from pages group by all""",
+    "scope_precedence": """with c as (select o_custkey % 40 as context, (o_orderstatus = 'F')::int + 2 * (o_totalprice > 200000)::int + 4 * (o_custkey % 3 = 0)::int + 8 * (o_orderkey % 5 = 0)::int as bits, o_orderkey % 7 > 0 as pub, o_orderkey % 4 = 0 as human from orders),
+g as (select context, bits, pub, human, count(*) as n from c group by all), s as (select *, row_number() over (partition by context order by list_filter([case when bits & 1 > 0 then 'a' end, case when bits & 2 > 0 then 'b' end, case when bits & 4 > 0 then 'c' end, case when bits & 8 > 0 then 'd' end], lambda x: x is not null), pub, human) as k from g),
+p as (select l.context, l.n as a, r.n as b, case when not l.pub or not r.pub then 'NOT_PUBLISHABLE' when l.bits = r.bits then case when l.human then 'LEFT_WINS' when r.human then 'RIGHT_WINS' end
+  when l.bits & r.bits = l.bits then 'RIGHT_WINS' when l.bits & r.bits = r.bits then 'LEFT_WINS' else 'INCOMPARABLE' end as verdict from s l join s r on l.context = r.context and l.k < r.k
+union all select context, n, n - 1, case when pub then 'EQUIVALENT' else 'NOT_PUBLISHABLE' end from s where n > 1)
+select context, verdict, count(*) as pairs, cast(sum(a * b) as bigint) as claim_pairs from p group by all""",
     "official_sources": """with c as (select l_orderkey as "row", l_linenumber as "column", l_suppkey % 50 as institution, case when l_partkey % 11 > 0 then sha256(cast(l_partkey % 300 as varchar)) end as url_hash from lineitem),
 n as (select *, row_number() over (order by "row", "column", institution, url_hash) as k from c where url_hash is not null), f as (select *, min(k) over (partition by institution, url_hash) as first from n)
 select 'S' || case when k < 10000 then lpad(cast(k as varchar), 4, '0') else cast(k as varchar) end as source_ref, "row", "column", institution, url_hash, case when first < k then 'S' || case when first < 10000 then lpad(cast(first as varchar), 4, '0') else cast(first as varchar) end end as duplicate_of from f""",
