@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.operators import documents, extract, scopes
+from claimloom.operators import documents, extract, nested, scopes
 from claimloom.sources.tables import table
 
 
@@ -160,14 +160,93 @@ def admission_requirements(spark, d):
     return r.select("page_id", F.array_join(F.transform("jurisdictions", lambda x: x["code"]), ",").alias("codes"), F.array_join("systems", ",").alias("systems"), "level", "discipline", "scope")
 
 
-QUERIES = {f.__name__: f for f in (jurisdiction_scopes, admission_requirements, page_parts, document_statistics, html_links, link_hosts, html_blocks, link_profiles, heading_paths, document_bodies, visible_texts, fee_sentences, fee_tables, deadline_sentences, score_sentences, table_places, page_fees, score_tables, money_kinds)}
+def _outlined_page():
+    """A page of a part: menu with a link, headings of three levels, a list, a paragraph that is one link and one that holds one, a footer heading."""
+    k, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    return F.concat(
+        F.lit('<html lang="en"><title>Part '), k, F.lit('</title><nav><ul><li><a href="/menu">Menu</a></ul></nav><h1>'), name, F.lit("</h1><p>Size <b>"), F.col("p_size").cast("string"), F.lit('</b><h3>Deep</h3><ul><li>one<li>two</ul><h2>Next</h2><p><a href="p'), k,
+        F.lit('.pdf">all of it</a><p>See <a href="https://other.edu/x">this</a> page', ), F.when(F.col("p_partkey") % 3 == 0, "<h1>Last</h1>tail").otherwise(""), F.lit("<footer><h2>Foot</h2></footer></html>"),
+    )
+
+
+def _outlined(spark, d):
+    url = F.concat(F.lit("https://a.edu/dir/"), F.col("p_partkey").cast("string"))
+    return documents.documents(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), _outlined_page().alias("html")))
+
+
+def outlined_blocks(spark, d):
+    """Blocks of these pages in order, with what they stand in."""
+    b = _outlined(spark, d).select("page_id", F.posexplode("blocks").alias("place", "b"))
+    return b.select("page_id", "place", "b.kind", "b.text", "b.level", "b.container", "b.in_chrome", "b.ordered")
+
+
+def outlined_paths(spark, d):
+    """Blocks outside chrome with the headings over them."""
+    return documents.sections(_outlined(spark, d)).select("page_id", "place", "text", F.array_join("heading_path", " > ").alias("path"))
+
+
+def outlined_links(spark, d):
+    """Links of these pages beside the share of their block's text that is theirs."""
+    docs = _outlined(spark, d)
+    p = documents.link_profiles(docs).select("page_id", "block_index", "text_fraction", "is_link_only")
+    return documents.links(docs).join(p, ["page_id", "block_index"]).select("page_id", "text", "resolved", "host", "is_pdf", "in_chrome", "text_fraction", "is_link_only")
+
+
+def outlined_texts(spark, d):
+    """Title, language, visible text and status of these pages, and whether their digest is one of their own."""
+    docs = _outlined(spark, d)
+    text = documents.visible_text(F.col("blocks"))
+    return docs.select("page_id", "title", "language", F.sha2(text, 256).alias("text_sha256"), F.size("links").alias("links"), F.col("error").isNull().alias("read"))
+
+
+def _event_json(spark, d):
+    n = F.col("event_id")
+    body = F.concat(
+        F.lit('{"props": '), "props", F.lit(', "list": [1, '), "props", F.lit(', [null, true, "event '), n.cast("string"), F.lit('"]], "long": "'), F.repeat(F.lit("x"), (n % 80).cast("int")), F.lit('", "none": {}, "rate": 2.5}'),
+    )
+    return table(spark, d, "events").select("event_id", F.when(n % 10 == 0, F.lit('{"props": [')).when(n % 10 == 1, None).otherwise(body).alias("body"))
+
+
+def json_values(spark, d):
+    """Values at any depth of JSON made from events, malformed ones among them, by path and kind."""
+    return nested.json_values(_event_json(spark, d), "event_id", "body").groupBy("path", "depth", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
+
+
+def embedded_texts(spark, d):
+    """Events whose JSON holds long strings, and malformed JSON."""
+    rows = _event_json(spark, d)
+    bad = nested.malformed(rows, "event_id", "body").select("event_id", F.lit(-1).cast("long").alias("texts"), F.lit(0).cast("long").alias("characters"))
+    return nested.embedded_texts(rows, "event_id", "body").unionByName(bad)
+
+
+QUERIES = {f.__name__: f for f in (outlined_blocks, outlined_paths, outlined_links, outlined_texts, json_values, embedded_texts, jurisdiction_scopes, admission_requirements, page_parts, document_statistics, html_links, link_hosts, html_blocks, link_profiles, heading_paths, document_bodies, visible_texts, fee_sentences, fee_tables, deadline_sentences, score_sentences, table_places, page_fees, score_tables, money_kinds)}
 
 _COUNT = "len(regexp_extract_all(coalesce(html, ''), '{}'))"
 #: Places of the made tables: rows 0 and 1 by columns 0 to 3, ``n`` the fee there.
 _GRID = """with g as (select p_partkey as k, p_name, r, c, format('{:,}', (case when r = 1 and c = 3 and p_partkey % 3 = 0 then 3000 else 1000 * (2 * r + c - 1) end + p_partkey % 7000)::bigint) as n
   from part, (values (0), (1)) rows(r), (values (0), (1), (2), (3)) columns(c))
 """
+_EVENT_JSON = """with j as (select event_id, case when event_id % 10 > 1 then '{"props": ' || props || ', "list": [1, ' || props || ', [null, true, "event ' || event_id || '"]], "long": "' || repeat('x', (event_id % 80)::int) || '", "none": {}, "rate": 2.5}' end as body from events),
+v as (select event_id, regexp_replace(t.fullkey, '\\.([a-z]+)', '[''\\1'']', 'g') as path, case t.type when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind,
+  case when t.type = 'VARCHAR' then json_extract_string(t.atom, '$') when t.type not in ('OBJECT', 'ARRAY', 'NULL') then cast(t.atom as varchar) end as text from j, json_tree(j.body) t where body is not null)
+"""
+#: Blocks of the outlined pages in order: kind, text, level, container, whether in chrome, path of headings (outside chrome).
+_OUTLINE = """with b as (select p_partkey as page_id, p_name, x.* from part, lateral (select unnest([
+  {'kind': 'li', 'text': 'Menu', 'level': null, 'container': 'nav', 'path': ''}, {'kind': 'h1', 'text': p_name, 'level': 1, 'container': null, 'path': p_name}, {'kind': 'p', 'text': 'Size ' || p_size, 'level': null, 'container': null, 'path': p_name},
+  {'kind': 'h3', 'text': 'Deep', 'level': 3, 'container': null, 'path': p_name || ' > Deep'}, {'kind': 'li', 'text': 'one', 'level': null, 'container': null, 'path': p_name || ' > Deep'}, {'kind': 'li', 'text': 'two', 'level': null, 'container': null, 'path': p_name || ' > Deep'},
+  {'kind': 'h2', 'text': 'Next', 'level': 2, 'container': null, 'path': p_name || ' > Next'}, {'kind': 'p', 'text': 'all of it', 'level': null, 'container': null, 'path': p_name || ' > Next'}, {'kind': 'p', 'text': 'See this page', 'level': null, 'container': null, 'path': p_name || ' > Next'},
+  {'kind': 'h1', 'text': 'Last', 'level': 1, 'container': null, 'path': 'Last'}, {'kind': 'p', 'text': 'tail', 'level': null, 'container': null, 'path': 'Last'}, {'kind': 'h2', 'text': 'Foot', 'level': 2, 'container': 'footer', 'path': ''}]) as s, unnest(range(12)) as i) x),
+n as (select page_id, s, i, row_number() over (partition by page_id order by i) - 1 as place from b where page_id % 3 = 0 or i not in (9, 10))
+"""
 ORACLE_SQL = {
+    "outlined_blocks": _OUTLINE + "select page_id, place, s.kind as kind, s.text as text, s.level as level, s.container as container, s.container is not null as in_chrome, case when s.kind = 'li' then false end as ordered from n",
+    "outlined_paths": _OUTLINE + "select page_id, row_number() over (partition by page_id order by place) - 1 as place, s.text as text, s.path as path from n where s.container is null",
+    "outlined_links": """select p_partkey as page_id, x.* from part, lateral (select unnest(['Menu', 'all of it', 'this']) as text, unnest(['https://a.edu/menu', 'https://a.edu/dir/p' || p_partkey || '.pdf', 'https://other.edu/x']) as resolved, unnest(['a.edu', 'a.edu', 'other.edu']) as host,
+  unnest([false, true, false]) as is_pdf, unnest([true, false, false]) as in_chrome, unnest([1.0, 1.0, 0.308]) as text_fraction, unnest([true, true, false]) as is_link_only) x""",
+    "outlined_texts": _OUTLINE + "select page_id, 'Part ' || page_id as title, 'en' as language, sha256(string_agg(s.text, chr(10) order by place) filter (s.container is null)) as text_sha256, 3 as links, true as read from n group by page_id",
+    "json_values": _EVENT_JSON + "select path, len(regexp_extract_all(path, '\\[')) as depth, kind, count(*) as n, cast(sum(length(text)) as bigint) as characters from v group by path, kind",
+    "embedded_texts": _EVENT_JSON + """select event_id, count(*) filter (kind = 'string' and length(text) >= 40) as texts, cast(coalesce(sum(length(text)) filter (kind = 'string' and length(text) >= 40), 0) as bigint) as characters from v group by event_id
+union all select event_id, -1, 0 from events where event_id % 10 = 0""",
     "jurisdiction_scopes": """with l as (select (l_orderkey * 8 + l_linenumber) % 8 as c, l_partkey % 7 as p, l_suppkey % 4 as n from lineitem)
 select ['CN', 'HK', 'IN', 'SG', 'MY', 'US', 'EU'][p + 1] as code, ['DEMONYM', 'APPLICANT_ORIGIN', 'APPLICANT_ORIGIN', 'QUALIFICATION_ORIGIN', 'CONDITIONAL_ORIGIN', 'NATIONAL_QUALIFICATION'][c + 1] as construction, count(*) as n
 from l where c < 6 and (n in (0, 3) or c = 5) group by all""",
