@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.operators import charsets, matching, numbering, percentiles, precedence
+from claimloom.sources import manifests
+from claimloom.sources.scratch import scratch
 from claimloom.sources.tables import table
 
 
@@ -75,10 +77,23 @@ def scope_precedence(spark, d):
     return precedence.verdicts(sets).groupBy("context", "verdict").agg(F.count("*").alias("pairs"), F.sum(F.col("left_claims") * F.col("right_claims")).alias("claim_pairs"))
 
 
-QUERIES = {f.__name__: f for f in (decoded_pages, scope_precedence, official_sources, id_resolutions, host_evidence, price_percentiles)}
+def manifest_round_trip(spark, d):
+    """Orders written under a manifest in two goes and read back, by status: rows, customers, prices, days and whether the manifest has all rows."""
+    spark.dataSource.register(manifests.ManifestSource)
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    path = scratch(spark, "manifest")
+    o.filter("o_orderstatus = 'F'").write.format("manifest").mode("overwrite").save(path)
+    o.filter("o_orderstatus <> 'F'").write.format("manifest").mode("append").save(path)
+    back = spark.read.format("manifest").load(path)
+    whole = manifests.manifest(path)["rows"] == o.count()
+    return back.groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("customers"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("day").cast("string").alias("first"), F.lit(whole).alias("whole"))
+
+
+QUERIES = {f.__name__: f for f in (manifest_round_trip, decoded_pages, scope_precedence, official_sources, id_resolutions, host_evidence, price_percentiles)}
 
 _ID = "substr(md5(cast({0} as varchar)), 1, 8) || '-' || substr(md5(cast({0} as varchar)), 9, 4) || '-' || substr(md5(cast({0} as varchar)), 13, 4) || '-' || substr(md5(cast({0} as varchar)), 17, 4) || '-' || substr(md5(cast({0} as varchar)), 21)"
 ORACLE_SQL = {
+    "manifest_round_trip": "select o_orderstatus, count(*) as orders, count(distinct o_custkey) as customers, round(sum(o_totalprice), 2) as total, cast(cast(min(o_orderdate) as date) as varchar) as first, true as whole from orders group by o_orderstatus",
     "decoded_pages": """select page_id % 6 as way, ['utf-8', 'iso8859-1', 'iso8859-1', 'utf-16-le', 'utf-8', 'cp1252'][page_id % 6 + 1] as used, page_id % 6 > 3 as fallback_used,
   ['', '', 'http:utf-8 (UnicodeDecodeError)', '', 'document:none (unknown codec)', 'fallback:utf-8 (UnicodeDecodeError)'][page_id % 6 + 1] as attempts, false as lossy, true as same, count(*) as pages from pages group by all""",
     "scope_precedence": """with c as (select o_custkey % 40 as context, (o_orderstatus = 'F')::int + 2 * (o_totalprice > 200000)::int + 4 * (o_custkey % 3 = 0)::int + 8 * (o_orderkey % 5 = 0)::int as bits, o_orderkey % 7 > 0 as pub, o_orderkey % 4 = 0 as human from orders),
