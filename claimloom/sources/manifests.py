@@ -48,6 +48,16 @@ def manifest(path: str) -> dict:
         return json.loads(f.read())
 
 
+def vacuum(path: str) -> int:
+    """Remove parts that the manifest doesn't name, as tasks leave them that still wrote when their job was given up; for times without a writer. The number of parts removed."""
+    files, root = _place(path)
+    named = {p["name"] for p in manifest(path)["parts"]}
+    stray = [f.path for f in files.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("part-") and f.base_name not in named]
+    for f in stray:
+        files.delete_file(f)
+    return len(stray)
+
+
 @dataclass
 class Part(InputPartition):
     name: str
@@ -148,7 +158,7 @@ class _Writer(DataSourceWriter):
         self._sweep({p["name"] for p in parts})
 
     def abort(self, messages: list[Written | None]) -> None:
-        """Remove what this run's tasks have left, finished ones too."""
+        """Remove what this run's tasks have left so far; what others of them still write is seen by no reader and goes with :func:`vacuum`."""
         files, root = _place(self.path)
         for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if f.base_name.startswith(f"part-{self.run}-"):
