@@ -54,20 +54,31 @@ def acquisition_targets(sources: DataFrame, claims: DataFrame) -> DataFrame:
     return sources.join(physical, "source_id").join(per, "source_id", "left")
 
 
+#: Domains of a single label that may be broadcast.
+BROADCAST_LABELS = 10_000
+
+
 def best_domain(hosts: DataFrame, domains: DataFrame) -> DataFrame:
     """Each row of ``hosts`` (id, host) beside the domain that equals its host, or covers it from above: the best status, then the longest host.
 
-    A host is exploded to its suffixes, so an equi-join finds what a suffix comparison of all pairs would.
+    Different hosts are exploded to their suffixes, so an equi-join finds what a suffix comparison of all pairs would. The last label, which many hosts share, is looked up apart, among
+    the few domains of one label, so hosts don't meet on it.
     """
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     rank = F.array_position(F.array(*map(F.lit, STATE_ORDER)), F.col("d.status"))
-    at = hosts.select("id", "host", F.explode(suffixes).alias("suffix"))
+    at = hosts.filter("host is not null").select("host").distinct().select("host", F.explode(suffixes).alias("suffix"))
     d = domains.select(F.col("host").alias("suffix"), F.struct(F.col("status"), F.col("covers_subdomains")).alias("d"))
-    found = at.join(d, "suffix").filter((F.col("suffix") == F.col("host")) | F.col("d.covers_subdomains"))
+    short = d.filter(~F.contains("suffix", F.lit(".")))
+    if short.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        dotted = F.contains("suffix", F.lit("."))
+        found = at.filter(dotted).join(d.filter(dotted), "suffix").unionByName(at.filter(~dotted).join(F.broadcast(short), "suffix"))
+    else:
+        found = at.join(d, "suffix")
+    found = found.filter((F.col("suffix") == F.col("host")) | F.col("d.covers_subdomains"))
     order = F.struct(F.when(rank > 0, rank).otherwise(99).alias("rank"), (-F.length("suffix")).alias("len"), F.col("suffix"), F.col("d.status").alias("status"))
-    best = found.groupBy("id").agg(F.min(order).alias("b")).select("id", F.col("b.suffix").alias("domain_host"), F.col("b.status").alias("domain_status"))
-    return hosts.join(best, "id", "left")
+    best = found.groupBy("host").agg(F.min(order).alias("b")).select("host", F.col("b.suffix").alias("domain_host"), F.col("b.status").alias("domain_status"))
+    return hosts.join(best, "host", "left").select(*hosts.columns, "domain_host", "domain_status")
 
 
 def redirect_authority(moves: DataFrame, domains: DataFrame) -> DataFrame:

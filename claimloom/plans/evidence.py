@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import values
 from claimloom.functions.urls import host, registrable
-from claimloom.operators import fleet, grouping, registers
+from claimloom.operators import fleet, grouping, passages, registers
 from claimloom.sources.tables import table
 
 def as_of():
@@ -326,20 +326,8 @@ def address_kinds(spark, d):
 
 
 def quoted_passages(spark, d):
-    """Benchmark passages of three words or more that documents hold word for word, white space aside.
-
-    A passage is looked up by its longest word but the first and last (those may touch other signs in a document), so an equi-join
-    finds the documents that may hold it.
-    """
-    fold = lambda c: F.trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
-    b = table(spark, d, "benchmark").select("item_id", fold(F.col("text")).alias("quote"))
-    words = F.split("quote", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    b = b.select("item_id", "quote", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word")).filter("word is not null")
-    t = table(spark, d, "documents").select("doc_id", fold(F.col("text")).alias("body"))
-    hits = t.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).join(b, "word").select("doc_id", "item_id", "quote")
-    found = hits.join(t, "doc_id").filter(F.contains(F.col("body"), F.col("quote")))
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    """Benchmark passages of three words or more that documents hold word for word, white space aside."""
+    return passages.quoted(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
 QUERIES = {
