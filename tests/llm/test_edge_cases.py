@@ -341,3 +341,13 @@ def test_a_key_with_a_third_of_the_rows_is_dealt_to_many_tasks(spark):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_the_cut_between_clean_and_toxic_is_the_best_of_all(spark):
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 60):
+        strength, toxic = np.round(rng.normal(size=n), 1), rng.random(n) < 0.4
+        toxic[0], toxic[1] = True, False
+        gain = lambda c: (strength >= c)[toxic].mean() - toxicity.CLEAN_COSTS * (strength >= c)[~toxic].mean()  # noqa: E731, B023
+        cut = toxicity.best_cut(strength, toxic)
+        assert gain(cut) >= max(gain(c) for c in [*strength, *(strength + 0.01)] if (strength >= c).any()) - 1e-9
