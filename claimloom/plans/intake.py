@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.operators import charsets, matching, numbering, percentiles, precedence
+from claimloom.functions import fetches
+from claimloom.operators import charsets, context, matching, numbering, percentiles, precedence
 from claimloom.sources import manifests
 from claimloom.sources.scratch import scratch
 from claimloom.sources.tables import table
@@ -89,10 +90,67 @@ def manifest_round_trip(spark, d):
     return back.groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("customers"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("day").cast("string").alias("first"), F.lit(whole).alias("whole"))
 
 
-QUERIES = {f.__name__: f for f in (manifest_round_trip, decoded_pages, scope_precedence, official_sources, id_resolutions, host_evidence, price_percentiles)}
+def retry_waits_asked(spark, d):
+    """What Retry-After headers made from orders ask for at the order's day: seconds, dates before and after, dates that no calendar has, words."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    later = F.date_add(F.col("o_orderdate").cast("date"), ((k % 5) - 1).cast("int"))
+    day = F.date_format(later, "EEE, dd MMM yyyy")
+    value = F.when(k % 6 == 0, (k % 700).cast("string")).when(k % 6 == 1, F.concat(day, F.lit(" 12:30:05 GMT"))).when(k % 6 == 2, F.concat(F.date_format(later, "d-MMM-yy"), F.lit(" 12:30:05 +0200"))).when(k % 6 == 3, "Thu, 31 Feb 2030 00:00:00 GMT").when(k % 6 == 4, " -5 ")
+    return o.select(k.alias("o_orderkey"), fetches.retry_after(value, F.col("o_orderdate").cast("date").cast("timestamp")).alias("seconds"))
+
+
+def challenge_pages(spark, d):
+    """Pages behind a challenge: small HTML with a mark; marks in large pages and in other types are none."""
+    p, n = table(spark, d, "pages"), F.col("page_id")
+    body = F.encode(F.when(n % 4 == 0, "<title>Just a moment...</title>").when(n % 4 == 1, F.concat(F.coalesce("html", F.lit("")), F.lit("cf-browser-verification"), F.repeat(F.lit("x"), 9000))).when(n % 4 == 2, "DDoS protection by X").otherwise(F.coalesce("html", F.lit(""))), "UTF-8")
+    kind = F.when(n % 8 == 2, "application/json").when(n % 3 == 0, "Text/HTML; charset=x").otherwise(None)
+    return p.groupBy((n % 24).alias("way"), fetches.challenge(body, kind).alias("marker")).agg(F.count("*").alias("pages"))
+
+
+def _located(spark, d):
+    l, k = table(spark, d, "lineitem"), F.col("l_orderkey") + F.col("l_linenumber")
+    kinds = [*context.PROGRAM_KINDS, *context.LANGUAGE_KINDS, "TUITION"]
+    return l.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), (F.col("l_orderkey") % 500).alias("extraction_id"), F.col("l_suppkey").alias("institution"), F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("url"),
+        F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("l_partkey") % len(kinds) + 1).cast("int")).alias("kind"), F.when(k % 3 == 0, "link").otherwise("block").alias("locator_kind"), F.when(k % 3 > 0, k % 5).alias("block_index"), F.when(k % 4 == 0, k % 2).alias("list_item_index"),
+        F.lit(None).cast("long").alias("table_index"), F.lit(None).cast("long").alias("row_index"), F.when(k % 3 == 0, k % 7).alias("link_index"), F.when(k % 2 == 0, "IELTS").when(k % 5 == 0, "TOEFL").alias("test"),
+    )
+
+
+def program_group_shapes(spark, d):
+    return context.group_shapes(context.context_groups(_located(spark, d), context.PROGRAM_KINDS, context.program_anchor()))
+
+
+def language_group_shapes(spark, d):
+    return context.group_shapes(context.context_groups(_located(spark, d), context.LANGUAGE_KINDS, context.language_anchor()))
+
+
+def evidence_integrity(spark, d):
+    """How located texts made from order lines relate to the claims' wordings, by kind and in all."""
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % 7 + 1).cast("int"))
+    resolved = F.when(k % 7 < 6, pick("13 May", "on 13 May 2027", "13 January 2027 at 6pm", " Apply now ", "Apply", "Something else", ""))
+    raw, evidence = pick(" 13 May ", "13 May", "13 January 2027 6pm", "", "zz", "zz", "x"), pick("e", "e", "e", "Apply now", "Apply now please", "Apply now", "x")
+    c = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"), resolved.alias("resolved"), raw.alias("raw"), evidence.alias("evidence"))
+    return context.evidence_integrity(c)
+
+
+QUERIES = {f.__name__: f for f in (retry_waits_asked, challenge_pages, program_group_shapes, language_group_shapes, evidence_integrity, manifest_round_trip, decoded_pages, scope_precedence, official_sources, id_resolutions, host_evidence, price_percentiles)}
 
 _ID = "substr(md5(cast({0} as varchar)), 1, 8) || '-' || substr(md5(cast({0} as varchar)), 9, 4) || '-' || substr(md5(cast({0} as varchar)), 13, 4) || '-' || substr(md5(cast({0} as varchar)), 17, 4) || '-' || substr(md5(cast({0} as varchar)), 21)"
+_KINDS = [*context.PROGRAM_KINDS, *context.LANGUAGE_KINDS, "TUITION"]
+_LOCATED = f"""with c as (select l_orderkey % 500 as x, {_KINDS!r}[l_partkey % 11 + 1] as kind, l_orderkey + l_linenumber as k from lineitem),
+a as (select *, case when k % 3 = 0 then 'link' else 'block' end || coalesce('/block_index=' || case when k % 3 > 0 then k % 5 end, '') || coalesce('/list_item_index=' || case when k % 4 = 0 then k % 2 end, '') || coalesce('/link_index=' || case when k % 3 = 0 then k % 7 end, '') as program,
+  concat_ws('/', coalesce(cast(case when k % 3 > 0 then k % 5 end as varchar), 'none'), coalesce(cast(case when k % 4 = 0 then k % 2 end as varchar), 'none'), case when k % 2 = 0 then 'IELTS' when k % 5 = 0 then 'TOEFL' else 'none' end) as language from c)
+"""
+_SHAPES = _LOCATED + "select members, kinds, count(*) as groups from (select count(*) as members, string_agg(distinct kind, '+' order by kind) as kinds from a where kind in {kinds} group by x, {anchor}) group by members, kinds"
 ORACLE_SQL = {
+    "retry_waits_asked": """select o_orderkey, case o_orderkey % 6 when 0 then o_orderkey % 700 when 1 then greatest(0, (o_orderkey % 5 - 1) * 86400 + 45005) when 2 then greatest(0, (o_orderkey % 5 - 1) * 86400 + 37805) when 4 then 0 end::double as seconds from orders""",
+    "challenge_pages": """select page_id % 24 as way, case when page_id % 4 = 0 then 'Just a moment...' when page_id % 4 = 2 and page_id % 8 <> 2 then 'DDoS protection by' end as marker, count(*) as pages from pages group by 1, 2""",
+    "program_group_shapes": _SHAPES.format(kinds=tuple(context.PROGRAM_KINDS), anchor="program"),
+    "language_group_shapes": _SHAPES.format(kinds=tuple(context.LANGUAGE_KINDS), anchor="language"),
+    "evidence_integrity": """with r as (select l_returnflag as kind, ['EXACT_RAW', 'CONTAINS_RAW', 'ALL_RAW_TOKENS_PRESENT', 'EQUALS_EVIDENCE', 'WITHIN_EVIDENCE', 'MISMATCH', 'UNRESOLVED'][(l_orderkey + l_linenumber) % 7 + 1] as relation from lineitem)
+select kind, false as whole, relation, count(*) as claims from r group by kind, relation union all select null, true, relation, count(*) from r group by relation""",
     "manifest_round_trip": "select o_orderstatus, count(*) as orders, count(distinct o_custkey) as customers, round(sum(o_totalprice), 2) as total, cast(cast(min(o_orderdate) as date) as varchar) as first, true as whole from orders group by o_orderstatus",
     "decoded_pages": """select page_id % 6 as way, ['utf-8', 'iso8859-1', 'iso8859-1', 'utf-16-le', 'utf-8', 'cp1252'][page_id % 6 + 1] as used, page_id % 6 > 3 as fallback_used,
   ['', '', 'http:utf-8 (UnicodeDecodeError)', '', 'document:none (unknown codec)', 'fallback:utf-8 (UnicodeDecodeError)'][page_id % 6 + 1] as attempts, false as lossy, true as same, count(*) as pages from pages group by all""",
