@@ -242,7 +242,7 @@ ORACLE_SQL = {
     "outlined_blocks": _OUTLINE + "select page_id, place, s.kind as kind, s.text as text, s.level as level, s.container as container, s.container is not null as in_chrome, case when s.kind = 'li' then false end as ordered from n",
     "outlined_paths": _OUTLINE + "select page_id, row_number() over (partition by page_id order by place) - 1 as place, s.text as text, s.path as path from n where s.container is null",
     "outlined_links": """select p_partkey as page_id, x.* from part, lateral (select unnest(['Menu', 'all of it', 'this']) as text, unnest(['https://a.edu/menu', 'https://a.edu/dir/p' || p_partkey || '.pdf', 'https://other.edu/x']) as resolved, unnest(['a.edu', 'a.edu', 'other.edu']) as host,
-  unnest([false, true, false]) as is_pdf, unnest([true, false, false]) as in_chrome, unnest([1.0, 1.0, 0.308]) as text_fraction, unnest([true, true, false]) as is_link_only) x""",
+  unnest([false, true, false]) as is_pdf, unnest([true, false, false]) as in_chrome, unnest([1.0, 1.0, 0.308]::double[]) as text_fraction, unnest([true, true, false]) as is_link_only) x""",
     "outlined_texts": _OUTLINE + "select page_id, 'Part ' || page_id as title, 'en' as language, sha256(string_agg(s.text, chr(10) order by place) filter (s.container is null)) as text_sha256, 3 as links, true as read from n group by page_id",
     "json_values": _EVENT_JSON + "select path, len(regexp_extract_all(path, '\\[')) as depth, kind, count(*) as n, cast(sum(length(text)) as bigint) as characters from v group by path, kind",
     "embedded_texts": _EVENT_JSON + """select event_id, count(*) filter (kind = 'string' and length(text) >= 40) as texts, cast(coalesce(sum(length(text)) filter (kind = 'string' and length(text) >= 40), 0) as bigint) as characters from v group by event_id
