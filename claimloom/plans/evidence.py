@@ -240,7 +240,7 @@ def review_states(spark, d):
     rules = spark.range(5).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("extractor"), (F.col("id") % 3).alias("rule_version"))
     documents = spark.range(3).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("document_extractor"), (F.col("id") % 2).alias("document_version"))
     decision = F.when(F.col("o_orderstatus") == "F", "ACCEPTED").when(F.col("o_orderstatus") == "O", "REJECTED").otherwise("NEEDS_CONTEXT")
-    reviews = o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderdate").alias("decided_at"), F.col("o_orderkey").alias("review_id"), decision.alias("decision"))
+    reviews = o.select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderdate").alias("decided_at"), F.col("o_orderkey").alias("review_id"), decision.alias("decision"))
     return registers.review_state(candidates, reviews, rules, documents)
 
 
@@ -284,11 +284,11 @@ def page_grain(spark, d):
 
 
 def orphans(spark, d):
-    """Rows that one of two stores has and the other lacks, both directions."""
-    docs, lab = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
-    one = lambda a, b, kind: a.filter("doc_id % 3 <> 0" if kind == "MISSING_OBJECT" else "true").join(b, "doc_id", "left_anti").select(F.lit(kind).alias("kind"), "doc_id")
-    both = one(docs, lab, "ORPHAN").union(one(lab, docs.filter("doc_id % 3 <> 0"), "MISSING_OBJECT"))
-    return both.groupBy("kind").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first_id"))
+    """Rows that one of two stores has and the other lacks, both directions; some labels name documents that aren't there."""
+    docs, k = table(spark, d, "documents").select("doc_id"), F.col("doc_id")
+    lab = table(spark, d, "labels").select(F.when(k % 50 == 0, k + 1_000_000_000).otherwise(k).alias("doc_id"))
+    one = lambda a, b, kind: a.join(b, "doc_id", "left_anti").select(F.lit(kind).alias("kind"), "doc_id")
+    return one(docs, lab, "ORPHAN").union(one(lab, docs, "MISSING_OBJECT")).groupBy("kind").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first_id"))
 
 
 def audit_subjects(spark, d):
@@ -381,7 +381,7 @@ _CLAIMS = """with c as (select l_suppkey as institution, l_linenumber % 4 as kin
 _GROUPS = _CLAIMS + """, g as (select kind, scope = 'UNRESOLVED' or programme = 'PROGRAM_UNKNOWN' as thin, count(*) as n, count(distinct q) as vals, count(distinct source) as srcs from c where kind <> 3 and unit is not null group by kind, institution, scope, programme, unit),
 v as (select kind, n, vals, case when vals > 1 and thin then 'INSUFFICIENT_CONTEXT' when vals > 1 then 'CONFLICTS' when n = 1 then 'SINGLE' when srcs > 1 then 'AGREES' else 'POSSIBLE_DUPLICATE' end as verdict from g
   union all select kind, 1, 1, case when kind = 3 then 'NOT_COMPARABLE' else 'INSUFFICIENT_CONTEXT' end from c where kind = 3 or unit is null)"""
-_REVIEWS = """with r as (select o_custkey, count(*) as n, arg_max(case o_orderstatus when 'F' then 'ACCEPTED' when 'O' then 'REJECTED' else 'NEEDS_CONTEXT' end, (o_orderdate, o_orderkey)) as decision from orders where o_orderkey % 3 = 0 group by o_custkey),
+_REVIEWS = """with r as (select o_custkey, count(*) as n, arg_max(case o_orderstatus when 'F' then 'ACCEPTED' when 'O' then 'REJECTED' else 'NEEDS_CONTEXT' end, (o_orderdate, o_orderkey)) as decision from orders group by o_custkey),
 s as (select c_custkey as candidate_id, not (c_custkey % 6 < 5 and c_custkey % 6 % 3 = c_custkey % 3) as rule_superseded, not (c_custkey % 4 < 3 and c_custkey % 4 % 2 = c_custkey % 2) as document_superseded, n, decision from customer left join r on o_custkey = c_custkey),
 states as (select candidate_id, rule_superseded, document_superseded, rule_superseded or document_superseded as is_superseded, n is not null and (rule_superseded or document_superseded) as review_superseded, coalesce(decision, 'UNREVIEWED') as decision_state, coalesce(n, 0) as review_count from s)
 """
@@ -440,7 +440,8 @@ select blocker, count(*) as claims from (select unnest(case when len(l) = 0 then
     "allowed_extractors": """select user_id, concat_ws(',', case when max(event_type in ('view', 'purchase')) then 'deadline' end, case when max(event_type = 'click') then 'language' end, case when max(event_type = 'purchase') then 'program' end, case when max(event_type = 'view') then 'tuition' end) as extractors
   from events where event_type <> 'signup' group by user_id""",
     "page_grain": f"with {_RUNS} select status, count(distinct source_id) as sources, count(distinct source_id) filter (source_id % 2 = 0) as even_sources from runs group by 1",
-    "orphans": """select 'ORPHAN' as kind, count(*) as rows, min(doc_id) as first_id from documents where doc_id not in (select doc_id from labels) having count(*) > 0 union all select 'MISSING_OBJECT', count(*), min(doc_id) from labels where doc_id % 3 <> 0 and doc_id not in (select doc_id from documents where doc_id % 3 <> 0) having count(*) > 0""",
+    "orphans": """with l as (select case when doc_id % 50 = 0 then doc_id + 1000000000 else doc_id end as doc_id from labels)
+select 'ORPHAN' as kind, count(*) as rows, min(doc_id) as first_id from documents where doc_id not in (select doc_id from l) having count(*) > 0 union all select 'MISSING_OBJECT', count(*), min(doc_id) from l where doc_id not in (select doc_id from documents) having count(*) > 0""",
     "audit_subjects": """select coalesce(a.n_name, b.n_name) as nation, count(*) as orders from orders left join customer on c_custkey = o_custkey left join supplier on s_suppkey = o_custkey left join nation a on a.n_nationkey = s_nationkey left join nation b on b.n_nationkey = c_nationkey
   where o_custkey in (select c_custkey from customer where c_nationkey = 3) or o_custkey in (select s_suppkey from supplier where s_nationkey = 3) or o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING' and c_nationkey = 4) group by 1""",
     "partial_dates": """with p as (select o_orderkey as i, case when o_orderkey % 17 <> 0 then 2020 + o_orderkey % 9 end as y, case when o_orderkey % 13 <> 0 then o_orderkey % 13 end as m, case when o_orderkey % 32 <> 0 and o_orderkey % 13 <> 0 then o_orderkey % 32 end as d from orders),

@@ -67,7 +67,7 @@ def recovered_sources(spark, d):
         i, (i % 4 != 0).alias("is_active"), F.when(i % 3 == 0, "BLOCKED").otherwise("FETCHABLE").alias("fetch_eligibility"), F.when(i % 3 == 0, "BLOCKED").otherwise("OK").alias("access_state"),
         F.when(i % 2 == 0, F.lit("2024-02-01").cast("date")).alias("cooldown_until"))
     kind = F.when(F.col("event_type") == "error", "DISABLE").when(F.col("event_type") == "signup", "REENABLE").when(F.col("event_id") % 3 == 0, "NEEDS_REVIEW").otherwise("CLEAR_COOLDOWN")
-    return intake.recovered(s, e.filter("value > 60").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("action_id"), kind.alias("action")))
+    return intake.recovered(s, e.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("action_id"), kind.alias("action")))
 
 
 def deadline_contexts(spark, d):
@@ -132,7 +132,7 @@ select sha256(u) as url_hash, min(page_id) as source_ref, case {_KINDS}[min(page
   when 'FACULTY_OR_SCHOOL' then 'faculty_site' when 'TUITION_FEES' then 'fee_page' when 'OFFICIAL_PDF' then 'official_pdf' when 'GOVERNMENT' then 'government_regulator' when 'AUTHORIZED_RANKING' then 'authorized_ranking' when 'NEWS' then 'unclassified'
   else case when min(page_id) % 17 = 16 then 'unclassified' else 'admissions_page' end end as source_type, case when any_value(r) = 0 then 'DOCUMENT' else 'STATIC' end as fetch_strategy, case when any_value(r) = 1 then 'NEEDS_MANUAL_REVIEW' else 'FETCHABLE' end as fetch_eligibility,
   count(*) as claims, not bool_or(page_id % 10 = 3) as is_new from u group by u""",
-    "recovered_sources": """with a as (select user_id, event_id, case event_type when 'error' then 'D' when 'signup' then 'E' else case when event_id % 3 = 0 then 'N' else 'C' end end as k, user_id % 4 <> 0 as live from events where value > 60),
+    "recovered_sources": """with a as (select user_id, event_id, case event_type when 'error' then 'D' when 'signup' then 'E' else case when event_id % 3 = 0 then 'N' else 'C' end end as k, user_id % 4 <> 0 as live from events),
 l as (select user_id, arg_max(k, event_id) filter (k in ('D', 'N') or (k = 'E' and live)) as last, coalesce(bool_or(k = 'E' and live), false) as e, coalesce(bool_or(k = 'C'), false) as c, count(*) filter (k = 'E' and not live) as refused from a group by 1)
 select s.user_id as source_id, s.user_id % 4 <> 0 as is_active, case last when 'E' then 'FETCHABLE' when 'D' then 'DISABLED' when 'N' then 'NEEDS_MANUAL_REVIEW' else case when s.user_id % 3 = 0 then 'BLOCKED' else 'FETCHABLE' end end as fetch_eligibility,
   case when e or s.user_id % 3 <> 0 then 'OK' else 'BLOCKED' end as access_state, case when s.user_id % 2 = 0 and not coalesce(e or c, false) then date '2024-02-01' end as cooldown_until, coalesce(refused, 0) as refused from (select distinct user_id from events) s left join l on l.user_id = s.user_id""",
