@@ -104,3 +104,10 @@ def test_stages_are_brute_force_and_keep_every_column(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, now, str(folder)).collect()
     assert Counter((x.doc_id, x.n_tokens) for x in last) == Counter((x.doc_id, len(t.encode(x.text, add_special_tokens=False).ids)) for x in now.collect())
     assert corpus_pipeline.run(spark, str(folder)).count() == len(last)
+
+
+def test_pipeline_of_empty_tables_has_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() == 0
