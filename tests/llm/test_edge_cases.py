@@ -272,6 +272,23 @@ def test_mixing_with_clashing_columns_hot_ids_and_ties(spark):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("sizes", [
+    {"a": 500, "b": 200, "c": 100}, {"a": 100, "b": 1000, "c": 5000, "d": 40, None: 3000}, {"": 70, "a": 700, "b": 30, "\U00010000": 900, "\uffff": 20}, {"a": 0, "b": 10, None: 10}, {"a": 0}, {None: 9}, {"a": 300, "b": 300, "c": 300, "d": 300},
+], ids=str)
+def test_mixing_targets_share_the_excess_by_weight(spark, sizes):
+    got = {r.source: r for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 1.5, 2).collect()}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode())))}
+    # slowly: whoever is above the cap stops there, the rest share what is left
+    open_, want = set(sizes), {}
+    while open_:
+        left = 1.5 * sum(sizes.values()) - sum(want.values())
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        want |= {s: 2.0 * sizes[s] for s in over} if over else share
+        open_ -= over or open_
+    assert {s: r.target for s, r in got.items()} == pytest.approx(want) and all(got[s].source_size == n for s, n in sizes.items())
+
+
 def test_chat_of_empty_tables_long_texts_and_other_columns(spark):
     turns = [(1, 0, "u", "x" * 2_000_000, "a"), (2, 0, "u", "x" * 2_000_000, "a"), (2, 1, "a", "", "b"), (3, 0, None, None, "b"), (3, 0, None, None, "c")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, rendered string")
