@@ -8,7 +8,7 @@ gives a row with ``error`` set and no blocks. Elements whose end tag is missing
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -26,6 +26,9 @@ CHROME = {"nav", "header", "footer", "aside"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "col", "embed", "area", "base", "param", "track"}
 #: Open elements that the start of another one ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements that part text, and for each the open ones that its start ends, in order.
+PARTING = BLOCKS | PARTS | CONTAINERS
+ENDED = {tag: sorted(ENDS.get(tag, set()) | (set() if tag == "br" else {"p", *HEADINGS})) for tag in PARTING}
 #: Texts of a page held at once, in bytes, the widest span of a cell, and the places of a grid whose spans are laid out.
 PAGE_BYTES, WIDEST, GRID_CELLS = 2 << 20, 1000, 200_000
 
@@ -36,6 +39,7 @@ SCHEMA = (
     "blocks array<struct<kind string, text string, level int, container string, in_chrome boolean, list int, ordered boolean, table_index int, above int>>, "
     f"tables array<struct<caption string, header_rows {_CELL}, rows {_CELL}, head_grid {_GRID}, grid {_GRID}>>, "
     "links array<struct<text string, href string, resolved string, host string, is_pdf boolean, container string, in_chrome boolean, block_index int>>, "
+    "linked array<struct<block_index int, first int, links long, characters long, block_characters long>>, "
     "json_ld_types array<string>, embedded_json int, scripts int, embeds int, warnings array<string>, error string"
 )
 
@@ -88,10 +92,19 @@ class DocumentReader(HTMLParser):
         self.doc = {"title": None, "language": None, "canonical_url": None, "meta": {}, "blocks": [], "tables": [], "links": [], "json_ld_types": [], "embedded_json": 0, "scripts": 0, "embeds": 0, "warnings": [], "error": None}
         self.lists, self.silent, self.script, self.link, self.rows, self.headings = 0, None, None, None, [], []
 
+    def updatepos(self, i, j):
+        """Lines aren't counted."""
+        return j
+
     def inside(self, tags) -> str | None:
-        return next((t for t, *_ in reversed(self.stack) if t in tags), None)
+        for t, _ in reversed(self.stack):
+            if t in tags:
+                return t
+        return None
 
     def flush(self) -> None:
+        if not self.text:
+            return
         text = " ".join("".join(self.text).split())
         self.text = []
         if not text:
@@ -146,12 +159,17 @@ class DocumentReader(HTMLParser):
             return
         if tag == "a":
             self.link = (a.get("href"), [], len(self.doc["blocks"]), self.inside(CONTAINERS), self.inside(CHROME) is not None)
-        if tag in BLOCKS or tag in PARTS or tag in CONTAINERS:
+        if tag in PARTING:
             self.flush()
-            scope = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] in ("ul", "ol", "dl", "table")), -1)
-            inner = {t for t, *_ in self.stack[scope + 1 :]}
-            for other in sorted((ENDS.get(tag, set()) | (set() if tag == "br" else {"p", *HEADINGS})) & inner):
-                self.pop(other)
+            inner = set()
+            for t, _ in reversed(self.stack):
+                if t in ("ul", "ol", "dl", "table"):
+                    break
+                inner.add(t)
+            if inner:
+                for other in ENDED[tag]:
+                    if other in inner:
+                        self.pop(other)
         if tag == "table":
             self.doc["tables"].append({"caption": None, "all": []})
             self.rows.append(len(self.doc["tables"]) - 1)
@@ -162,7 +180,7 @@ class DocumentReader(HTMLParser):
             if not rows:
                 rows.append((False, []))
             rows[-1][1].append({"text": "", "header": tag == "th", "block": None, "rowspan": WIDEST if (a.get("rowspan") or "").strip() == "0" else _span(a.get("rowspan")), "colspan": _span(a.get("colspan"))})
-        if tag not in VOID and (tag in BLOCKS or tag in PARTS or tag in CONTAINERS):
+        if tag not in VOID and tag in PARTING:
             self.lists += tag in ("ul", "ol", "dl")
             self.stack.append((tag, self.lists - 1))
 
@@ -174,7 +192,7 @@ class DocumentReader(HTMLParser):
             return
         if tag == "a" and self.link:
             self.end_link()
-        if tag in BLOCKS or tag in PARTS or tag in CONTAINERS:
+        if tag in PARTING:
             self.flush()
             self.pop(tag)
 
@@ -233,7 +251,20 @@ class DocumentReader(HTMLParser):
             if key not in seen:
                 seen.add(key)
                 links.append(x)
-        return self.doc | {"links": links, "meta": list(self.doc["meta"].items())}
+        return self.doc | {"links": links, "linked": self.linked(links), "meta": list(self.doc["meta"].items())}
+
+    def linked(self, links: list[dict]) -> list[dict]:
+        """Blocks with links: where theirs begin (a block's stand together), their number, their characters and the block's."""
+        out, blocks = [], self.doc["blocks"]
+        for i, x in enumerate(links):
+            at = x["block_index"]
+            if at >= len(blocks):
+                break
+            if not out or out[-1]["block_index"] != at:
+                out.append({"block_index": at, "first": i, "links": 0, "characters": 0, "block_characters": len(blocks[at]["text"])})
+            out[-1]["links"] += 1
+            out[-1]["characters"] += len(x["text"])
+        return out
 
 
 def read_page(page_id: int | None, url: str | None, html: str | None) -> dict:
@@ -296,12 +327,21 @@ def visible_text(blocks: Column) -> Column:
     return F.array_join(F.transform(F.filter(blocks, lambda b: ~b["in_chrome"]), lambda b: b["text"]), "\n")
 
 
+def _profile(x: Column) -> list[Column]:
+    """Of an element of ``linked``: the share of its block's text that is in links (3 places), and whether links are all or most (0.8) of it."""
+    share = F.round(F.least(F.lit(1.0), x["characters"] / x["block_characters"]), 3)
+    return [share.alias("text_fraction"), (x["characters"] >= x["block_characters"]).alias("is_link_only"), (share >= 0.8).alias("is_link_dominated")]
+
+
 def link_profiles(docs: DataFrame) -> DataFrame:
-    """Per block with links: their number, the share of its text that is theirs (3 places) and whether links are all or most (0.8) of it."""
-    per = links(docs).groupBy("page_id", "block_index").agg(F.count("*").alias("links"), F.sum(F.length("text")).alias("linked"))
-    b = docs.select("page_id", F.posexplode("blocks").alias("block_index", "b")).select("page_id", "block_index", F.length("b.text").alias("n"))
-    share = F.round(F.least(F.lit(1.0), F.col("linked") / F.col("n")), 3)
-    return per.join(b, ["page_id", "block_index"]).select("page_id", "block_index", "links", share.alias("text_fraction"), (F.col("linked") >= F.col("n")).alias("is_link_only"), (share >= 0.8).alias("is_link_dominated"))
+    """Per block with links of each document: their number, the share of its text that is theirs (3 places) and whether links are all or most (0.8) of it."""
+    return docs.select("page_id", F.explode("linked").alias("x")).select("page_id", "x.block_index", "x.links", *_profile(F.col("x")))
+
+
+def profiled_links(docs: DataFrame) -> DataFrame:
+    """Links that stand in a block, beside the shares of :func:`link_profiles` of that block; no row leaves its task."""
+    beside = lambda x: F.transform(F.slice("links", x["first"] + 1, x["links"].cast("int")), lambda y: F.struct(y.alias("l"), *_profile(x)))
+    return docs.select("page_id", F.explode(F.flatten(F.transform("linked", beside))).alias("x")).select("page_id", "x.l.*", "x.text_fraction", "x.is_link_only", "x.is_link_dominated")
 
 
 def heading_path(blocks: Column, block: Column) -> Column:
@@ -330,13 +370,18 @@ def statements(docs: DataFrame) -> DataFrame:
     Columns: page_id, place (of the block among all blocks), kind (``td`` for cells), text, heading (the nearest), column_header, row_label. A cell is stated
     once, whatever it spans; cells of header rows only label others.
     """
-    block = F.posexplode("blocks").alias("place", "b")
-    at = F.get("blocks", F.col("b.above"))["text"].alias("heading")
-    none = F.lit(None).cast("string")
-    said = docs.select("page_id", "blocks", block).filter("not b.in_chrome and b.level is null and b.kind not in ('td', 'th')")
-    said = said.select("page_id", "place", "b.kind", "b.text", at, none.alias("column_header"), none.alias("row_label"))
-    c = cells(docs).filter("origin and block is not null and not in_chrome")
-    return said.unionByName(c.select("page_id", F.col("block").alias("place"), F.lit("td").alias("kind"), "text", "heading", "column_header", "row_label"))
+    b = F.transform("blocks", lambda b, i: F.struct(i.alias("place"), b.alias("b")))
+    b = F.filter(b, lambda x: ~x["b"]["in_chrome"] & x["b"]["level"].isNull() & ~x["b"]["kind"].isin("td", "th"))
+    said = lambda x: F.struct(x["place"].alias("place"), x["b"]["kind"].alias("kind"), x["b"]["text"].alias("text"), F.get("blocks", x["b"]["above"])["text"].alias("heading"))
+    none = F.get("tables", F.lit(-1))
+    # blocks and tables together, so that each page is read once
+    texts = F.transform(b, lambda x: F.struct(said(x).alias("said"), F.lit(None).cast("int").alias("table_index"), none.alias("t")))
+    tables = F.transform("tables", lambda t, i: F.struct(F.lit(None).cast("struct<place:int,kind:string,text:string,heading:string>").alias("said"), i.alias("table_index"), t.alias("t")))
+    c = _places(docs.select("page_id", "blocks", F.explode(F.concat(texts, tables)).alias("x")).select("page_id", "blocks", "x.*"), F.posexplode_outer, "said")
+    block = F.col("said").isNotNull()
+    c = c.filter(block | (F.col("origin") & F.col("block").isNotNull() & ~F.col("in_chrome")))
+    either = lambda ours, theirs: F.when(block, F.col("said")[ours]).otherwise(theirs).alias(ours)
+    return c.select("page_id", either("place", F.col("block")), either("kind", F.lit("td")), either("text", F.col("text")), either("heading", F.col("heading")), "column_header", "row_label")
 
 
 def headings(docs: DataFrame) -> DataFrame:
@@ -357,18 +402,22 @@ def cells(docs: DataFrame) -> DataFrame:
     of all header rows over the column, from the top. ``row_label`` joins the different texts to the left that label the row: the first one, header
     cells and those without a digit; null in the first column. ``row_text``: the row's different texts, parted by bars. ``block``: place of the cell's text among all blocks.
     """
-    t = docs.select("page_id", "blocks", F.posexplode("tables").alias("table_index", "t"))
+    return _places(docs.select("page_id", "blocks", F.posexplode("tables").alias("table_index", "t")), F.posexplode)
+
+
+def _places(t: DataFrame, each: Callable[[str], Column], *more: str) -> DataFrame:
+    """The rows of :func:`cells` of tables ``t``, with the columns ``more``; ``each`` parts rows and their places."""
     wide = F.array_max(F.transform("t.head_grid", lambda r: F.size(r)))
     over = lambda j: F.array_join(F.array_distinct(F.filter(F.transform("t.head_grid", lambda r: F.get(r, j)["text"]), lambda x: x != "")), " ")
     heads = F.when(F.coalesce(wide, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), wide - 1), over))
-    rows = t.select("page_id", "blocks", "table_index", "t.caption", heads.alias("heads"), F.posexplode("t.grid").alias("row_index", "row"))
+    rows = t.select("page_id", "blocks", *more, "table_index", "t.caption", heads.alias("heads"), each("t.grid").alias("row_index", "row"))
     texts = F.array_join(F.array_distinct(F.filter(F.transform("row", lambda c: c["text"]), lambda x: x != "")), " | ")
-    c = rows.withColumn("row_text", texts).select("*", F.posexplode("row").alias("column_index", "c"))
+    c = rows.withColumn("row_text", texts).select("*", each("row").alias("column_index", "c"))
     left = F.transform(F.slice("row", F.lit(1), F.col("column_index")), lambda x, k: F.when((k == 0) | x["header"] | ~x["text"].rlike(r"\d"), x["text"]))
     label = F.when(F.col("column_index") > 0, F.array_join(F.array_distinct(F.filter(left, lambda x: x.isNotNull() & (x != ""))), " "))
     block = F.get("blocks", F.col("c.block"))
     header = F.get("heads", F.col("column_index"))
     return c.select(
         "page_id", "table_index", "row_index", "column_index", "c.text", "c.header", "c.block", "c.origin", F.coalesce(block["in_chrome"], F.lit(False)).alias("in_chrome"), "caption",
-        F.get("blocks", block["above"])["text"].alias("heading"), F.when(header != "", header).alias("column_header"), label.alias("row_label"), "row_text",
+        F.get("blocks", block["above"])["text"].alias("heading"), F.when(header != "", header).alias("column_header"), label.alias("row_label"), "row_text", *more,
     )

@@ -187,9 +187,7 @@ def outlined_paths(spark, d):
 
 def outlined_links(spark, d):
     """Links of these pages beside the share of their block's text that is theirs."""
-    docs = _outlined(spark, d)
-    p = documents.link_profiles(docs).select("page_id", "block_index", "text_fraction", "is_link_only")
-    return documents.links(docs).join(p, ["page_id", "block_index"]).select("page_id", "text", "resolved", "host", "is_pdf", "in_chrome", "text_fraction", "is_link_only")
+    return documents.profiled_links(_outlined(spark, d)).select("page_id", "text", "resolved", "host", "is_pdf", "in_chrome", "text_fraction", "is_link_only")
 
 
 def outlined_texts(spark, d):

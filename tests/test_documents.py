@@ -91,3 +91,24 @@ def test_headers_of_several_rows_and_labels_over_rows(spark):
     got = {(r.row_index, r.column_index): (r.text, r.origin, r.column_header, r.row_label) for r in d.cells(docs).collect()}
     assert got[0, 1] == ("1", True, "Fee Home", "BSc") and got[1, 0] == ("BSc", False, "Level", None) and got[1, 1] == ("3", True, "Fee Home", "BSc") and got[1, 2] == ("3", False, "Fee Abroad", "BSc")
     assert [(r.text, r.column_header) for r in d.statements(docs).orderBy("place").collect()] == [("BSc", "Level"), ("1", "Fee Home"), ("2", "Fee Abroad"), ("3", "Fee Home")]
+
+
+def test_profiled_links_stay_with_their_document_without_a_join(spark):
+    html = '<p><a href="/a">all</a><p>see <a href="/b">é1</a> and <a href="/c">it</a><p>none</p><a href="/d"></a>'
+    docs = d.documents(spark.createDataFrame([(None, "https://a.edu/", html), (1, "https://a.edu/", html), (1, "https://a.edu/", "<p>x <a href=y>y</a>")], "page_id long, url string, html string"))
+    links = d.profiled_links(docs)
+    got = sorted(((r.page_id or 0), r.href, r.text_fraction, r.is_link_only, r.is_link_dominated) for r in links.collect())
+    one = [("/a", 1.0, True, True), ("/b", 0.308, False, False), ("/c", 0.308, False, False)]
+    assert got == sorted([(n, *x) for n in (0, 1) for x in one] + [(1, "y", 0.333, False, False)])
+    assert sorted((r.block_index, r.links, r.text_fraction) for r in d.link_profiles(docs).filter("page_id is null").collect()) == [(0, 1, 1.0), (1, 2, 0.308)]
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (links, d.link_profiles(docs))]
+    assert all("Join" not in p and "Exchange" not in p and p.count("MapInArrow") == 1 for p in plans)
+
+
+def test_statements_read_each_page_once(spark):
+    docs = d.documents(spark.createDataFrame([(1, "u", PAGE)], "page_id long, url string, html string"))
+    assert d.statements(docs)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {(r.place, r.kind, r.text, r.heading, r.column_header, r.row_label) for r in d.statements(docs).collect()}
+    assert {(x[1], x[2], x[3], x[4], x[5]) for x in got} >= {("p", "bare text", "Title", None, None), ("li", "inner", "Fees", None, None), ("td", "9,000", "Next", "Fee", "BSc"), ("td", "BSc", "Next", "Level", None), ("dt", "t", "Next", None, None)}
+    blocks = docs.head().blocks
+    assert all(blocks[place].text == text for place, _, text, *_ in got)
