@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.operators import documents, extract, nested, scopes
-from claimloom.sources.tables import table
+from claimloom.sources.tables import spread, table
 
 
 def _docs(spark, d):
@@ -53,7 +53,7 @@ def visible_texts(spark, d):
 def _said(rows, key, text):
     """Sentences as statements of one body paragraph each."""
     none = F.lit(None).cast("string")
-    return rows.select(F.col(key).alias("page_id"), F.lit(0).alias("place"), F.lit("p").alias("kind"), text.alias("text"), none.alias("heading"), none.alias("column_header"), none.alias("row_label"))
+    return spread(rows).select(F.col(key).alias("page_id"), F.lit(0).alias("place"), F.lit("p").alias("kind"), text.alias("text"), none.alias("heading"), none.alias("column_header"), none.alias("row_label"))
 
 
 def fee_sentences(spark, d):
@@ -67,7 +67,7 @@ def fee_sentences(spark, d):
 
 
 def _made(rows, key, html):
-    return documents.documents(rows.select(F.col(key).alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html")))
+    return documents.documents(spread(rows).select(F.col(key).alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html")))
 
 
 def fee_tables(spark, d):
@@ -171,7 +171,7 @@ def _outlined_page():
 
 def _outlined(spark, d):
     url = F.concat(F.lit("https://a.edu/dir/"), F.col("p_partkey").cast("string"))
-    return documents.documents(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), _outlined_page().alias("html")))
+    return documents.documents(spread(table(spark, d, "part")).select(F.col("p_partkey").alias("page_id"), url.alias("url"), _outlined_page().alias("html")))
 
 
 def outlined_blocks(spark, d):

@@ -112,3 +112,12 @@ def test_statements_read_each_page_once(spark):
     assert {(x[1], x[2], x[3], x[4], x[5]) for x in got} >= {("p", "bare text", "Title", None, None), ("li", "inner", "Fees", None, None), ("td", "9,000", "Next", "Fee", "BSc"), ("td", "BSc", "Next", "Level", None), ("dt", "t", "Next", None, None)}
     blocks = docs.head().blocks
     assert all(blocks[place].text == text for place, _, text, *_ in got)
+
+
+@pytest.mark.parametrize("name", ["outlined_blocks", "outlined_paths", "outlined_links", "outlined_texts", "score_tables", "page_fees", "fee_tables", "table_places", "fee_sentences", "score_sentences", "admission_requirements"])
+def test_rows_of_a_small_file_are_dealt_to_many_tasks(spark, tmp_path, name):
+    from claimloom.plans.pages import QUERIES
+
+    rows = spark.range(20_001).selectExpr("id as p_partkey", "concat('n', id) as p_name", "cast(id % 50 as int) as p_size")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 5
