@@ -37,13 +37,19 @@ def kind_patterns(kinds: dict[str, list[str]]) -> list[tuple[str, str]]:
     return [(name, words_pattern(wordings)) for name, wordings in kinds.items()]
 
 
+def _any(text: Column, kinds: dict[str, list[str]]) -> Column:
+    """Whether ``text`` speaks of any kind: one search, so that texts that speak of none need no more."""
+    return text.rlike(words_pattern(list(dict.fromkeys(w for wordings in kinds.values() for w in wordings))))
+
+
 def first_kind(text: Column, kinds: dict[str, list[str]]) -> Column:
     """Name of the first kind, in the order given, that ``text`` speaks of, or null."""
-    return F.coalesce(*[F.when(text.rlike(p), name) for name, p in kind_patterns(kinds)])
+    return F.when(_any(text, kinds), F.coalesce(*[F.when(text.rlike(p), name) for name, p in kind_patterns(kinds)]))
 
 
 def all_kinds(text: Column, kinds: dict[str, list[str]]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, p in kind_patterns(kinds)]))
+    found = F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, p in kind_patterns(kinds)]))
+    return F.when(_any(text, kinds), found).otherwise(F.array().cast("array<string>"))
 
 
 def nearest_kind(text: Column, at: Column, kinds: dict[str, list[str]]) -> Column:
@@ -53,7 +59,7 @@ def nearest_kind(text: Column, at: Column, kinds: dict[str, list[str]]) -> Colum
     def of(rank: int, name: str, pattern: str) -> Column:
         return F.transform(places(text, pattern), lambda m: F.struct(gap(m).alias("distance"), F.lit(rank).alias("rank"), F.lit(name).alias("kind")))
 
-    return F.array_min(F.concat(*[of(i, *kind) for i, kind in enumerate(kind_patterns(kinds))]))
+    return F.when(_any(text, kinds), F.array_min(F.concat(*[of(i, *kind) for i, kind in enumerate(kind_patterns(kinds))])))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

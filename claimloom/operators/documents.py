@@ -8,6 +8,7 @@ gives a row with ``error`` set and no blocks. Elements whose end tag is missing
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -28,6 +29,8 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "col", "emb
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Elements that part text, and for each the open ones that its start ends, in order.
 PARTING = BLOCKS | PARTS | CONTAINERS
+#: Elements outside the text that say something of the page.
+ABOUT = {"html", "meta", "link", "iframe", "embed", "object", "video"}
 ENDED = {tag: sorted(ENDS.get(tag, set()) | (set() if tag == "br" else {"p", *HEADINGS})) for tag in PARTING}
 #: Texts of a page held at once, in bytes, the widest span of a cell, and the places of a grid whose spans are laid out.
 PAGE_BYTES, WIDEST, GRID_CELLS = 2 << 20, 1000, 200_000
@@ -83,6 +86,11 @@ def json_types(value) -> list[str]:
     return [str(t) for t in (own if isinstance(own, list) else [own])] + json_types(value.get("@graph") or [])
 
 
+#: Elements whose content the parser may read otherwise than as markup.
+RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+_PLAIN_START, _PLAIN_END = re.compile("<([a-zA-Z][a-zA-Z0-9]*)>"), re.compile("</([a-zA-Z][a-zA-Z0-9]*)>")
+
+
 class DocumentReader(HTMLParser):
     """Gathers one page's document; text belongs to the innermost open block, or is a block of its own."""
 
@@ -96,6 +104,22 @@ class DocumentReader(HTMLParser):
         """Lines aren't counted."""
         return j
 
+    def parse_starttag(self, i):
+        """A tag without attributes needs no search for them."""
+        m = _PLAIN_START.match(self.rawdata, i)
+        if not m or m.group(1).lower() in RAW:
+            return super().parse_starttag(i)
+        self.lasttag = m.group(1).lower()
+        self.handle_starttag(self.lasttag, ())
+        return m.end()
+
+    def parse_endtag(self, i):
+        m = _PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if not m:
+            return super().parse_endtag(i)
+        self.handle_endtag(m.group(1).lower())
+        return m.end()
+
     def inside(self, tags) -> str | None:
         for t, _ in reversed(self.stack):
             if t in tags:
@@ -109,22 +133,31 @@ class DocumentReader(HTMLParser):
         self.text = []
         if not text:
             return
-        tag = self.inside(BLOCKS) or "text"
+        tag, container, chrome, at = "text", None, False, None
+        for x in reversed(self.stack):
+            t = x[0]
+            if tag == "text" and t in BLOCKS:
+                tag = t
+            if t in CONTAINERS:
+                container = container or t
+                chrome = chrome or t in CHROME
+            elif at is None and t in ("ul", "ol", "dl"):
+                at = x
         if tag == "caption" and self.rows:
             self.doc["tables"][self.rows[-1]]["caption"] = text
         elif tag in ("td", "th") and self.rows and self.cell() is not None:
             cell = self.cell()
             cell["text"] = f"{cell['text']} {text}".strip()
             cell["block"] = len(self.doc["blocks"]) if cell["block"] is None else cell["block"]
-        level, chrome = HEADINGS.get(tag), self.inside(CHROME) is not None
+        level = HEADINGS.get(tag)
         if level and not chrome:
             self.headings = [h for h in self.headings if h[0] < level]
         over = self.headings[-1][1] if self.headings and not chrome else None
         if level and not chrome:
             self.headings.append((level, len(self.doc["blocks"])))
         kind = "p" if tag == "text" else tag
-        at = next((x for x in reversed(self.stack) if x[0] in ("ul", "ol", "dl")), None) if tag in ("li", "dt", "dd") else None
-        self.doc["blocks"].append({"kind": kind, "text": text, "level": level, "container": self.inside(CONTAINERS), "in_chrome": chrome, "list": at[1] if at else None, "ordered": at[0] == "ol" if at else None, "table_index": self.rows[-1] if self.rows and tag in ("td", "th") else None, "above": over})
+        at = at if tag in ("li", "dt", "dd") else None
+        self.doc["blocks"].append({"kind": kind, "text": text, "level": level, "container": container, "in_chrome": chrome, "list": at[1] if at else None, "ordered": at[0] == "ol" if at else None, "table_index": self.rows[-1] if self.rows and tag in ("td", "th") else None, "above": over})
 
     def cell(self) -> dict | None:
         rows = self.doc["tables"][self.rows[-1]]["all"]
@@ -132,19 +165,21 @@ class DocumentReader(HTMLParser):
 
     def pop(self, tag: str) -> None:
         """Ends the innermost ``tag`` and all that is open inside it."""
-        if any(t == tag for t, *_ in self.stack):
-            while True:
-                t, *_ = self.stack.pop()
-                if t == "table" and self.rows:
-                    self.rows.pop()
-                if t == tag:
-                    break
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                for t, _ in self.stack[i:]:
+                    if t == "table" and self.rows:
+                        self.rows.pop()
+                del self.stack[i:]
+                break
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
         if self.silent:
             return
-        if tag == "html":
+        a = dict(attrs)
+        if tag not in ABOUT:
+            pass
+        elif tag == "html":
             self.doc["language"] = a.get("lang")
         elif tag == "meta" and (a.get("name") or a.get("property")):
             self.doc["meta"].setdefault((a.get("name") or a.get("property")).lower(), a.get("content") or "")

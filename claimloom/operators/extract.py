@@ -94,7 +94,8 @@ def fees(statements: DataFrame) -> DataFrame:
     number = lambda c: F.regexp_replace(c, ",", "").cast("double")
     pair = rf"({_MONEY})\s*(?:-|–|—|\bto\b|\band\b)\s*({_MONEY})"
     t, said, h = F.col("text"), F.col("said"), F.coalesce("heading", F.lit(""))
-    b = statements.withColumn("said", _labels()).withColumns({
+    some = statements.filter(t.rlike(r"\d") | says(t, OPEN_AMOUNT))  # the others state no amount
+    b = some.withColumn("said", _labels()).withColumns({
         "raw": F.regexp_extract(t, _MONEY, 0), "first": F.regexp_extract(t, _MONEY, 2), "left": F.regexp_extract(t, pair, 3), "right": F.regexp_extract(t, pair, 6),
     })
     before = F.split_part(t, F.col("raw"), F.lit(1))
