@@ -29,11 +29,13 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "col", "emb
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Elements that part text, and for each the open ones that its start ends, in order.
 PARTING = BLOCKS | PARTS | CONTAINERS
-#: Elements outside the text that say something of the page.
-ABOUT = {"html", "meta", "link", "iframe", "embed", "object", "video"}
 ENDED = {tag: sorted(ENDS.get(tag, set()) | (set() if tag == "br" else {"p", *HEADINGS})) for tag in PARTING}
-#: Texts of a page held at once, in bytes, the widest span of a cell, and the places of a grid whose spans are laid out.
-PAGE_BYTES, WIDEST, GRID_CELLS = 2 << 20, 1000, 200_000
+#: The same as sums of powers of two, one for each element; lists and tables keep what is outside them open.
+BIT = {tag: 1 << i for i, tag in enumerate(sorted(PARTING))}
+ENDING = {tag: sum(BIT[t] for t in others) for tag, others in ENDED.items()}
+KEEPING = {"ul", "ol", "dl", "table"}
+#: Texts of pages held at once, in bytes, and those pages; the widest span of a cell, and the places of a grid whose spans are laid out.
+PAGE_BYTES, PAGES, WIDEST, GRID_CELLS = 2 << 20, 500, 1000, 200_000
 
 _CELL = "array<array<struct<text string, header boolean, rowspan int, colspan int>>>"
 _GRID = "array<array<struct<text string, header boolean, block int, origin boolean>>>"
@@ -45,6 +47,11 @@ SCHEMA = (
     "linked array<struct<block_index int, first int, links long, characters long, block_characters long>>, "
     "json_ld_types array<string>, embedded_json int, scripts int, embeds int, warnings array<string>, error string"
 )
+#: The columns that :func:`cells` and :func:`statements` read.
+PLACED = (
+    "page_id long, blocks array<struct<kind string, text string, level int, in_chrome boolean, above int>>, "
+    f"tables array<struct<caption string, head_grid {_GRID}, grid {_GRID}>>"
+)
 
 
 def _span(value: str | None) -> int:
@@ -57,6 +64,8 @@ def laid_out(rows: list[list[dict]]) -> list[list[dict]]:
     Rows have as many places as they need. ``origin`` marks a cell's first place; an empty place has no text. A table whose spans cover more than ``GRID_CELLS``
     places is laid out without spans.
     """
+    if all(c["colspan"] == c["rowspan"] == 1 for r in rows for c in r):
+        return [[{"text": c["text"], "header": c["header"], "block": c["block"], "origin": True} for c in r] for r in rows]
     spans = sum(c["colspan"] * min(c["rowspan"], len(rows) - i) for i, r in enumerate(rows) for c in r) <= GRID_CELLS
     grid, above = [], {}
     for row in rows:
@@ -88,7 +97,8 @@ def json_types(value) -> list[str]:
 
 #: Elements whose content the parser may read otherwise than as markup.
 RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
-_PLAIN_START, _PLAIN_END = re.compile("<([a-zA-Z][a-zA-Z0-9]*)>"), re.compile("</([a-zA-Z][a-zA-Z0-9]*)>")
+#: A text without references and a tag without attributes after it.
+_PLAIN = re.compile("([^<&]*+)<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
 
 
 class DocumentReader(HTMLParser):
@@ -96,7 +106,8 @@ class DocumentReader(HTMLParser):
 
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.stack, self.text = url, [], []
+        # an open element: tag, number of its list, and of it and those around it the innermost block, container, whether any is chrome, list, and the tags inside the innermost list or table
+        self.url, self.stack, self.text = url, [(None, -1, "text", None, False, None, 0)], []
         self.doc = {"title": None, "language": None, "canonical_url": None, "meta": {}, "blocks": [], "tables": [], "links": [], "json_ld_types": [], "embedded_json": 0, "scripts": 0, "embeds": 0, "warnings": [], "error": None}
         self.lists, self.silent, self.script, self.link, self.rows, self.headings = 0, None, None, None, [], []
 
@@ -105,26 +116,30 @@ class DocumentReader(HTMLParser):
         return j
 
     def parse_starttag(self, i):
-        """A tag without attributes needs no search for them."""
-        m = _PLAIN_START.match(self.rawdata, i)
-        if not m or m.group(1).lower() in RAW:
-            return super().parse_starttag(i)
-        self.lasttag = m.group(1).lower()
-        self.handle_starttag(self.lasttag, ())
-        return m.end()
+        return self.plain(i) or super().parse_starttag(i)
 
     def parse_endtag(self, i):
-        m = _PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
-        if not m:
-            return super().parse_endtag(i)
-        self.handle_endtag(m.group(1).lower())
-        return m.end()
-
-    def inside(self, tags) -> str | None:
-        for t, _ in reversed(self.stack):
-            if t in tags:
-                return t
-        return None
+        return (self.plain(i) if self.cdata_elem is None else None) or super().parse_endtag(i)
+
+    def plain(self, i: int) -> int | None:
+        """Takes the tags without attributes from ``i`` on and the texts between them, up to what the parser must read; the place after them, null without any."""
+        end, data = None, self.rawdata
+        m = _PLAIN.match(data, i)
+        while m:
+            text, ends, tag = m.groups()
+            tag = tag.lower()
+            if not ends and tag in RAW:
+                break
+            if text:
+                self.handle_data(text)
+            if ends:
+                self.handle_endtag(tag)
+            else:
+                self.lasttag = tag
+                self.handle_starttag(tag, ())
+            end = m.end()
+            m = _PLAIN.match(data, end)
+        return end
 
     def flush(self) -> None:
         if not self.text:
@@ -133,21 +148,12 @@ class DocumentReader(HTMLParser):
         self.text = []
         if not text:
             return
-        tag, container, chrome, at = "text", None, False, None
-        for x in reversed(self.stack):
-            t = x[0]
-            if tag == "text" and t in BLOCKS:
-                tag = t
-            if t in CONTAINERS:
-                container = container or t
-                chrome = chrome or t in CHROME
-            elif at is None and t in ("ul", "ol", "dl"):
-                at = x
+        _, _, tag, container, chrome, at, _ = self.stack[-1]
+        cells = tag in ("td", "th") and self.rows
         if tag == "caption" and self.rows:
             self.doc["tables"][self.rows[-1]]["caption"] = text
-        elif tag in ("td", "th") and self.rows and self.cell() is not None:
-            cell = self.cell()
-            cell["text"] = f"{cell['text']} {text}".strip()
+        elif cells and (cell := self.cell()) is not None:
+            cell["text"] = f"{cell['text']} {text}" if cell["text"] else text
             cell["block"] = len(self.doc["blocks"]) if cell["block"] is None else cell["block"]
         level = HEADINGS.get(tag)
         if level and not chrome:
@@ -157,7 +163,7 @@ class DocumentReader(HTMLParser):
             self.headings.append((level, len(self.doc["blocks"])))
         kind = "p" if tag == "text" else tag
         at = at if tag in ("li", "dt", "dd") else None
-        self.doc["blocks"].append({"kind": kind, "text": text, "level": level, "container": container, "in_chrome": chrome, "list": at[1] if at else None, "ordered": at[0] == "ol" if at else None, "table_index": self.rows[-1] if self.rows and tag in ("td", "th") else None, "above": over})
+        self.doc["blocks"].append({"kind": kind, "text": text, "level": level, "container": container, "in_chrome": chrome, "list": at[1] if at else None, "ordered": at[0] == "ol" if at else None, "table_index": self.rows[-1] if cells else None, "above": over})
 
     def cell(self) -> dict | None:
         rows = self.doc["tables"][self.rows[-1]]["all"]
@@ -165,10 +171,13 @@ class DocumentReader(HTMLParser):
 
     def pop(self, tag: str) -> None:
         """Ends the innermost ``tag`` and all that is open inside it."""
+        if tag != "table" and self.stack[-1][0] == tag:
+            self.stack.pop()
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                for t, _ in self.stack[i:]:
-                    if t == "table" and self.rows:
+                for x in self.stack[i:]:
+                    if x[0] == "table" and self.rows:
                         self.rows.pop()
                 del self.stack[i:]
                 break
@@ -176,9 +185,9 @@ class DocumentReader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if self.silent:
             return
-        a = dict(attrs)
-        if tag not in ABOUT:
-            pass
+        a = dict(attrs) if attrs else {}
+        if tag in PARTING:
+            self.open(tag, a)
         elif tag == "html":
             self.doc["language"] = a.get("lang")
         elif tag == "meta" and (a.get("name") or a.get("property")):
@@ -187,37 +196,42 @@ class DocumentReader(HTMLParser):
             self.doc["canonical_url"] = a.get("href")
         elif tag in ("iframe", "embed", "object", "video"):
             self.doc["embeds"] += 1
-        if tag in SILENT or tag == "title":
+        elif tag in SILENT or tag == "title":
             self.flush()
             self.silent, self.script = tag, ((a.get("type") or "").lower(), a.get("id"), []) if tag in ("script", "title") else None
             self.doc["scripts"] += tag == "script"
-            return
-        if tag == "a":
-            self.link = (a.get("href"), [], len(self.doc["blocks"]), self.inside(CONTAINERS), self.inside(CHROME) is not None)
-        if tag in PARTING:
+        elif tag == "a":
+            self.link = (a.get("href"), [], len(self.doc["blocks"]), self.stack[-1][3], self.stack[-1][4])
+
+    def open(self, tag: str, a: dict) -> None:
+        """Starts an element that parts text."""
+        if self.text:
             self.flush()
-            inner = set()
-            for t, _ in reversed(self.stack):
-                if t in ("ul", "ol", "dl", "table"):
-                    break
-                inner.add(t)
-            if inner:
-                for other in ENDED[tag]:
-                    if other in inner:
-                        self.pop(other)
+        inner = self.stack[-1][6]
+        if ENDING[tag] & inner:
+            for other in ENDED[tag]:
+                if BIT[other] & inner:
+                    self.pop(other)
         if tag == "table":
             self.doc["tables"].append({"caption": None, "all": []})
             self.rows.append(len(self.doc["tables"]) - 1)
         elif self.rows and tag == "tr":
-            self.doc["tables"][self.rows[-1]]["all"].append((self.inside({"thead", "tbody", "tfoot", "table"}) == "thead", []))
+            part = next((x[0] for x in reversed(self.stack) if x[0] in ("thead", "tbody", "tfoot", "table")), None)
+            self.doc["tables"][self.rows[-1]]["all"].append((part == "thead", []))
         elif self.rows and tag in ("td", "th"):
             rows = self.doc["tables"][self.rows[-1]]["all"]
             if not rows:
                 rows.append((False, []))
-            rows[-1][1].append({"text": "", "header": tag == "th", "block": None, "rowspan": WIDEST if (a.get("rowspan") or "").strip() == "0" else _span(a.get("rowspan")), "colspan": _span(a.get("colspan"))})
-        if tag not in VOID and tag in PARTING:
-            self.lists += tag in ("ul", "ol", "dl")
-            self.stack.append((tag, self.lists - 1))
+            down, across = (WIDEST if (a.get("rowspan") or "").strip() == "0" else _span(a.get("rowspan")), _span(a.get("colspan"))) if a else (1, 1)
+            rows[-1][1].append({"text": "", "header": tag == "th", "block": None, "rowspan": down, "colspan": across})
+        if tag in VOID:
+            return
+        _, _, block, container, chrome, at, inner = self.stack[-1]
+        keeping = tag in KEEPING
+        if keeping and tag != "table":
+            self.lists += 1
+            at = (tag, self.lists - 1)
+        self.stack.append((tag, self.lists - 1, tag if tag in BLOCKS else block, tag if tag in CONTAINERS else container, chrome or tag in CHROME, at, 0 if keeping else inner | BIT[tag]))
 
     def handle_endtag(self, tag):
         if self.silent:
@@ -312,27 +326,27 @@ def read_page(page_id: int | None, url: str | None, html: str | None) -> dict:
         return {"page_id": page_id} | DocumentReader("").finish() | {"error": f"{type(e).__name__}: {e}"[:300]}
 
 
-def documents(pages: DataFrame) -> DataFrame:
-    """One nested document for every row of ``pages`` (page_id, url, html); null html is an empty document."""
+def documents(pages: DataFrame, schema: str = SCHEMA) -> DataFrame:
+    """One nested document for every row of ``pages`` (page_id, url, html); null html is an empty document. Of a narrower ``schema`` only those parts leave the reader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import StructType
 
-        schema = to_arrow_schema(StructType.fromJson(fields))
+        columns = to_arrow_schema(StructType.fromJson(fields))
         for b in batches:
             held, size = [], 0
             for page in b.to_pylist():
                 held.append(read_page(page["page_id"], page["url"], page["html"]))
                 size += len(page["html"] or "")
-                if size > PAGE_BYTES:
-                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                if size > PAGE_BYTES or len(held) == PAGES:
+                    yield pa.RecordBatch.from_pylist(held, schema=columns)
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                yield pa.RecordBatch.from_pylist(held, schema=columns)
 
-    fields = pages.sparkSession.createDataFrame([], SCHEMA).schema.jsonValue()
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, SCHEMA)
+    fields = pages.sparkSession.createDataFrame([], schema).schema.jsonValue()
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -445,7 +459,9 @@ def _places(t: DataFrame, each: Callable[[str], Column], *more: str) -> DataFram
     wide = F.array_max(F.transform("t.head_grid", lambda r: F.size(r)))
     over = lambda j: F.array_join(F.array_distinct(F.filter(F.transform("t.head_grid", lambda r: F.get(r, j)["text"]), lambda x: x != "")), " ")
     heads = F.when(F.coalesce(wide, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), wide - 1), over))
-    rows = t.select("page_id", "blocks", *more, "table_index", "t.caption", heads.alias("heads"), each("t.grid").alias("row_index", "row"))
+    # headers are made once a table, before its rows are parted
+    t = t.select("page_id", "blocks", *more, "table_index", "t.caption", heads.alias("heads"), "t.grid")
+    rows = t.select("page_id", "blocks", *more, "table_index", "caption", "heads", each("grid").alias("row_index", "row"))
     texts = F.array_join(F.array_distinct(F.filter(F.transform("row", lambda c: c["text"]), lambda x: x != "")), " | ")
     c = rows.withColumn("row_text", texts).select("*", each("row").alias("column_index", "c"))
     left = F.transform(F.slice("row", F.lit(1), F.col("column_index")), lambda x, k: F.when((k == 0) | x["header"] | ~x["text"].rlike(r"\d"), x["text"]))

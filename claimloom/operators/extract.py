@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.matches import all_kinds, first_kind, nearest_kind, words_pattern
+from claimloom.functions.matches import all_kinds, first_kind, let, nearest_kind, words_pattern
 
 # Signs and codes of currencies.
 SIGNS = [("£", "GBP"), ("HK$", "HKD"), ("US$", "USD"), ("A$", "AUD"), ("C$", "CAD"), ("S$", "SGD"), ("MOP$", "MOP"), ("NT$", "TWD"), ("RMB", "CNY"), ("¥", "CNY"), ("€", "EUR"), ("$", "USD")]
@@ -213,17 +213,24 @@ def score_cells(cells: DataFrame) -> DataFrame:
     ``cells``: of :func:`claimloom.operators.documents.cells`. The cell is a number alone and lies on the test's scale; an overall score also
     reaches the least that is a requirement. A column whose header speaks of parts but not of the overall score has component scores, with the skill that header or row name.
     """
-    head, value = F.col("column_header"), F.regexp_extract(F.trim("text"), r"^(\d{1,3}(?:\.\d{1,2})?)$", 1).try_cast("double")
+    head, number = F.col("column_header"), r"^(\d{1,3}(?:\.\d{1,2})?)$"
     named = lambda c: F.coalesce(*[F.when(c.rlike(f"(?i){p}"), code) for code, p in TEST_NAMES.items()])
-    whole, part = says(head, ["composite", "overall", "total"]), says(head, PART_WORDS)
-    skill = F.lower(F.regexp_extract(F.concat_ws(" ", head, "row_label"), r"(?i)\b(reading|writing|listening|speaking)\b", 1))
-    c = cells.filter("origin and column_header is not null").withColumns({"value": value, "test": F.coalesce(named(F.col("row_text")), named(F.col("caption")))})
-    c = c.filter(F.col("value").isNotNull() & F.col("test").isNotNull() & (says(head, OVERALL_WORDS) | part))
     ends = F.create_map(*[x for code, e in TESTS.items() for x in (F.lit(code), F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("least", "most", "floor"), e, strict=True)]))])
-    scale = ends[F.col("test")]
-    kind = F.when(part & ~whole, "COMPONENT").otherwise("OVERALL")
-    c = c.filter(F.col("value").between(scale["least"], scale["most"]) & ((kind == "COMPONENT") | (F.col("value") >= scale["floor"])))
-    return c.select("page_id", "table_index", "row_index", "column_index", "test", kind.alias("kind"), F.when((kind == "COMPONENT") & (skill != ""), skill).alias("skill"), "value")
+    skill = let(F.lower(F.regexp_extract(F.concat_ws(" ", head, "row_label"), r"(?i)\b(reading|writing|listening|speaking)\b", 1)), lambda s: F.when(s != "", s))
+
+    def scored(x: Column, component: Column) -> Column:
+        scale = ends[x["test"]]
+        kept = x["value"].between(scale["least"], scale["most"]) & (component | (x["value"] >= scale["floor"]))
+        return F.when(kept, F.struct(x["test"].alias("test"), F.when(component, "COMPONENT").otherwise("OVERALL").alias("kind"), F.when(component, skill).alias("skill"), x["value"].alias("value")))
+
+    # every search once a cell: a filter on what is found would repeat them
+    whole = says(head, ["composite", "overall", "total"])
+    about = lambda x: F.when(x["part"] | says(head, OVERALL_WORDS), let(x["part"] & ~whole, lambda component: scored(x, component)))
+    value = F.regexp_extract(F.trim("text"), number, 1).try_cast("double")
+    test = F.coalesce(named(F.col("row_text")), named(F.col("caption")))
+    found = let(test, lambda t: F.when(t.isNotNull(), let(F.struct(t.alias("test"), value.alias("value"), says(head, PART_WORDS).alias("part")), about)))
+    c = cells.filter("origin and column_header is not null").filter(F.trim("text").rlike(number))
+    return c.select("page_id", "table_index", "row_index", "column_index", F.inline(F.array_compact(F.array(found))))
 
 
 def date_parts(found: Column) -> dict[str, Column]:

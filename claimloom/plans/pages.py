@@ -67,7 +67,7 @@ def fee_sentences(spark, d):
 
 
 def _made(rows, key, html):
-    return documents.documents(spread(rows).select(F.col(key).alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html")))
+    return documents.documents(spread(rows).select(F.col(key).alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html")), documents.PLACED)
 
 
 def fee_tables(spark, d):

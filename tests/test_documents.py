@@ -121,3 +121,32 @@ def test_rows_of_a_small_file_are_dealt_to_many_tasks(spark, tmp_path, name):
     rows = spark.range(20_001).selectExpr("id as p_partkey", "concat('n', id) as p_name", "cast(id % 50 as int) as p_size")
     rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 5
+
+
+def test_runs_of_plain_tags_are_read_as_the_parser_reads_them():
+    import random
+
+    class Slow(d.DocumentReader):
+        def plain(self, i):
+            return None
+
+    def read(reader, html):
+        reader.feed(html)
+        return reader.finish()
+
+    rng = random.Random(5)
+    tags = ["table", "tr", "td", "th", "thead", "ul", "li", "p", "h1", "h2", "nav", "main", "a", "b", "TD", "script", "title", "textarea", "svg", "noscript", "caption", "dl", "dt", "html"]
+    others = ["a", "b  c", "\n", "1 & 2", "&lt;b>", "<", "< b", "<!-- <p> -->", "<!doctype html>", "<?x?>", "</>", "<p", "</p ", "<td colspan=2>", '<a href="/x">', "<br/>", '<th rowspan="0">', "x>y"]
+    for _ in range(2_000):
+        html = "".join(f"<{rng.choice(['', '', '/'])}{rng.choice(tags)}>" if rng.random() < 0.6 else rng.choice(others) for _ in range(rng.randint(1, 30)))
+        assert read(d.DocumentReader("u"), html) == read(Slow("u"), html), html
+
+
+def test_score_tables_search_each_cell_once_and_take_only_places_from_the_reader(spark, tmp_path):
+    from claimloom.plans.pages import QUERIES
+
+    spark.range(700).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["score_tables"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == plan.count("regexp_extract(trim(") == plan.count(r"\bTOEFL\b") - 1 == 1 and "embedded_json" not in plan and "rowspan" not in plan
+    assert found.count() == 700 * 3 + sum(20 + k % 120 in range(30, 121) for k in range(700))
